@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seepage.functions.text import _col, strip
 
@@ -70,7 +71,7 @@ def splits(host) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), cut))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _join_url(base: pa.Array, link: pa.Array) -> pa.Array:
     out = []
     for b, u in zip(base.to_pylist(), link.to_pylist()):

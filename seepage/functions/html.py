@@ -14,11 +14,20 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tasks get these helpers with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NODE = "struct<id:int,last:int,tag:string,attrs:map<string,string>,text:string>"
+NODE = T.StructType(
+    [
+        T.StructField("id", T.IntegerType()),
+        T.StructField("last", T.IntegerType()),
+        T.StructField("tag", T.StringType()),
+        T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("text", T.StringType()),
+    ]
+)
 TEXT, RAW, COMMENT = "#text", "#raw", "#comment"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW_TAGS = frozenset(("script", "style", "template"))
@@ -87,7 +96,7 @@ def _nodes_of(pages: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
 
 
-@F.arrow_udf(f"array<{NODE}>")
+@F.arrow_udf(T.ArrayType(NODE))
 def _parse(html: pa.Array) -> pa.Array:
     return _nodes_of(html)
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seepage import rules as R
 from seepage.functions.text import strip
@@ -185,7 +186,12 @@ def _read_office(content, kind):
         return None
 
 
-@F.arrow_udf("struct<text:string,metadata:map<string,string>>")
+_OFFICE = T.StructType(
+    [T.StructField("text", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
+)
+
+
+@F.arrow_udf(_OFFICE)
 def _office(content: pa.Array, kind: pa.Array) -> pa.Array:
     rows = (_read_office(c.as_py(), k.as_py()) for c, k in zip(content, kind))
     return pa.array(list(rows), pa.struct([("text", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))]))
