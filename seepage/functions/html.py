@@ -128,10 +128,19 @@ def by_tag(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def below(nodes: Column, node: Column) -> Column:
     """Descendants of ``node``; an empty array if it has none or is null."""
-    size = F.coalesce(node["last"] - node["id"], F.lit(0))
-    return F.when(size > 0, F.slice(nodes, node["id"] + 2, size)).otherwise(F.slice(nodes, 1, 0))
+
+    def cut(n):
+        size = F.coalesce(n["last"] - n["id"], F.lit(0))
+        return F.when(size > 0, F.slice(nodes, n["id"] + 2, size)).otherwise(F.slice(nodes, 1, 0))
+
+    return let(node, cut)
 
 
 def first(nodes: Column) -> Column:

@@ -148,6 +148,15 @@ def rule_matches(c, lowered, rule: R.Rule) -> Column:
     return F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
+def redacted(c, rules=R.PASTE_RULES) -> Column:
+    """The text with every match of the rules that are not shown in clear replaced."""
+    c = _col(c)
+    for rule in rules:
+        if rule.shown != "clear":
+            c = F.regexp_replace(c, F.lit(rule.pattern), F.lit("***REDACTED***"))
+    return c
+
+
 def mention_count(c, target) -> Column:
     """Non-overlapping occurrences of the target, whatever the case."""
     text, target = F.lower(or_empty(c)), F.lower(_col(target))

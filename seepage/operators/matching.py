@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seepage import rules as R
 from seepage.functions import hosts as H
@@ -17,22 +18,25 @@ from seepage.operators.dedupe import keep_first
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_INLINE_PATTERNS = 64
 MAX_AUTOMATON_PATTERNS = 200_000
 HOT_KEY_SALTS = 32
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Has the table at most this many rows? Reads no more than it has to."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> bool:
+    """Has the table at most this many rows and bytes? Counts no more rows than it has to."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    seen = df.limit(rows + 1).select(width.alias("w")).agg(F.count("w").alias("n"), F.sum("w").alias("size")).first()
+    return seen.n <= rows and (seen.size or 0) <= size
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys, how: str = "inner",
                 max_rows: int = MAX_BROADCAST_ROWS, salts: int = HOT_KEY_SALTS) -> DataFrame:
     """Join a large table with a lookup that has one row per key.
 
-    A lookup counted within ``max_rows`` is broadcast. A larger one is
-    repeated once per salt and joined on (keys, salt), so rows of a hot key
+    A lookup measured within the broadcast bounds is broadcast. A larger one
+    is repeated once per salt and joined on (keys, salt), so rows of a hot key
     spread over ``salts`` tasks. Both give the same rows.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -40,7 +44,9 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys, how: str = "inner",
         raise ValueError(how)
     if fits(lookup, max_rows):
         return facts.join(F.broadcast(lookup), keys, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    hashed = [f.name for f in facts.schema if not isinstance(f.dataType, T.MapType)]
+    salt = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salts)).cast("int")
+    salted = facts.withColumn("_salt", salt)
     repeated = lookup.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
@@ -83,30 +89,41 @@ def new_only(df: DataFrame, seen: DataFrame, key: str, order) -> DataFrame:
     return keep_first(df, [key], order).join(seen.select(key).distinct(), key, "left_anti")
 
 
+def small_rows(rows, columns, limit: int = MAX_INLINE_PATTERNS) -> list:
+    """Rows of a hand-written table, read through the driver; more than ``limit`` are refused, not cut."""
+    if not isinstance(rows, DataFrame):
+        return list(rows)
+    got = rows.select(*columns).distinct().limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"more than {limit} rows")
+    return sorted(tuple(r) if len(columns) > 1 else r[0] for r in got)
+
+
 def mention_patterns(watchlist: DataFrame, domain: str = "domain", templates=R.MENTION_TEMPLATES) -> DataFrame:
-    """Search phrases (category, pattern) of every watched domain."""
+    """Search phrases (domain, category, pattern) of every watched domain.
+
+    ``templates`` are (category, template) pairs or a small table of them.
+    """
     d = F.lower(F.col(domain))
-    values = {"domain": d, "spaced": F.replace(d, F.lit("."), F.lit(" ")), "label": H.first_label(d)}
-    rows = [F.struct(F.lit(c).alias("category"), X.fill_template(t, **values).alias("pattern")) for c, t in templates]
+    values = {"domain": d, "query": d, "spaced": F.replace(d, F.lit("."), F.lit(" ")), "label": H.first_label(d)}
+    rows = [
+        F.struct(F.lit(c).alias("category"), X.fill_template(t, **values).alias("pattern"))
+        for c, t in small_rows(templates, ["category", "template"])
+    ]
     return (
         watchlist.select(d.alias("domain"), F.explode(F.array(*rows)).alias("p"))
         .select("domain", "p.category", "p.pattern").distinct()
     )
 
 
-def expand_templates(df: DataFrame, templates: DataFrame | tuple, name: str, **values) -> DataFrame:
+def expand_templates(df: DataFrame, templates, name: str, **values) -> DataFrame:
     """One row per input row and template, the filled template in column ``name``.
 
-    User templates are a hand-written table of (template); it is read through
-    the driver and refused above MAX_INLINE_PATTERNS rows.
+    ``templates`` are strings or a small table with a ``template`` column.
     """
-    if isinstance(templates, DataFrame):
-        got = templates.select("template").limit(MAX_INLINE_PATTERNS + 1).collect()
-        if len(got) > MAX_INLINE_PATTERNS:
-            raise ValueError(f"more than {MAX_INLINE_PATTERNS} templates")
-        templates = tuple(sorted(r.template for r in got))
     filled = [
-        F.struct(F.lit(t).alias("template"), X.fill_template(t, **values).alias(name)) for t in templates
+        F.struct(F.lit(t).alias("template"), X.fill_template(t, **values).alias(name))
+        for t in small_rows(templates, ["template"])
     ]
     return df.withColumn("_t", F.explode(F.array(*filled))).select("*", "_t.*").drop("_t")
 
@@ -130,7 +147,7 @@ def _automaton_hits(patterns):
             pa.list_(pa.string()),
         )
 
-    return F.arrow_udf(hits, "array<string>")
+    return F.arrow_udf(hits, T.ArrayType(T.StringType()))
 
 
 def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, pattern: str = "pattern",

@@ -235,21 +235,29 @@ def _pick(nodes: Column, tags, cls: str) -> Column:
 
 
 def _item(rule: R.SiteRule, box: Column) -> Column:
-    inner = P.below(_nodes(), box)
-    holder = P.below(_nodes(), _pick(inner, (rule.title_in[0],), rule.title_in[1])) if rule.title_in else inner
-    title = _pick(holder, rule.title_tags, rule.title_class)
-    link = title if rule.own_link else P.first(
-        F.filter(inner, lambda n: (n["tag"] == "a") & P.has_attr(n, "href"))
-    )
-    href = P.attr(link, "href")
-    url = F.when((href != "") & ~F.startswith(href, F.lit("http")), F.concat(F.lit(rule.prefix), href)).otherwise(href)
-    after = F.slice(_nodes(), box["id"] + 2, F.size(_nodes())) if rule.snippet_after else inner
-    snippet = F.coalesce(*[_pick(after, t, c) for t, c in rule.snippets]) if rule.snippets else None
-    return F.struct(
-        F.when(title.isNull(), rule.default_title).otherwise(X.strip(P.text_of(_nodes(), title))).alias("title"),
-        url.alias("url"),
-        (F.lit("") if snippet is None else X.strip(P.text_of(_nodes(), snippet))).alias("snippet"),
-    )
+    def parts(inner):
+        holder = inner
+        if rule.title_in:
+            tag, cls = rule.title_in
+            holder = P.below(_nodes(), _pick(inner, (tag,), cls))
+        title = _pick(holder, rule.title_tags, rule.title_class)
+        link = title if rule.own_link else P.first(
+            F.filter(inner, lambda n: (n["tag"] == "a") & P.has_attr(n, "href"))
+        )
+        after = F.slice(_nodes(), box["id"] + 2, F.size(_nodes())) if rule.snippet_after else inner
+        snippet = F.coalesce(*[_pick(after, t, c) for t, c in rule.snippets]) if rule.snippets else F.lit(None).cast(P.NODE)
+        return F.struct(title.alias("title"), P.attr(link, "href").alias("href"), snippet.alias("snippet"))
+
+    def item(found):
+        title, href, snippet = found["title"], found["href"], found["snippet"]
+        relative = (href != "") & ~F.startswith(href, F.lit("http"))
+        return F.struct(
+            F.when(title.isNull(), rule.default_title).otherwise(X.strip(P.text_of(_nodes(), title))).alias("title"),
+            F.when(relative, F.concat(F.lit(rule.prefix), href)).otherwise(href).alias("url"),
+            X.strip(P.text_of(_nodes(), snippet)).alias("snippet"),
+        )
+
+    return P.let(P.let(P.below(_nodes(), box), parts), item)
 
 
 def result_items(parsed: DataFrame, keys, site_rules, site: str = "site", all_rules: bool = False) -> DataFrame:
@@ -274,10 +282,29 @@ def result_items(parsed: DataFrame, keys, site_rules, site: str = "site", all_ru
     return parsed.select(*keys, site, F.posexplode(found).alias("pos", "i")).select(*keys, site, "pos", "i.*")
 
 
-def mentioned(items: DataFrame, target: str, words=()) -> DataFrame:
-    """Items that name the target in title or snippet, or one of the words in the title; long snippets cut at 200."""
+def mentioned(items: DataFrame, target: str, words=(), limit: int = 200) -> DataFrame:
+    """Items that name the target in title or snippet, or one of the words in the title; long snippets are cut."""
     low = target.lower()
     test = F.contains(F.lower("title"), F.lit(low)) | F.contains(F.lower("snippet"), F.lit(low))
     for w in words:
         test = test | F.contains(F.lower("title"), F.lit(w))
-    return items.where((F.col("title") != "") & test).withColumn("snippet", X.truncate("snippet", 200))
+    return items.where((F.col("title") != "") & test).withColumn("snippet", X.truncate("snippet", limit))
+
+
+def document_items(items: DataFrame) -> DataFrame:
+    """Items that link to a document."""
+    return items.where((F.col("url") != "") & X.is_document_link("url"))
+
+
+def leaked_items(items: DataFrame, site: str = "site") -> DataFrame:
+    """Items whose link names the page's site, with the risk level of their title."""
+    named = (F.col("title") != "") & F.contains("url", F.col(site))
+    return items.where(named).withColumn("risk_level", X.title_risk("title"))
+
+
+def leak_references(items: DataFrame, target: str, site: str = "site") -> DataFrame:
+    """Items whose title names the target; links without a scheme are put on the page's site."""
+    absolute = F.when(F.startswith("url", F.lit("http")), F.col("url")).otherwise(
+        F.concat(F.lit("https://"), site, "url")
+    )
+    return items.where(F.contains(F.lower("title"), F.lit(target.lower()))).withColumn("url", absolute)

@@ -179,6 +179,23 @@ FROM {lineitem}""",
 FROM (SELECT p.*, CASE p_partkey % 3 WHEN 0 THEN 'google' WHEN 1 THEN 'bing' ELSE 'duckduckgo' END AS site FROM {part} AS p) AS parts""",
         ("part",),
     ),
+    # Result pages of code hosts, paste sites, document engines and leak lists.
+    "listing_pages": (
+        """SELECT s_key, site, name, CASE site
+  WHEN 'repositories' THEN concat('<div class="f4"><a href="/o/', s_key, '">', name, '</a></div><p>desc ', s_key, '</p><div class="f4">none</div>')
+  WHEN 'code' THEN concat('<div class="code-list-item"><a>x</a><div class="f4 b"><a href="/o/', s_key, '"> ', name, ' </a></div><div class="code-list-item-code">desc ', s_key, '</div></div>')
+  WHEN 'commits' THEN concat('<div class="commit-group-item"><a class="commit-link" href="/o/', s_key, '">', name, '</a><a class="commit-author">desc ', s_key, '</a></div>')
+  WHEN 'issues' THEN concat('<div class="issue-list-item"><a class="muted-link" href="/z">desc ', s_key, '</a><a class="h4 x" href="/o/', s_key, '">', name, '</a></div>')
+  WHEN 'pastebin.com' THEN concat('<div class="gsc-result"><h3>no</h3><a href="/o/', s_key, '">', name, '</a></div><div class="gsc-result">bare</div>')
+  WHEN 'paste.ee' THEN concat('<div class="paste-item"><a href="/o/', s_key, '">link</a><h3>', name, '</h3></div>')
+  WHEN 'rentry.co' THEN concat('<ul><li class="search-result"><h2>', name, '</h2><a href="/o/', s_key, '">go</a></li><li class="x-item"><a>no link</a></li><li class="other"><a href="/q">q</a></li></ul>')
+  WHEN 'google.com' THEN concat('<div class="g"><h3>', name, '</h3><a href="https://google.com/o/', s_key, '.PDF">go</a><p>desc ', s_key, '</p></div><div class="g"><a href="/plain">plain page</a></div>')
+  ELSE concat('<div class="search-result"><a href="/o/', s_key, '">', name, '</a><span>desc ', s_key, '</span></div>') END AS html
+FROM (SELECT o_orderkey AS s_key, CASE o_custkey % 9 WHEN 0 THEN 'repositories' WHEN 1 THEN 'code' WHEN 2 THEN 'commits' WHEN 3 THEN 'issues'
+  WHEN 4 THEN 'pastebin.com' WHEN 5 THEN 'paste.ee' WHEN 6 THEN 'rentry.co' WHEN 7 THEN 'google.com' ELSE 'ahmia.fi' END AS site,
+  concat(CASE WHEN o_orderkey % 4 = 0 THEN 'Secret Acme.example.com ' ELSE 'Plain ' END, o_orderpriority) AS name FROM {orders}) AS listed""",
+        ("orders",),
+    ),
     "paste_pages": (
         """SELECT doc_id, site, concat('<html><head><title>Paste</title></head><body><div class="nav">menu</div>', CASE site
   WHEN 'pastebin.com' THEN concat('<pre>side</pre><textarea id="paste_code">', body, '</textarea>')
@@ -198,7 +215,7 @@ FROM (SELECT doc_id, """ + _SITE + """ AS site,
   '.js"; var v = "//x"; f("http://api.example.org/v', c_nationkey, '");</script></head><body><h1>', c_name, '</h1><h2>a</h2><h2>b</h2><img src="x.png"><img src="y.png"/>',
   '<a href="next">rel</a><a href="/root/', c_custkey, '">root</a><a href="https://www.example.org/out/', c_custkey, '">ext</a><a href="mailto:me@example.com">mail</a><a name="anchor">none</a>',
   '<a href="http://abc', c_nationkey, 'def.onion/x">o</a><a href="bare', c_custkey % 10, '.onion/path">o2</a><a href="https://twitter.com/Login">t</a><a href="https://www.twitter.com/h', c_custkey, '">t2</a>',
-  '<p>github.com/g', c_nationkey, ' and linkedin.com/company/l-', c_custkey, ' facebook.com/HOME</p>',
+  '<p>github.com/g', c_nationkey, ' and linkedin.com/company/l-', c_custkey, ' facebook.com/HOME </p>',
   '<form action="/send" method="POST"><input type="text" name="n', c_custkey, '" required><div><select id="s"></select></div><textarea placeholder="say"></textarea></form><form><input></form>',
   '<table class="table wide"><tr><th>h</th></tr><tr><td> mail.corp', c_nationkey, '.example.com </td><td>1</td></tr><tr><td>single</td></tr><tr><td>not a host</td><td>2</td></tr></table>',
   '<!-- build ', c_custkey, ' --><ul><li class="channel-item"># gen ', c_nationkey, '</li><li class="user">Member ', c_custkey, '</li></ul>',

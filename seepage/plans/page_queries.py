@@ -126,9 +126,7 @@ def page_forms(t):
  'http://api.example.org/v' || c_nationkey]) AS script_url FROM customer""",
 )
 def script_urls(t):
-    # The class of URL characters takes in quotes and brackets that follow the URL; cut them as a reader would.
-    found = G.script_urls(rich(t), ["c_custkey"])
-    return found.withColumn("script_url", F.regexp_replace("script_url", r"[\"');]+$", ""))
+    return G.script_urls(rich(t), ["c_custkey"])
 
 
 @query(
@@ -284,3 +282,89 @@ def paste_body(t):
 )
 def page_emails(t):
     return parsed(t).select("page_id", F.explode(X.emails(P.texts(F.col("nodes")))).alias("email"))
+
+
+TARGET = "acme.example.com"
+
+
+def listing(t, *sites):
+    return G.with_nodes(t.listing_pages.where(F.col("site").isin(*sites)).select("s_key", "site", "html"))
+
+
+@query(
+    "code_host_items",
+    "SELECT s_key, site, name AS title, 'https://github.com/o/' || s_key AS url, 'desc ' || s_key AS snippet FROM listing_pages"
+    " WHERE site IN ('repositories', 'code', 'commits', 'issues')",
+    ("listing_pages",),
+)
+def code_host_items(t):
+    pages = listing(t, "repositories", "code", "commits", "issues")
+    return G.result_items(pages, ["s_key"], R.CODE_HOST_RULES).drop("pos")
+
+
+@query(
+    "paste_list_items",
+    """SELECT s_key, site, name AS title, CASE site WHEN 'paste.ee' THEN 'https://paste.ee/o/' ELSE '/o/' END || s_key AS url
+ FROM listing_pages WHERE site IN ('pastebin.com', 'paste.ee', 'rentry.co')
+ UNION ALL SELECT s_key, site, 'No title', '' FROM listing_pages WHERE site = 'pastebin.com'""",
+    ("listing_pages",),
+)
+def paste_list_items(t):
+    pages = listing(t, "pastebin.com", "paste.ee", "rentry.co")
+    return G.result_items(pages, ["s_key"], R.PASTE_LIST_RULES).drop("pos", "snippet")
+
+
+@query(
+    "document_list_items",
+    "SELECT s_key, site, name AS title, 'https://google.com/o/' || s_key || '.PDF' AS url, 'pdf' AS file_type FROM listing_pages"
+    " WHERE site = 'google.com'",
+    ("listing_pages",),
+)
+def document_list_items(t):
+    items = G.result_items(listing(t, "google.com"), ["s_key"], R.DOCUMENT_LIST_RULES)
+    return G.document_items(items).select("s_key", "site", "title", "url", X.file_type("url").alias("file_type"))
+
+
+@query(
+    "leaked_document_items",
+    "SELECT s_key, site, name AS title, 'https://google.com/o/' || s_key || '.PDF' AS url,"
+    " CASE WHEN s_key % 4 = 0 THEN 'high' ELSE 'low' END AS risk_level FROM listing_pages WHERE site = 'google.com'",
+    ("listing_pages",),
+)
+def leaked_document_items(t):
+    items = G.result_items(listing(t, "google.com"), ["s_key"], R.DOCUMENT_LIST_RULES)
+    return G.leaked_items(items).drop("pos", "snippet")
+
+
+@query(
+    "chat_mention_items",
+    "SELECT s_key, site, name AS title, 'https://google.com/o/' || s_key || '.PDF' AS url, 'desc ' || s_key AS snippet FROM listing_pages"
+    " WHERE site = 'google.com' AND s_key % 4 = 0",
+    ("listing_pages",),
+)
+def chat_mention_items(t):
+    items = G.result_items(listing(t, "google.com"), ["s_key"], R.MENTION_LIST_RULES)
+    return G.mentioned(items, TARGET, ("slack",), 500).drop("pos")
+
+
+@query(
+    "leak_reference_items",
+    # The boxes of the other site open with an h3 that does not name the target.
+    "SELECT s_key, site, name AS title, 'https://rentry.co/o/' || s_key AS url FROM listing_pages WHERE site = 'rentry.co' AND s_key % 4 = 0",
+    ("listing_pages",),
+)
+def leak_reference_items(t):
+    items = G.result_items(listing(t, "rentry.co", "pastebin.com"), ["s_key"], R.LEAK_LIST_RULES)
+    return G.leak_references(items, TARGET).drop("pos", "snippet")
+
+
+@query(
+    "directory_items",
+    # The selectors overlap, so a box that fits two of them is listed twice.
+    "SELECT s_key, site, name AS title, '/o/' || s_key AS url, 'desc ' || s_key AS snippet FROM listing_pages, (SELECT unnest([1, 2]) AS twice)"
+    " WHERE site = 'ahmia.fi' AND s_key % 4 = 0",
+    ("listing_pages",),
+)
+def directory_items(t):
+    items = G.result_items(listing(t, "ahmia.fi"), ["s_key"], R.DIRECTORY_LIST_RULES, all_rules=True)
+    return G.mentioned(items, TARGET).drop("pos")

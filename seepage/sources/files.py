@@ -103,6 +103,21 @@ def zip_lines(archives: DataFrame, max_member_bytes: int = R.MAX_MEMBER_BYTES, o
     return _clean_lines(archives.select("path", "content").mapInArrow(lines, LINES))
 
 
+def scan_dump(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS,
+              max_bytes: int = R.MAX_DUMP_BYTES, spread: int | None = None) -> DataFrame:
+    """Lines of all dump files below a directory: text, gzip and zip, by the listed extensions.
+
+    A gzip or zip file is read by one task; ``spread`` deals its lines out to
+    that many tasks before they are searched.
+    """
+    plain = tuple(e for e in extensions if e.lower() != ".zip")
+    frames = [scan_text_dump(spark, path, plain, max_bytes)] if plain else []
+    if len(plain) < len(extensions):
+        frames.append(zip_lines(binary_files(spark, path, ".zip", max_bytes)))
+    lines = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    return lines.repartition(spread) if spread else lines
+
+
 def load_wordlist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip("value").alias("word")).where("word != ''")
 

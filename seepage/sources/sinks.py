@@ -54,7 +54,7 @@ def export_findings(df: DataFrame, base: str, target: str, kind: str, run_ts: st
 
     The rows are computed once and kept until the last format is written.
     """
-    name = df.sparkSession.range(1).select(clean_domain(F.lit(target)).alias("t")).first().t.replace(".", "_")
+    name = target_name(df, target)
     root = f"{base.rstrip('/')}/target={name}/kind={kind}/run_ts={run_ts}"
     kept = df.persist()
     paths = {}
@@ -71,3 +71,33 @@ def export_findings(df: DataFrame, base: str, target: str, kind: str, run_ts: st
     finally:
         kept.unpersist()
     return paths
+
+
+def export_report(report: DataFrame, base: str, target: str, module: str, run_ts: str, formats: str = "csv") -> str:
+    """Write a long report (section, item, url, detail), one folder per section and format; returns the root."""
+    name = target_name(report, target)
+    root = f"{base.rstrip('/')}/target={name}/kind={module}/run_ts={run_ts}"
+    by_section = lambda df: df.write.partitionBy("section")
+    kept = report.persist()
+    try:
+        if "json" in formats:
+            by_section(kept.select("section", "detail", "item", "url")).json(f"{root}/format=json")
+        if "csv" in formats:
+            by_section(kept).option("header", True).option("escape", '"').csv(f"{root}/format=csv")
+        if "txt" in formats:
+            line = F.concat_ws(" | ", "item", "url", "detail").alias("value")
+            by_section(kept.select("section", line)).text(f"{root}/format=txt")
+    finally:
+        kept.unpersist()
+    return root
+
+
+def target_name(df: DataFrame, target: str) -> str:
+    """The target as a folder name."""
+    return df.sparkSession.range(1).select(clean_domain(F.lit(target)).alias("t")).first().t.replace(".", "_")
+
+
+def stamped(df: DataFrame, **provenance: str) -> DataFrame:
+    """Rows with where they came from and when they were found."""
+    marks = {name: F.lit(value) for name, value in provenance.items()}
+    return df.withColumns({**marks, "discovered_at": F.current_timestamp()})

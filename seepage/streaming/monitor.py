@@ -22,7 +22,7 @@ def detect(pastes: DataFrame, target: str) -> DataFrame:
     )
     scored = score_content(named, "content", target)
     return scored.withColumn("content_id", X.content_id("url", "title", "date")).withColumn(
-        "content_preview", X.masked(X.truncate("content", 500))
+        "content_preview", X.truncate(X.redacted("content"), 500)
     )
 
 
@@ -33,7 +33,7 @@ def once_per_id(detections: DataFrame, time: str, delay: str) -> DataFrame:
     reported again. The first step works on (id, salt), which spreads a hot
     id over several tasks and leaves at most one row per salt for the second.
     """
-    salt = F.pmod(F.xxhash64(time, "site", "content"), F.lit(HOT_ID_SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(time, "site", "content", F.spark_partition_id()), F.lit(HOT_ID_SALTS)).cast("int")
     return (
         detections.withWatermark(time, delay)
         .withColumn("_salt", salt)
