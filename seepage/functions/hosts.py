@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seepage.functions.text import _col, strip
+from seepage.functions.text import _col, let, strip
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,8 +32,7 @@ def first_label(c) -> Column:
 
 def belongs_to(host, target) -> Column:
     """The target itself or a host below it."""
-    host, target = _col(host), _col(target)
-    return (host == target) | F.endswith(host, F.concat(F.lit("."), target))
+    return F.endswith(F.concat(F.lit("."), _col(host)), F.concat(F.lit("."), _col(target)))
 
 
 def url_host(c) -> Column:
@@ -55,43 +54,67 @@ def link_host(c, tld: str) -> Column:
 
 def suffixes(host) -> Column:
     """The host and every parent: a.b.c gives a.b.c, b.c, c."""
-    labels = F.split(_col(host), r"\.")
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+
+    def tails(labels):
+        n = F.size(labels)
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+
+    return let(F.split(_col(host), r"\."), tails)
 
 
 def splits(host) -> Column:
     """Every way to cut a host at a dot into ``head`` and ``tail``."""
-    labels = F.split(_col(host), r"\.")
-    n = F.size(labels)
-    cut = lambda i: F.struct(
-        F.array_join(F.slice(labels, F.lit(1), i), ".").alias("head"),
-        F.array_join(F.slice(labels, i + 1, n), ".").alias("tail"),
-    )
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), cut))
-
-
-@F.arrow_udf(T.StringType())
-def _join_url(base: pa.Array, link: pa.Array) -> pa.Array:
-    out = []
-    for b, u in zip(base.to_pylist(), link.to_pylist()):
-        try:
-            out.append(None if u is None else urljoin(b or "", u))
-        except ValueError:
-            out.append(None)
-    return pa.array(out, pa.string())
 
+    def cuts(labels):
+        n = F.size(labels)
+        cut = lambda i: F.struct(
+            F.array_join(F.slice(labels, F.lit(1), i), ".").alias("head"),
+            F.array_join(F.slice(labels, i + 1, n), ".").alias("tail"),
+        )
+        return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), cut))
+
+    return let(F.split(_col(host), r"\."), cuts)
+
+
+def cut_prefixes(name) -> Column:
+    """The name and every beginning of it that ends before a '.' or '-'."""
+    mark = "\u0001"
+
+    def heads(pieces):
+        return F.transform(
+            F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, F.lit(1), i), "")
+        )
+
+    return let(F.split(F.regexp_replace(_col(name), "([.-])", f"{mark}$1"), mark), heads)
 
-def absolute_url(base, link) -> Column:
-    """A link of a page as an absolute URL.
 
-    Plain absolute links, and plain root-relative ones on a page with a scheme
-    and host, stay in Spark; Python gets a null for them and only resolves the
-    other relative forms.
+def plain_urls(base, links) -> Column:
+    """The links that need no resolving as absolute URLs, null for the others.
+
+    These are plain absolute links, and plain root-relative ones on a page
+    with a scheme and host.
     """
-    base, link = _col(base), _col(link)
-    root = F.regexp_extract(base, r"^((?:https?|ftp)://[^/?#]+)", 1)
-    is_plain = link.rlike(r"^(https?|ftp)://[^/?#\s]+(/[^.?#\s]*)?$")
-    is_rooted = link.rlike(r"^/([^/.?#\s][^.?#\s]*)?$") & (root != "")
-    other = _join_url(base, F.when(~(is_plain | is_rooted), link))
-    return F.when(is_plain, link).when(is_rooted, F.concat(root, link)).otherwise(other)
+    links = _col(links)
+    is_plain = lambda u: u.rlike(r"^(https?|ftp)://[^/?#\s]+(/[^.?#\s]*)?$")
+    is_rooted = lambda u: u.rlike(r"^/([^/.?#\s][^.?#\s]*)?$")
+
+    def ready(root):
+        return F.transform(
+            links, lambda u: F.when(is_plain(u), u).when(is_rooted(u) & (root != ""), F.concat(root, u))
+        )
+
+    return let(F.regexp_extract(_col(base), r"^((?:https?|ftp)://[^/?#]+)", 1), ready)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def join_urls(base: pa.Array, links: pa.Array) -> pa.Array:
+    """Links of a page resolved against its URL; null stays null, as does a link that cannot be resolved."""
+
+    def joined(b, u):
+        try:
+            return None if u is None else urljoin(b or "", u)
+        except ValueError:
+            return None
+
+    rows = zip(base.to_pylist(), links.to_pylist())
+    return pa.array([None if us is None else [joined(b, u) for u in us] for b, us in rows], pa.list_(pa.string()))

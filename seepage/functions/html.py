@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seepage.functions.text import let, strip
+
 # Tasks get these helpers with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -48,6 +50,9 @@ class _NodeList(HTMLParser):
         while self.stack:
             self._pop()
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def _add(self, tag, attrs, text):
         cols, pos = self.cols, len(self.cols["tag"]) - self.start
         cols["id"].append(pos)
@@ -128,11 +133,6 @@ def by_tag(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def below(nodes: Column, node: Column) -> Column:
     """Descendants of ``node``; an empty array if it has none or is null."""
 
@@ -161,6 +161,3 @@ def clean_text(nodes: Column) -> Column:
     parts = F.transform(F.split(texts(nodes), r"\r\n|[\n\r\x0B\f]|  "), strip)
     return F.array_join(F.filter(parts, lambda p: p != ""), " ")
 
-
-def strip(col) -> Column:
-    return F.btrim(col, F.lit(" \t\n\r\f\x0b"))

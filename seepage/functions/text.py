@@ -24,14 +24,18 @@ def or_empty(c) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def any_of(conditions) -> Column:
     return reduce(Column.__or__, conditions)
 
 
 def contains_any(c, words) -> Column:
     """Does the text hold one of the words, whatever the case."""
-    low = F.lower(_col(c))
-    return any_of([F.contains(low, F.lit(w.lower())) for w in words])
+    return let(F.lower(_col(c)), lambda low: any_of([F.contains(low, F.lit(w.lower())) for w in words]))
 
 
 def truncate(c, limit: int) -> Column:
@@ -44,34 +48,38 @@ def normalise_email(c) -> Column:
     return F.lower(strip(c))
 
 
+# Labels of letters and digits with inner hyphens, an alphabetic last one; possessive, so nothing is tried twice.
+_DOMAIN = r"(?:[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+\.)+[A-Za-z]{2,63}"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{}~-]+"
+
+
+def _fitting(host: Column) -> Column:
+    """Labels of 63 characters at most, 253 in all."""
+    return (F.length(host) <= 253) & ~host.rlike("[^.]{64}")
+
+
 def valid_domain(c) -> Column:
     """Two or more labels of letters, digits and inner hyphens (63 at most, 253 in all), an alphabetic last one."""
     c = _col(c)
-    return F.coalesce(
-        (F.length(c) <= 253) & c.rlike(r"^([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}$"), F.lit(False)
-    )
+    return F.coalesce(c.rlike(f"^{_DOMAIN}$") & ((F.length(c) < 64) | _fitting(c)), F.lit(False))
 
 
 def valid_email(c) -> Column:
     """A dot-atom of 64 characters at most, '@' and a valid domain."""
     c = _col(c)
-    local = F.substring_index(c, "@", 1)
-    return F.coalesce(
-        c.rlike(r"^[A-Za-z0-9!#$%&'*+/=?^_`{}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{}~-]+)*@[^@]+$")
-        & (F.length(local) <= 64)
-        & valid_domain(F.substring_index(c, "@", -1)),
-        F.lit(False),
-    )
+    parts = (F.length(F.substring_index(c, "@", 1)) <= 64) & _fitting(F.substring_index(c, "@", -1))
+    return F.coalesce(c.rlike(rf"^{_ATOM}(?:\.{_ATOM})*@{_DOMAIN}$") & ((F.length(c) < 64) | parts), F.lit(False))
 
 
 def valid_url(c) -> Column:
     """http, https or ftp, an optional user, a valid domain, IPv4 address or localhost, an optional port, no blanks."""
     c = _col(c)
-    host = F.regexp_extract(c, r"^(?i:https?|ftp)://(?:[^/?#@\s]*@)?([^/?#:@\s]+)(?::\d{1,5})?(?:[/?#]\S*)?$", 1)
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    return F.coalesce(
-        valid_domain(host) | host.rlike(rf"^{octet}(\.{octet}){{3}}$") | (host == "localhost"), F.lit(False)
-    )
+    head = r"(?i:https?|ftp)://(?:[^/?#@\s]*+@)?"
+    host = rf"(?:{_DOMAIN}|{_OCTET}(?:\.{_OCTET}){{3}}|localhost)"
+    rest = r"(?::\d{1,5})?(?:[/?#]\S*)?"
+    named = F.regexp_extract(c, rf"^{head}([^/?#:@\s]+)", 1)
+    return F.coalesce(c.rlike(f"^{head}{host}{rest}$") & ((F.length(c) < 64) | _fitting(named)), F.lit(False))
 
 
 def matches(c, pattern: str, group: int = 0) -> Column:
@@ -113,11 +121,14 @@ def social_handles(*contents) -> Column:
 
 def digest_kind(c) -> Column:
     """What a stored secret looks like: a known digest, something hashed, or plain text."""
-    c = or_empty(c)
-    kind = F.when(c == "", "plaintext")
-    for name, pattern in R.DIGEST_PATTERNS:
-        kind = kind.when(c.rlike(pattern), name)
-    return kind.when(c.startswith("$"), "hashed").when(F.length(c) > 50, "likely_hash").otherwise("plaintext")
+
+    def kind(v):
+        k = F.when(v == "", "plaintext")
+        for name, pattern in R.DIGEST_PATTERNS:
+            k = k.when(v.rlike(pattern), name)
+        return k.when(v.startswith("$"), "hashed").when(F.length(v) > 50, "likely_hash").otherwise("plaintext")
+
+    return let(or_empty(c), kind)
 
 
 def masked(c) -> Column:
@@ -159,9 +170,9 @@ def redacted(c, rules=R.PASTE_RULES) -> Column:
 
 def mention_count(c, target) -> Column:
     """Non-overlapping occurrences of the target, whatever the case."""
-    text, target = F.lower(or_empty(c)), F.lower(_col(target))
-    left_out = F.length(text) - F.length(F.replace(text, target, F.lit("")))
-    return F.floor(left_out / F.length(target)).cast("int")
+    target = F.lower(_col(target))
+    without = lambda low: F.length(low) - F.length(F.replace(low, target, F.lit("")))
+    return F.floor(let(F.lower(or_empty(c)), without) / F.length(target)).cast("int")
 
 
 def mention_keywords(target: str) -> list[str]:
@@ -193,9 +204,8 @@ def is_document_link(url, strict: bool = False) -> Column:
 
 def is_readable_url(url) -> Column:
     """Not empty, not a page anchor, not an office or PDF file."""
-    url = or_empty(url)
-    skipped = any_of([F.lower(url).endswith(e) for e in R.SKIPPED_EXTENSIONS])
-    return (url != "") & ~url.startswith("#") & ~skipped
+    endings = "|".join(e.replace(".", r"\.") for e in R.SKIPPED_EXTENSIONS)
+    return ~or_empty(url).rlike(rf"(?i)^$|^#|({endings})$")
 
 
 def is_sensitive_title(title) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seepage import rules as R
+from seepage.functions import hosts as H
 from seepage.functions import text as X
 from seepage.operators.dedupe import keep_first
 from seepage.operators.matching import lookup_join
@@ -25,20 +26,11 @@ def dump_emails(lines: DataFrame, watchlist: DataFrame, domain: str = "domain")
     found = F.arrays_zip(
         X.matches("line", _ADDRESS_AT, 1).alias("name"), X.matches("line", _ADDRESS_AT, 2).alias("rest")
     )
-    ends = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.length("rest")),
-            lambda i: F.when(
-                F.substring(F.concat(F.col("rest"), F.lit(".")), i + 1, F.lit(1)).isin(".", "-"),
-                F.substring(F.col("rest"), F.lit(1), i),
-            ),
-        )
-    )
     keyed = (
         lines.where(F.contains("line", F.lit("@")))
         .select("source_file", "line", F.explode(found).alias("m"))
         .select("source_file", "line", F.lower("m.name").alias("name"), F.lower("m.rest").alias("rest"))
-        .select("source_file", "line", "name", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("watched_domain"))
+        .select("source_file", "line", "name", F.explode(H.cut_prefixes("rest")).alias("watched_domain"))
     )
     hits = lookup_join(keyed, watched, "watched_domain").withColumn(
         "email", F.concat("name", F.lit("@"), "watched_domain")

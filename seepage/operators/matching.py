@@ -14,6 +14,7 @@ from seepage import rules as R
 from seepage.functions import hosts as H
 from seepage.functions import text as X
 from seepage.operators.dedupe import keep_first
+from seepage.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,17 +33,19 @@ def fits(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAS
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys, how: str = "inner",
-                max_rows: int = MAX_BROADCAST_ROWS, salts: int = HOT_KEY_SALTS) -> DataFrame:
+                max_rows: int = MAX_BROADCAST_ROWS, salts: int = HOT_KEY_SALTS,
+                small: bool | None = None) -> DataFrame:
     """Join a large table with a lookup that has one row per key.
 
     A lookup measured within the broadcast bounds is broadcast. A larger one
     is repeated once per salt and joined on (keys, salt), so rows of a hot key
-    spread over ``salts`` tasks. Both give the same rows.
+    spread over ``salts`` tasks. Both give the same rows. ``small`` is the
+    measurement if the caller has it already.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    if fits(lookup, max_rows):
+    if fits(lookup, max_rows) if small is None else small:
         return facts.join(F.broadcast(lookup), keys, how)
     hashed = [f.name for f in facts.schema if not isinstance(f.dataType, T.MapType)]
     salt = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salts)).cast("int")
@@ -183,30 +186,29 @@ def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, patter
 def reachable(edges: DataFrame, starts: DataFrame, max_pages: int | None = None, max_levels: int = 1000) -> DataFrame:
     """Pages reachable from the start pages over (src, dst) links, with their distance.
 
-    One join per level; every level is checkpointed, so the plan stays short
-    and a lost executor does not restart the walk. With
-    ``max_pages`` the walk ends after the level that reaches the limit and the
-    nearest pages (then by URL) are kept.
+    One join per level; every level is written to the shared folder, so it is
+    computed once, the plan stays short and a lost executor does not restart
+    the walk. With ``max_pages`` the walk ends after the level that reaches
+    the limit and the nearest pages (then by URL) are kept.
     """
-    links = edges.select("src", "dst").distinct().checkpoint()
-    frontier = starts.select(F.col("url")).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    visited, reached = frontier, frontier.count()
+    size = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("size")]
+    links = settle(edges.select("src", "dst").distinct(), "links")
+    frontier = settle(starts.select("url").distinct().withColumn("depth", F.lit(0)), "level")
+    visited, measured, reached = frontier, frontier.agg(*size).first(), 0
     for level in range(1, max_levels + 1):
-        sources = frontier.select(F.col("url").alias("src"))
-        step = (
-            lookup_join(links, sources, "src", "left_semi")
-            .select(F.col("dst").alias("url")).distinct()
+        reached += measured.n
+        if measured.n == 0 or (max_pages is not None and reached >= max_pages):
+            break
+        small = measured.n <= MAX_BROADCAST_ROWS and measured.size <= MAX_BROADCAST_BYTES
+        found = lookup_join(links, frontier.select(F.col("url").alias("src")), "src", "left_semi", small=small)
+        frontier = settle(
+            found.select(F.col("dst").alias("url")).distinct()
             .join(visited.select("url"), "url", "left_anti")
-            .withColumn("depth", F.lit(level))
-            .checkpoint()
+            .withColumn("depth", F.lit(level)),
+            "level",
         )
-        grown = step.count()
-        if grown == 0:
-            break
-        visited = visited.unionByName(step)
+        measured = frontier.agg(*size).first()
+        visited = visited.unionByName(frontier)
         if level % 20 == 0:
-            visited = visited.checkpoint()
-        frontier, reached = step, reached + grown
-        if max_pages is not None and reached >= max_pages:
-            break
+            visited = settle(visited, "visited")
     return visited if max_pages is None else visited.orderBy("depth", "url").limit(max_pages)

@@ -36,25 +36,24 @@ def title_of(nodes: Column) -> Column:
 
 def metadata_of(nodes: Column) -> Column:
     """Map with the title, ``meta_<name>`` and ``og:*``; of equal names the last one holds."""
-    meta = P.by_tag(nodes, "meta")
     pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     title = F.when(F.size(P.by_tag(nodes, "title")) > 0, F.array(pair(F.lit("title"), title_of(nodes)))).otherwise(
         F.array().cast("array<struct<key:string,value:string>>")
     )
     named = F.transform(
-        F.filter(meta, lambda m: (P.attr(m, "name") != "") & (P.attr(m, "content") != "")),
+        F.filter(nodes, lambda m: (m["tag"] == "meta") & (P.attr(m, "name") != "") & (P.attr(m, "content") != "")),
         lambda m: pair(F.concat(F.lit("meta_"), F.lower(P.attr(m, "name"))), P.attr(m, "content")),
     )
     graph = F.transform(
-        F.filter(meta, lambda m: F.lower(P.attr(m, "property")).startswith("og:")),
+        F.filter(nodes, lambda m: (m["tag"] == "meta") & F.lower(P.attr(m, "property")).startswith("og:")),
         lambda m: pair(F.lower(P.attr(m, "property")), P.attr(m, "content")),
     )
-    entries = F.concat(title, named, graph)
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(
-        entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])
-    )
-    return F.map_from_entries(last)
+
+    def last_of_each(entries):
+        later = lambda i: F.transform(F.slice(entries, i + 2, F.size(entries)), lambda e: e["key"])
+        return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(later(i), e["key"])))
+
+    return X.let(F.concat(title, named, graph), last_of_each)
 
 
 def page_metadata(parsed: DataFrame, keys) -> DataFrame:
@@ -68,15 +67,33 @@ def _hrefs(nodes: Column) -> Column:
     )
 
 
+def _with_hrefs(parsed: DataFrame, keys, url: str):
+    """Pages with their anchors' links as written, and the expression for the same links as absolute URLs.
+
+    Most links are resolved in Spark; Python gets nulls for those and only
+    resolves the rest, one list per page. Its arguments are plain columns,
+    because Spark does not find a Python call whose arguments hold lambdas.
+    """
+    left = lambda u, r: F.when(r.isNull(), u)
+    pages = (
+        parsed.select(*keys, F.col(url).alias("_base"), _hrefs(_nodes()).alias("_hrefs"))
+        .withColumn("_ready", H.plain_urls("_base", "_hrefs"))
+        .withColumn("_left", F.zip_with("_hrefs", "_ready", left))
+    )
+    return pages, F.zip_with("_ready", H.join_urls("_base", "_left"), lambda a, b: F.coalesce(a, b))
+
+
 def anchors(parsed: DataFrame, keys, url: str = "url") -> DataFrame:
     """Every anchor of a page as written and as an absolute URL."""
-    hrefs = parsed.select(*keys, F.col(url).alias("_base"), F.posexplode(_hrefs(_nodes())).alias("pos", "href"))
-    return hrefs.withColumn("link", H.absolute_url("_base", "href")).drop("_base")
+    pages, links = _with_hrefs(parsed, keys, url)
+    both = F.arrays_zip(F.col("_hrefs").alias("href"), links.alias("link"))
+    return pages.select(*keys, F.posexplode(both).alias("pos", "a")).select(*keys, "pos", "a.href", "a.link")
 
 
 def page_links(parsed: DataFrame, keys, url: str = "url") -> DataFrame:
     """Distinct valid absolute links per page."""
-    return anchors(parsed, keys, url).where(X.valid_url("link")).select(*keys, "link").distinct()
+    pages, links = _with_hrefs(parsed, keys, url)
+    return pages.select(*keys, F.explode(F.filter(F.array_distinct(links), X.valid_url)).alias("link"))
 
 
 def split_links(links: DataFrame, target: Column) -> DataFrame:
@@ -124,7 +141,7 @@ def script_urls(parsed: DataFrame, keys) -> DataFrame:
         lambda n: F.array_join(F.transform(P.below(_nodes(), n), lambda x: F.coalesce(x["text"], F.lit(""))), ""),
     )
     found = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(R.SCRIPT_URL), F.lit(0))))
-    return parsed.select(*keys, F.explode(F.array_distinct(F.filter(found, X.valid_url))).alias("script_url"))
+    return parsed.select(*keys, F.explode(F.filter(F.array_distinct(found), X.valid_url)).alias("script_url"))
 
 
 def page_comments(parsed: DataFrame, keys) -> DataFrame:
@@ -188,11 +205,25 @@ def table_hosts(parsed: DataFrame, keys, table_class: str = "table") -> DataFram
     return parsed.select(*keys, F.explode(F.array_distinct(F.filter(hosts, X.valid_domain))).alias("host"))
 
 
-def class_names(parsed: DataFrame, keys, pattern: str, tags=("div", "li", "span")) -> DataFrame:
-    """Texts of the elements whose class fits a pattern, as cleaned names."""
-    found = F.filter(P.by_tag(_nodes(), *tags), lambda n: P.attr(n, "class").rlike(pattern))
-    names = F.transform(found, lambda n: X.clean_name(P.text_of(_nodes(), n)))
-    return parsed.select(*keys, F.posexplode(names).alias("pos", "name")).where("name is not null")
+def class_names(parsed: DataFrame, keys) -> DataFrame:
+    """Channel and member names (kind, pos, name) from elements of telling classes.
+
+    Channel names are cleaned; member names are only kept to under 50 characters.
+    """
+
+    def named(kind, tags, pattern, to_name):
+        found = F.filter(P.by_tag(_nodes(), *tags), lambda n: P.attr(n, "class").rlike(pattern))
+        names = F.filter(F.transform(found, lambda n: to_name(P.text_of(_nodes(), n))), lambda x: x.isNotNull())
+        return F.transform(
+            names, lambda name, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), name.alias("name"))
+        )
+
+    short = lambda c: X.let(X.strip(c), lambda s: F.when((s != "") & (F.length(s) < 50), s))
+    both = F.concat(
+        named("channel", ("div", "li", "span"), R.CHANNEL_CLASS, X.clean_name),
+        named("member", ("span", "div"), R.MEMBER_CLASS, short),
+    )
+    return parsed.select(*keys, F.explode(both).alias("n")).select(*keys, "n.*")
 
 
 def paste_body(parsed: DataFrame, keys, site: str = "site") -> DataFrame:
@@ -257,7 +288,7 @@ def _item(rule: R.SiteRule, box: Column) -> Column:
             X.strip(P.text_of(_nodes(), snippet)).alias("snippet"),
         )
 
-    return P.let(P.let(P.below(_nodes(), box), parts), item)
+    return X.let(X.let(P.below(_nodes(), box), parts), item)
 
 
 def result_items(parsed: DataFrame, keys, site_rules, site: str = "site", all_rules: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage import rules as R
@@ -13,43 +13,45 @@ from seepage.functions import text as X
 MAX_USER_RULES = 500
 
 
-def with_findings(df: DataFrame, text: str, rules, name: str = "findings") -> DataFrame:
-    """Add one array entry (kind, match_count, sample_matches) per rule that found something.
+def findings(text: str, rules, lowered: str = "_lowered") -> Column:
+    """Array of (kind, match_count, sample_matches) with one entry per rule that found something, in rule order.
 
-    Entries come in rule order. Samples are the first three values, masked as
-    the rule says, so no secret leaves the projection.
+    Samples are the first three values, masked as the rule says, so no secret
+    leaves the expression. ``lowered`` names the column of the text in lower case.
     """
-    found = F.array(
-        *[
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.shown).alias("shown"),
-                     X.rule_matches(text, "_lowered", r).alias("hits"))
-            for r in rules
-        ]
-    )
-    present = F.filter(F.col("_found"), lambda f: F.size(f["hits"]) > 0)
+    hits = [
+        F.struct(F.lit(r.kind).alias("kind"), F.lit(r.shown).alias("shown"), X.rule_matches(text, lowered, r).alias("hits"))
+        for r in rules
+    ]
 
     def entry(f):
-        clear, redacted = X.shown_samples(f["hits"], "clear"), X.shown_samples(f["hits"], "redacted")
-        samples = F.when(f["shown"] == "clear", clear).when(f["shown"] == "redacted", redacted)
-        return F.struct(
-            f["kind"].alias("kind"),
-            F.size(f["hits"]).alias("match_count"),
-            samples.otherwise(X.shown_samples(f["hits"], "masked")).alias("sample_matches"),
+        shown = (
+            F.when(f["shown"] == "clear", X.shown_samples(f["hits"], "clear"))
+            .when(f["shown"] == "redacted", X.shown_samples(f["hits"], "redacted"))
+            .otherwise(X.shown_samples(f["hits"], "masked"))
         )
+        return F.struct(f["kind"].alias("kind"), F.size(f["hits"]).alias("match_count"), shown.alias("sample_matches"))
 
-    return (
-        df.withColumn("_lowered", F.lower(F.col(text)))
-        .withColumn("_found", found)
-        .withColumn(name, F.transform(present, entry))
-        .drop("_lowered", "_found")
-    )
+    return F.transform(F.filter(F.array(*hits), lambda f: F.size(f["hits"]) > 0), entry)
+
+
+def _with_lowered(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_lowered", F.lower(F.col(text)))
+
+
+def with_findings(df: DataFrame, text: str, rules, name: str = "findings") -> DataFrame:
+    """Add the findings array of a text."""
+    return _with_lowered(df, text).withColumn(name, findings(text, rules)).drop("_lowered")
 
 
 def scan_kinds(df: DataFrame, keys, text: str, rules) -> DataFrame:
-    """One row per (keys, kind) with the match count and the shown samples."""
-    return with_findings(df.select(*keys, text), text, rules).select(*keys, F.explode("findings").alias("f")).select(
-        *keys, "f.*"
-    )
+    """One row per (keys, kind) with the match count and the shown samples.
+
+    The array is built inside the explode: Spark would put a size test on a
+    finished column in front of it and search every text twice.
+    """
+    rows = _with_lowered(df.select(*keys, text), text).select(*keys, F.explode(findings(text, rules)).alias("f"))
+    return rows.select(*keys, "f.*")
 
 
 def scan_secrets(df: DataFrame, keys, text: str, rules, salt: str) -> DataFrame:
@@ -61,8 +63,7 @@ def scan_secrets(df: DataFrame, keys, text: str, rules, salt: str) -> DataFrame:
         ]
     )
     return (
-        df.select(*keys, text)
-        .withColumn("_lowered", F.lower(F.col(text)))
+        _with_lowered(df.select(*keys, text), text)
         .select(*keys, F.explode(F.filter(found, lambda f: F.size(f["hits"]) > 0)).alias("f"))
         .select(*keys, F.col("f.kind").alias("kind"), F.posexplode("f.hits").alias("pos", "value"))
         .select(

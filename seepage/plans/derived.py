@@ -218,7 +218,7 @@ FROM (SELECT doc_id, """ + _SITE + """ AS site,
   '<p>github.com/g', c_nationkey, ' and linkedin.com/company/l-', c_custkey, ' facebook.com/HOME </p>',
   '<form action="/send" method="POST"><input type="text" name="n', c_custkey, '" required><div><select id="s"></select></div><textarea placeholder="say"></textarea></form><form><input></form>',
   '<table class="table wide"><tr><th>h</th></tr><tr><td> mail.corp', c_nationkey, '.example.com </td><td>1</td></tr><tr><td>single</td></tr><tr><td>not a host</td><td>2</td></tr></table>',
-  '<!-- build ', c_custkey, ' --><ul><li class="channel-item"># gen ', c_nationkey, '</li><li class="user">Member ', c_custkey, '</li></ul>',
+  '<!-- build ', c_custkey, ' --><ul><li class="channel-item"># gen ', c_nationkey, '</li><li><span class="user">Member ', c_custkey, '</span></li></ul>',
   '<p>Call 555-010-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), ' or me', c_custkey, '@corp1.example.com at 12 Main Street, Springfield, 12345</p></body></html>') AS html,
   c_name, c_nationkey, c_mktsegment FROM {customer}""",
         ("customer",),

@@ -129,9 +129,6 @@ def fan_out(t):
     ("site_pages",),
 )
 def reachable_pages(t):
-    from seepage.session import shared_dir
-
-    shared_dir(t.spark)
     pages = t.site_pages
     links = G.page_links(G.with_nodes(pages), ["url"]).select(F.col("url").alias("src"), F.col("link").alias("dst"))
     stored = links.join(pages.select(F.col("url").alias("dst")), "dst", "left_semi")

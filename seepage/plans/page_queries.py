@@ -245,13 +245,11 @@ def table_hosts(t):
 
 @query(
     "class_names",
-    "SELECT c_custkey, 0 AS pos, 'gen' || c_nationkey AS name FROM customer"
-    " UNION ALL SELECT c_custkey, 0, 'Member' || c_custkey FROM customer",
+    "SELECT c_custkey, 'channel' AS kind, 0 AS pos, 'gen' || c_nationkey AS name FROM customer"
+    " UNION ALL SELECT c_custkey, 'member', 0, 'Member ' || c_custkey FROM customer",
 )
 def class_names(t):
-    facts = rich(t)
-    channels = G.class_names(facts, ["c_custkey"], R.CHANNEL_CLASS)
-    return channels.unionByName(G.class_names(facts, ["c_custkey"], R.MEMBER_CLASS))
+    return G.class_names(rich(t), ["c_custkey"])
 
 
 @query(

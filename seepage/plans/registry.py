@@ -8,10 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seepage.plans.derived import DERIVED, closure
+from seepage.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Tables whose texts are searched or parsed, with the key that deals their rows out.
+SPREAD = {"documents": ("doc_id",), "pages": ("page_id",), "customer": ("c_custkey",), "orders": ("o_orderkey",),
+          "part": ("p_partkey",), "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"),
+          "conversations": ("conv_id", "turn")}
+
 
 class Tables:
     """The test tables and the inputs derived from them, read on demand."""
@@ -23,7 +29,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in DERIVED:
-            return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+            return spread(table, *SPREAD[name]) if name in SPREAD else table
         sql, inputs = DERIVED[name]
         return self.spark.sql(sql.format(**{i: f"{{{i}}}" for i in inputs}), **{i: getattr(self, i) for i in inputs})
 

@@ -201,15 +201,18 @@ def _read_office(content, kind):
         return None
 
 
-_OFFICE = T.StructType(
-    [T.StructField("text", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
+_OFFICE = T.ArrayType(
+    T.StructType(
+        [T.StructField("text", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
+    )
 )
 
 
 @F.arrow_udf(_OFFICE)
 def _office(content: pa.Array, kind: pa.Array) -> pa.Array:
     rows = (_read_office(c.as_py(), k.as_py()) for c, k in zip(content, kind))
-    return pa.array(list(rows), pa.struct([("text", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))]))
+    item = pa.struct([("text", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))])
+    return pa.array([[] if r is None else [r] for r in rows], pa.list_(item))
 
 
 def office_scan(files: DataFrame, keys=("path",), kind: str | None = None) -> DataFrame:
@@ -221,7 +224,6 @@ def office_scan(files: DataFrame, keys=("path",), kind: str | None = None) -> Da
     extension = F.col(kind) if kind else F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     return (
         files.withColumn("file_type", extension)
-        .withColumn("_office", _office("content", "file_type"))
-        .where("_office is not null")
-        .select(*keys, "file_type", "_office.text", "_office.metadata", F.length("_office.text").alias("text_length"))
+        .select(*keys, "file_type", F.explode(_office("content", "file_type")).alias("o"))
+        .select(*keys, "file_type", "o.text", "o.metadata", F.length("o.text").alias("text_length"))
     )
