@@ -95,7 +95,7 @@ def plain_urls(base, links) -> Column:
     with a scheme and host.
     """
     links = _col(links)
-    is_plain = lambda u: u.rlike(r"^(https?|ftp)://[^/?#\s]+(/[^.?#\s]*)?$")
+    is_plain = lambda u: u.rlike(r"^(https?|ftp)://[^/?#\s\[\]]+(/[^.?#\s]*)?$")
     is_rooted = lambda u: u.rlike(r"^/([^/.?#\s][^.?#\s]*)?$")
 
     def ready(root):

@@ -151,12 +151,14 @@ def shown_samples(values: Column, shown: str, n: int = 3) -> Column:
 
 
 def rule_matches(c, lowered, rule: R.Rule) -> Column:
-    """All values one rule finds. The hint test keeps the pattern off texts that cannot match."""
+    """All values one rule finds. The cheap tests keep the pattern off texts that cannot match."""
+    c = _col(c)
     found = matches(c, rule.pattern, rule.group)
-    if not rule.hints:
+    tests = [any_of([F.contains(_col(lowered), F.lit(h)) for h in rule.hints])] if rule.hints else []
+    tests += [c.rlike(rule.needs)] if rule.needs else []
+    if not tests:
         return found
-    possible = any_of([F.contains(_col(lowered), F.lit(h)) for h in rule.hints])
-    return F.when(possible, found).otherwise(F.array().cast("array<string>"))
+    return F.when(reduce(Column.__and__, tests), found).otherwise(F.array().cast("array<string>"))
 
 
 def redacted(c, rules=R.PASTE_RULES) -> Column:
@@ -197,9 +199,10 @@ def file_type(url) -> Column:
 
 def is_document_link(url, strict: bool = False) -> Column:
     """Names a listed extension anywhere in the URL; ``strict`` wants it at the end of the path."""
+    if not strict:
+        return contains_any(or_empty(url), R.DOCUMENT_EXTENSIONS)
     alternatives = "|".join(e.replace(".", r"\.") for e in R.DOCUMENT_EXTENSIONS)
-    low = F.lower(or_empty(url))
-    return low.rlike(rf"\.({alternatives})($|[?#])") if strict else low.rlike(alternatives)
+    return or_empty(url).rlike(rf"(?i)\.({alternatives})($|[?#])")
 
 
 def is_readable_url(url) -> Column:

@@ -30,7 +30,9 @@ def _any_case(extension: str) -> str:
 
 def _clean_lines(df: DataFrame) -> DataFrame:
     """Stripped lines that are not blank. Bytes that are no UTF-8 are left out."""
-    return df.withColumn("line", strip(F.replace("line", F.lit("�"), F.lit("")))).where("line != ''")
+    repaired = F.replace(F.make_valid_utf8("line"), F.lit("\ufffd"), F.lit(""))
+    line = F.when(F.is_valid_utf8("line"), F.col("line")).otherwise(repaired)
+    return df.withColumn("line", strip(line)).where("line != ''")
 
 
 def scan_text_dump(spark: SparkSession, path: str, extensions=(".txt", ".gz"),
