@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -160,11 +161,12 @@ def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, patter
     A few phrases are tested inside one projection. More are searched in one
     pass per text with an automaton that each task builds from a broadcast of
     at most ``max_automaton`` phrases; a longer table is worked off in hash
-    buckets of that size. The corpus is never joined with the phrases.
+    buckets of that size, whose hits are written to the shared folder so that
+    the driver holds one bucket at a time. The corpus is never joined with the
+    phrases.
     """
     phrases = patterns.select(F.lower(F.col(pattern)).alias("p")).where("p != ''").distinct()
     total = phrases.count()
-    spark = corpus.sparkSession
     base = corpus.select(*keys, F.lower(F.col(text)).alias("_low"))
     if total <= max_inline:
         words = sorted(r.p for r in phrases.collect())
@@ -172,27 +174,34 @@ def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, patter
             return base.select(*keys, F.lit("").alias(pattern)).limit(0)
         hit = F.array(*[F.when(F.contains("_low", F.lit(w)), F.lit(w)) for w in words])
         return base.select(*keys, F.explode(F.filter(hit, lambda w: w.isNotNull())).alias(pattern))
-    buckets = -(-2 * total // max_automaton)
-    out = None
+
+    def search(part):
+        shared = corpus.sparkSession.sparkContext.broadcast(sorted(r.p for r in part.collect()))
+        return shared, base.select(*keys, F.explode(_automaton_hits(shared)("_low")).alias(pattern))
+
+    if total <= max_automaton:
+        return search(phrases)[1]
+    phrases, buckets, parts = settle(phrases, "phrases"), -(-2 * total // max_automaton), []
     for b in range(buckets):
-        part = phrases.where(F.pmod(F.xxhash64("p"), F.lit(buckets)) == b)
-        words = sorted(r.p for r in part.collect())
-        shared = spark.sparkContext.broadcast(words)
-        hits = base.select(*keys, F.explode(_automaton_hits(shared)("_low")).alias(pattern))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        shared, hits = search(phrases.where(F.pmod(F.xxhash64("p"), F.lit(buckets)) == b))
+        parts.append(settle(hits, "hits"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_pages: int | None = None, max_levels: int = 1000) -> DataFrame:
-    """Pages reachable from the start pages over (src, dst) links, with their distance.
+def reachable(links: DataFrame, starts: DataFrame, stored: DataFrame | None = None,
+              max_pages: int | None = None, max_levels: int = 1000) -> DataFrame:
+    """Pages reachable from the start pages (url) over (src, dst) links, with their distance.
 
     One join per level; every level is written to the shared folder, so it is
     computed once, the plan stays short and a lost executor does not restart
-    the walk. With ``max_pages`` the walk ends after the level that reaches
+    the walk. ``stored`` (url) limits the walk to pages at hand; it meets only
+    the distinct new pages of a level, so a page that most links point to is
+    no hot key. With ``max_pages`` the walk ends after the level that reaches
     the limit and the nearest pages (then by URL) are kept.
     """
     size = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("size")]
-    links = settle(edges.select("src", "dst").distinct(), "links")
+    links = settle(links.select("src", "dst"), "links")
     frontier = settle(starts.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     visited, measured, reached = frontier, frontier.agg(*size).first(), 0
     for level in range(1, max_levels + 1):
@@ -201,12 +210,10 @@ def reachable(edges: DataFrame, starts: DataFrame, max_pages: int | None = None,
             break
         small = measured.n <= MAX_BROADCAST_ROWS and measured.size <= MAX_BROADCAST_BYTES
         found = lookup_join(links, frontier.select(F.col("url").alias("src")), "src", "left_semi", small=small)
-        frontier = settle(
-            found.select(F.col("dst").alias("url")).distinct()
-            .join(visited.select("url"), "url", "left_anti")
-            .withColumn("depth", F.lit(level)),
-            "level",
-        )
+        new = found.select(F.col("dst").alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
+        if stored is not None:
+            new = new.join(stored.select("url"), "url", "left_semi")
+        frontier = settle(new.withColumn("depth", F.lit(level)), "level")
         measured = frontier.agg(*size).first()
         visited = visited.unionByName(frontier)
         if level % 20 == 0:

@@ -131,10 +131,9 @@ def fan_out(t):
 def reachable_pages(t):
     pages = t.site_pages
     links = G.page_links(G.with_nodes(pages), ["url"]).select(F.col("url").alias("src"), F.col("link").alias("dst"))
-    stored = links.join(pages.select(F.col("url").alias("dst")), "dst", "left_semi")
-    internal = G.split_links(stored.withColumnRenamed("dst", "link"), F.lit("wiki.example.com")).where("is_internal")
+    internal = G.split_links(links.withColumnRenamed("dst", "link"), F.lit("wiki.example.com")).where("is_internal")
     start = pages.where("k = 0").select("url")
-    return J.reachable(internal.select("src", F.col("link").alias("dst")), start)
+    return J.reachable(internal.select("src", F.col("link").alias("dst")), start, pages.select("url"))
 
 
 # --- keep-first rules, unions, limits

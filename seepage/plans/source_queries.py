@@ -185,8 +185,10 @@ IN_CONTENT = D.words("content", X.mention_keywords(TARGET))
 
 def _stream_result(t):
     """Run the monitor over the documents as a stream until all of it is processed; returns what it wrote."""
-    schema = t.documents.schema
-    arriving = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    path = f"{t.sf_dir.rstrip('/')}/documents.parquet"
+    schema = t.spark.read.parquet(path).schema
+    # As a glob the path may be one file as well as a folder of files.
+    arriving = t.spark.readStream.schema(schema).parquet(f"{path[:-1]}[t]")
     sql, _ = DERIVED["pastes"]
     pastes = t.spark.sql(sql.format(documents="{documents}"), documents=arriving)
     sink = scratch(t.spark, "detections")

@@ -115,6 +115,8 @@ def test_reachable(spark):
     start = spark.createDataFrame([("a",)], "url string")
     assert rows(J.reachable(df, start)) == [("a", 0), ("b", 1), ("c", 2), ("d", 2)]
     assert rows(J.reachable(df, start, max_pages=3)) == [("a", 0), ("b", 1), ("c", 2)]
+    at_hand = spark.createDataFrame([("a",), ("b",), ("d",)], "url string")
+    assert rows(J.reachable(df, start, at_hand)) == [("a", 0), ("b", 1), ("d", 2)]
     long = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(25)], "src string, dst string")
     assert J.reachable(long, spark.createDataFrame([("000",)], "url string")).agg(F.max("depth")).first()[0] == 25
 
