@@ -23,7 +23,8 @@ def clean_domain(c) -> Column:
 
 
 def strip_wildcard(c) -> Column:
-    return F.regexp_replace(_col(c), r"^\*\.", "")
+    c = _col(c)
+    return F.when(F.startswith(c, F.lit("*.")), F.substr(c, F.lit(3))).otherwise(c)
 
 
 def first_label(c) -> Column:

@@ -7,9 +7,12 @@ every page operator is a Spark array expression over that list.
 
 from __future__ import annotations
 
+import re
 import sys
+from html import unescape
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -35,40 +38,91 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW_TAGS = frozenset(("script", "style", "template"))
 
 
+# Tokens of plainly written markup: tags with quoted attributes, comments, the doctype, text.
+_PLAIN = re.compile(
+    r'<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\s+[a-zA-Z][a-zA-Z0-9:_-]*(?:="[^"<>]*")?)*)\s*(?P<closed>/?)>'
+    r"|<!--(?P<comment>[^<>-]*(?:-[^<>-]+)*)-->"
+    r"|(?P<text>[^<]+)"
+    r"|<!(?i:doctype)[^<>\[\]]*>"
+)
+_ATTR = re.compile(r'([a-zA-Z][a-zA-Z0-9:_-]*)(?:="([^"]*)")?')
+_MIXED = frozenset(("title", "textarea", "iframe", "noembed", "noframes", "noscript", "plaintext", "xmp", "template"))
+
+
 class _NodeList(HTMLParser):
-    """Appends every node to the shared column lists."""
+    """Appends every node to a list of (tag, attrs, text) and the position of its last descendant to another."""
 
-    def __init__(self, cols):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.cols = cols
+        self.rows, self.last = [], []
 
     def page(self, html):
-        self.reset()
-        self.start, self.stack = len(self.cols["tag"]), []
-        self.feed(html)
-        self.close()
+        """Read a page: plainly written ones with one pattern, all others with the general parser."""
+        self.start, self.stack = len(self.rows), []
+        if not self._plain_page(html):
+            del self.rows[self.start:], self.last[self.start:]
+            self.stack = []
+            self.reset()
+            self.feed(html)
+            self.close()
         while self.stack:
             self._pop()
 
+    def _plain_page(self, html):
+        """True if the whole page is tokens about which all parsers agree."""
+        pos, size, token = 0, len(html), _PLAIN.match
+        while pos < size:
+            m = token(html, pos)
+            if m is None:
+                return False
+            pos, kind = m.end(), m.lastgroup
+            if kind == "text":
+                text = m["text"]
+                self._add(TEXT, None, unescape(text) if "&" in text else text)
+            elif kind == "comment":
+                self._add(COMMENT, None, m["comment"])
+            elif kind == "closed":
+                tag = m["tag"].lower()
+                if m["end"]:
+                    if m["attrs"] or m["closed"]:
+                        return False
+                    self.handle_endtag(tag)
+                    continue
+                if self.stack and self.stack[-1][1] in _MIXED:
+                    return False
+                found = [(k.lower(), v) for k, v in _ATTR.findall(m["attrs"])] if m["attrs"] else []
+                if "&" in m["attrs"]:
+                    found = [(k, unescape(v)) for k, v in found]
+                if m["closed"]:
+                    self.handle_startendtag(tag, found)
+                    continue
+                self.handle_starttag(tag, found)
+                if tag in _RAW_TAGS:
+                    stop = html.find("</" + tag, pos)
+                    if tag == "template" or stop < 0 or not html.startswith(f"</{tag}>", stop):
+                        return False
+                    if "</" + tag in html[pos:stop].lower() or "<!--" in html[pos:stop]:
+                        return False
+                    if stop > pos:
+                        self._add(RAW, None, html[pos:stop])
+                    pos = stop
+        return True
+
     def updatepos(self, i, j):
         return j  # line numbers are not needed
 
     def _add(self, tag, attrs, text):
-        cols, pos = self.cols, len(self.cols["tag"]) - self.start
-        cols["id"].append(pos)
-        cols["last"].append(pos)
-        cols["tag"].append(tag)
-        cols["attrs"].append(attrs)
-        cols["text"].append(text)
+        pos = len(self.rows) - self.start
+        self.rows.append((tag, attrs, text))
+        self.last.append(pos)
         return pos
 
     def _pop(self):
-        pos, _ = self.stack.pop()
-        self.cols["last"][self.start + pos] = len(self.cols["tag"]) - self.start - 1
+        self.last[self.start + self.stack.pop()[0]] = len(self.rows) - self.start - 1
 
     def handle_starttag(self, tag, attrs):
         # Of a repeated attribute the last value holds.
-        pos = self._add(tag, list({k: v or "" for k, v in attrs}.items()), None)
+        pos = self._add(tag, list({k: v or "" for k, v in attrs}.items()) if attrs else [], None)
         if tag not in _VOID:
             self.stack.append((pos, tag))
 
@@ -76,7 +130,9 @@ class _NodeList(HTMLParser):
         self._add(tag, list({k: v or "" for k, v in attrs}.items()), None)
 
     def handle_endtag(self, tag):
-        if any(open_tag == tag for _, open_tag in self.stack):
+        if self.stack and self.stack[-1][1] == tag:
+            self._pop()
+        elif any(open_tag == tag for _, open_tag in self.stack):
             while self.stack[-1][1] != tag:
                 self._pop()
             self._pop()
@@ -89,16 +145,22 @@ class _NodeList(HTMLParser):
 
 
 def _nodes_of(pages: pa.Array) -> pa.Array:
-    cols = {"id": [], "last": [], "tag": [], "attrs": [], "text": []}
-    reader, offsets = _NodeList(cols), [0]
+    reader, offsets = _NodeList(), [0]
     for page in pages.to_pylist():
         if page:
             reader.page(page)
-        offsets.append(len(cols["tag"]))
-    types = {"id": pa.int32(), "last": pa.int32(), "tag": pa.string(),
-             "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string()}
-    items = pa.StructArray.from_arrays([pa.array(cols[c], types[c]) for c in types], names=list(types))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+        offsets.append(len(reader.rows))
+    offsets = np.array(offsets, dtype=np.int32)
+    ids = np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets))
+    tags, attrs, texts = zip(*reader.rows) if reader.rows else ((), (), ())
+    items = pa.StructArray.from_arrays(
+        [
+            pa.array(ids), pa.array(reader.last, pa.int32()), pa.array(tags, pa.string()),
+            pa.array(attrs, pa.map_(pa.string(), pa.string())), pa.array(texts, pa.string()),
+        ],
+        names=NODE.names,
+    )
+    return pa.ListArray.from_arrays(pa.array(offsets), items)
 
 
 @F.arrow_udf(T.ArrayType(NODE))

@@ -48,38 +48,31 @@ def normalise_email(c) -> Column:
     return F.lower(strip(c))
 
 
-# Labels of letters and digits with inner hyphens, an alphabetic last one; possessive, so nothing is tried twice.
-_DOMAIN = r"(?:[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+\.)+[A-Za-z]{2,63}"
+# Labels of up to 63 letters and digits with inner hyphens, an alphabetic last one; possessive, so nothing is tried twice.
+_DOMAIN = r"(?:(?=[^.]{1,63}\.)[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+\.)+[A-Za-z]{2,63}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{}~-]+"
 
 
-def _fitting(host: Column) -> Column:
-    """Labels of 63 characters at most, 253 in all."""
-    return (F.length(host) <= 253) & ~host.rlike("[^.]{64}")
+def _fits(c, pattern: str) -> Column:
+    return F.coalesce(_col(c).rlike(pattern), F.lit(False))
 
 
 def valid_domain(c) -> Column:
     """Two or more labels of letters, digits and inner hyphens (63 at most, 253 in all), an alphabetic last one."""
-    c = _col(c)
-    return F.coalesce(c.rlike(f"^{_DOMAIN}$") & ((F.length(c) < 64) | _fitting(c)), F.lit(False))
+    return _fits(c, rf"^(?=.{{1,253}}$){_DOMAIN}$")
 
 
 def valid_email(c) -> Column:
     """A dot-atom of 64 characters at most, '@' and a valid domain."""
-    c = _col(c)
-    parts = (F.length(F.substring_index(c, "@", 1)) <= 64) & _fitting(F.substring_index(c, "@", -1))
-    return F.coalesce(c.rlike(rf"^{_ATOM}(?:\.{_ATOM})*@{_DOMAIN}$") & ((F.length(c) < 64) | parts), F.lit(False))
+    return _fits(c, rf"^(?=[^@]{{1,64}}@){_ATOM}(?:\.{_ATOM})*@(?=.{{1,253}}$){_DOMAIN}$")
 
 
 def valid_url(c) -> Column:
     """http, https or ftp, an optional user, a valid domain, IPv4 address or localhost, an optional port, no blanks."""
-    c = _col(c)
-    head = r"(?i:https?|ftp)://(?:[^/?#@\s]*+@)?"
     host = rf"(?:{_DOMAIN}|{_OCTET}(?:\.{_OCTET}){{3}}|localhost)"
-    rest = r"(?::\d{1,5})?(?:[/?#]\S*)?"
-    named = F.regexp_extract(c, rf"^{head}([^/?#:@\s]+)", 1)
-    return F.coalesce(c.rlike(f"^{head}{host}{rest}$") & ((F.length(c) < 64) | _fitting(named)), F.lit(False))
+    sized = r"(?=[^/?#:]{1,253}(?:[/?#:]|$))"
+    return _fits(c, rf"^(?i:https?|ftp)://(?:[^/?#@\s]*+@)?{sized}{host}(?::\d{{1,5}})?(?:[/?#]\S*)?$")
 
 
 def matches(c, pattern: str, group: int = 0) -> Column:

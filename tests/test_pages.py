@@ -1,5 +1,7 @@
 """Page parsing and the operators on node lists, on odd pages."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from seepage import rules as R
@@ -8,6 +10,31 @@ from seepage.functions import hosts as H
 from seepage.operators import pages as G
 
 
+FRAGMENTS = (
+    "< > \" ' </p> <p> <div_a=\"b\"> &amp; &lt & = / <!-- --> -- <script> </script> <style> </style> x <br/> <br> <title> </title>"
+    " <a_href=\"u?x&y=1&copy=2\"> </a> <!DOCTYPE_html> <?pi?> <![CDATA[x]]> <A_HREF=\"Q\"> <input_required> <b_c=d> </b_> <textarea>"
+    " </textarea> <p/> </SCRIPT> é <i_x=\"1\"_X=\"2\"> </br> <template> </template> __"
+).split(" ")
+
+
+def test_plain_pages_read_like_all_others():
+    class General(P._NodeList):
+        def _plain_page(self, html):
+            return False
+
+    random.seed(7)
+    plain = 0
+    for _ in range(20_000):
+        page = "".join(random.choice(FRAGMENTS).replace("_", " ") for _ in range(random.randint(1, 9)))
+        fast, general = P._NodeList(), General()
+        fast.page(page)
+        general.page(page)
+        assert (fast.rows, fast.last) == (general.rows, general.last), page
+        fast.start, fast.stack = 0, []
+        plain += fast._plain_page(page)
+    assert plain > 500  # both ways were taken
+
+
 def parse(spark, *pages):
     rows = [(i, f"https://x.org/d/{i}", "site", h) for i, h in enumerate(pages)]
     return G.with_nodes(spark.createDataFrame(rows, "id int, url string, site string, html string"))
