@@ -61,6 +61,18 @@ def dedupe_certificates(certs: DataFrame) -> DataFrame:
     return kept.orderBy(F.desc_nulls_last("logged_at"), "id")
 
 
+def certificates(entries: DataFrame, target: str, as_of: str, include_expired: bool = False,
+                 max_certificates: int | None = None, order=("id",)) -> DataFrame:
+    """From log entries to deduplicated certificates: limit, expiry filter, one per serial number, names.
+
+    Gives the rows of ``dedupe_certificates(active(parse_certificates(...)))``, but reads the names of kept entries only.
+    """
+    entries = entries if max_certificates is None else limit_entries(entries, max_certificates, order)
+    entries = entries if include_expired else entries.where(~is_expired("not_after", as_of))
+    kept = parse_certificates(keep_first_or_empty(entries, "serial_number", ["id"]), target, as_of)
+    return kept.orderBy(F.desc_nulls_last("logged_at"), "id")
+
+
 def subdomains(certs: DataFrame) -> DataFrame:
     """Distinct valid hosts of the target over all certificates, sorted."""
     name = H.strip_wildcard("name")

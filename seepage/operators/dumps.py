@@ -13,7 +13,9 @@ from seepage.functions import text as X
 from seepage.operators.dedupe import keep_first
 from seepage.operators.matching import lookup_join
 
-_ADDRESS_AT = r"\b([A-Za-z0-9._%+-]+)@(?=([A-Za-z0-9._-]+))"
+# An address up to where its domain characters end; the match itself ends at the '@', so that what follows can open
+# the next address.
+_ADDRESS = r"\b(?=([A-Za-z0-9._%+-]+@[A-Za-z0-9._-]+))[A-Za-z0-9._%+-]+@"
 
 
 def dump_emails(lines: DataFrame, watchlist: DataFrame, domain: str = "domain") -> DataFrame:
@@ -23,13 +25,11 @@ def dump_emails(lines: DataFrame, watchlist: DataFrame, domain: str = "domain")
     is found by an equality join wherever a word boundary ends it.
     """
     watched = watchlist.select(F.lower(F.col(domain)).alias("watched_domain")).distinct()
-    found = F.arrays_zip(
-        X.matches("line", _ADDRESS_AT, 1).alias("name"), X.matches("line", _ADDRESS_AT, 2).alias("rest")
-    )
     keyed = (
         lines.where(F.contains("line", F.lit("@")))
-        .select("source_file", "line", F.explode(found).alias("m"))
-        .select("source_file", "line", F.lower("m.name").alias("name"), F.lower("m.rest").alias("rest"))
+        .select("source_file", "line", F.explode(X.matches("line", _ADDRESS, 1)).alias("found"))
+        .withColumn("name", F.lower(F.substring_index("found", "@", 1)))
+        .withColumn("rest", F.lower(F.substring_index("found", "@", -1)))
         .select("source_file", "line", "name", F.explode(H.cut_prefixes("rest")).alias("watched_domain"))
     )
     hits = lookup_join(keyed, watched, "watched_domain").withColumn(
@@ -43,13 +43,17 @@ def dump_emails(lines: DataFrame, watchlist: DataFrame, domain: str = "domain")
 
 def credential_pairs(lines: DataFrame, salt: str) -> DataFrame:
     """Every (address, secret) pair of every line, the secret as kind, length and keyed fingerprint only."""
-    by_mark = [
-        F.when(
-            F.contains("line", F.lit(mark)),
-            F.arrays_zip(X.matches("line", p, 1).alias("email"), X.matches("line", p, 2).alias("secret")),
-        ).otherwise(F.array().cast("array<struct<email:string,secret:string>>"))
-        for mark, p in R.CREDENTIAL_PAIRS
-    ]
+    def found(mark, pattern):
+        part = lambda m, i: F.split_part(m, F.lit(mark), F.lit(i))
+        pair = lambda m: F.struct(part(m, 1).alias("email"), part(m, 2).alias("secret"))
+        # A match can only start where a run without the mark and blanks does; saying so keeps long lines linear.
+        at_start = rf"(?<![^{mark}\s]){pattern}"
+        return F.when(F.contains("line", F.lit(mark)), F.transform(X.matches("line", at_start), pair)).otherwise(
+            F.array().cast("array<struct<email:string,secret:string>>")
+        )
+
+    # Neither part of a pair holds its mark, so a match splits at it.
+    by_mark = [found(mark, pattern) for mark, pattern in R.CREDENTIAL_PAIRS]
     pairs = reduce(F.concat, by_mark)
     return (
         lines.where(F.contains("line", F.lit("@")))

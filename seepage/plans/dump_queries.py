@@ -106,6 +106,10 @@ def certs(t):
     return K.parse_certificates(t.ct_entries, CORP, AS_OF)
 
 
+def unique_certs(t):
+    return K.certificates(t.ct_entries, CORP, AS_OF, include_expired=True)
+
+
 @query(
     "cert_domains",
     f"SELECT id, array_to_string(domains, ',') AS domains, array_to_string({OF_TARGET}, ',') AS target_domains FROM {CERTS}",
@@ -124,7 +128,7 @@ def ct_active(t):
 
 @query("ct_dedupe", f"SELECT id, logged_at, serial_number, issuer, expired FROM {UNIQUE}", ("ct_entries",))
 def ct_dedupe(t):
-    return K.dedupe_certificates(certs(t)).select("id", "logged_at", "serial_number", "issuer", "expired")
+    return unique_certs(t).select("id", "logged_at", "serial_number", "issuer", "expired")
 
 
 @query(
@@ -136,12 +140,12 @@ def ct_dedupe(t):
     ("ct_entries",),
 )
 def ct_stats(t):
-    return K.stats(K.dedupe_certificates(certs(t)))
+    return K.stats(unique_certs(t))
 
 
 @query("ct_issuers", f"SELECT issuer, count(*) AS certificates FROM {ACTIVE_UNIQUE} GROUP BY 1", ("ct_entries",))
 def ct_issuers(t):
-    return K.issuers(K.dedupe_certificates(K.active(certs(t))))
+    return K.issuers(K.certificates(t.ct_entries, CORP, AS_OF))
 
 
 @query(
@@ -169,7 +173,7 @@ def ct_limit(t):
     ("ct_entries",),
 )
 def cert_flat(t):
-    return K.flat(K.dedupe_certificates(certs(t)))
+    return K.flat(unique_certs(t))
 
 
 # --- rosters

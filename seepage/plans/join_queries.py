@@ -112,12 +112,13 @@ def doc_findings_join(t):
 @query(
     "fan_out",
     "SELECT p.conv_id, p.role AS opened_by, c.turn, c.role, CAST(length(c.text) AS INTEGER) AS n_chars FROM conversations c"
-    " JOIN (SELECT conv_id, role FROM conversations WHERE turn = 0) p ON p.conv_id = c.conv_id",
+    " JOIN (SELECT conv_id, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) = 1) p"
+    " ON p.conv_id = c.conv_id",
 )
 def fan_out(t):
-    parents = t.conversations.where("turn = 0").select("conv_id", F.col("role").alias("opened_by"))
-    children = t.conversations.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
-    return J.lookup_join(children, parents, "conv_id")
+    turns = t.conversations.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    opening = U.keep_first(turns.select("conv_id", "turn", "role"), ["conv_id"], ["turn", "role"])
+    return J.lookup_join(turns, opening.select("conv_id", F.col("role").alias("opened_by")), "conv_id")
 
 
 @query(

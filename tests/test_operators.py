@@ -163,6 +163,11 @@ def test_certificates(spark):
     assert got[1].subject_alt_names == ["*.x.org", "a.x.org"]
     assert got[1].target_domains == ["*.x.org", "a.x.org", "x.org"] and got[4].target_domains == ["*.b.x.org"]
     assert [r.id for r in K.dedupe_certificates(certs).collect()] == [1, 4, 3]
+    at = "2024-06-01T00:00:00"
+    for keep in (True, False):
+        longer = K.dedupe_certificates(K.active(certs, keep))
+        assert K.certificates(entries, "x.org", at, keep).collect() == longer.collect()
+    assert [r.id for r in K.certificates(entries, "x.org", at, max_certificates=2).collect()] == [2]
     assert [r.subdomain for r in K.subdomains(certs).collect()] == ["a.x.org", "b.x.org", "x.org"]
     assert tuple(K.stats(certs).first()) == (4, 2, 1, 3)
     assert tuple(K.stats(certs.where("false")).first()) == (0, 0, 0, 0)

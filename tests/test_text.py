@@ -172,3 +172,35 @@ def test_redacted(spark):
     text = "mail a@b.com pass" + "word=tops3cret key AK" + "IA" + "Z" * 16
     got = values(spark, X.redacted, [text])[0]
     assert "a@b.com" in got and "tops3cret" not in got and "ZZZZ" not in got
+
+
+def random_texts(alphabet, n, length):
+    import random
+
+    random.seed(11)
+    return ["".join(random.choice(alphabet) for _ in range(random.randint(0, length))) for _ in range(n)]
+
+
+def test_email_scan_finds_what_the_pattern_finds(spark):
+    df = spark.createDataFrame([(t,) for t in random_texts(["a", "b", "@", "@a.", ".co", "cd", "-", "%", "_", "é", " ", "|"], 30_000, 12)], "t string")
+    plain = F.regexp_extract_all("t", F.lit(R.EMAIL), F.lit(0))
+    assert df.where(F.size(plain) > 0).count() > 500
+    assert df.where(plain != X.matches("t", R.EMAIL)).count() == 0
+
+
+@pytest.mark.parametrize("mark, pattern", R.CREDENTIAL_PAIRS)
+def test_pairs_start_at_runs(spark, mark, pattern):
+    df = spark.createDataFrame([(t,) for t in random_texts(f"ab@{mark}{mark} .", 20_000, 16)], "t string")
+    plain = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    guarded = F.regexp_extract_all("t", F.lit(rf"(?<![^{mark}\s]){pattern}"), F.lit(0))
+    assert df.where(F.size(plain) > 0).count() > 500
+    assert df.where(plain != guarded).count() == 0
+
+
+def test_long_junk_takes_linear_time(spark):
+    import time
+
+    junk = spark.range(1).select(F.concat(F.repeat(F.lit("%41.b-"), 50_000), F.lit(" a@b.org ")).alias("t"))
+    started = time.time()
+    assert junk.select(X.emails("t")).first()[0] == ["a@b.org"]
+    assert time.time() - started < 20
