@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage import rules as R
@@ -29,6 +29,16 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    Spark moves a later filter on the column below a projection, which would
+    compute it twice; it does not move it below an explode. Filters on other
+    columns still move down.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def any_of(conditions) -> Column:
     return reduce(Column.__or__, conditions)
 

@@ -20,7 +20,7 @@ def _nodes() -> Column:
 
 
 def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.withColumn(NODES, P.html_nodes(html))
+    return X.with_once(pages, NODES, P.html_nodes(html))
 
 
 def page_text(parsed: DataFrame, keys, limit: int = 5000) -> DataFrame:

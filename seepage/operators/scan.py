@@ -41,7 +41,7 @@ def _with_lowered(df: DataFrame, text: str) -> DataFrame:
 
 def with_findings(df: DataFrame, text: str, rules, name: str = "findings") -> DataFrame:
     """Add the findings array of a text."""
-    return _with_lowered(df, text).withColumn(name, findings(text, rules)).drop("_lowered")
+    return X.with_once(_with_lowered(df, text), name, findings(text, rules)).drop("_lowered")
 
 
 def scan_kinds(df: DataFrame, keys, text: str, rules) -> DataFrame:

@@ -19,14 +19,13 @@ def _kinds(rules, exposes: str):
 def risk_columns(findings: str, mentions: Column, rules=R.PASTE_RULES) -> dict[str, Column]:
     """Score 0..10 and the two flags, from the kinds present in a findings array."""
     kinds = F.transform(F.col(findings), lambda f: f["kind"])
-    weight = reduce(
-        Column.__add__,
-        [F.when(F.array_contains(kinds, r.kind), r.weight).otherwise(0) for r in rules],
+    points = lambda ks: reduce(
+        Column.__add__, [F.when(F.array_contains(ks, r.kind), r.weight).otherwise(0) for r in rules]
     )
     mentioned = F.when(mentions > 0, F.least(mentions * 2, F.lit(5))).otherwise(0)
     overlap = lambda names: F.arrays_overlap(kinds, F.array(*[F.lit(n) for n in names]))
     return {
-        "risk_score": F.least(weight + mentioned, F.lit(10)).cast("int"),
+        "risk_score": F.least(X.let(kinds, points) + mentioned, F.lit(10)).cast("int"),
         "has_credentials": F.coalesce(overlap(_kinds(rules, "credentials")), F.lit(False)),
         "has_code": F.coalesce(overlap(_kinds(rules, "code")), F.lit(False)),
         "target_mentions": mentions,

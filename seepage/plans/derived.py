@@ -42,11 +42,11 @@ _PLANT = """CASE doc_id % 20
 # name -> (SQL, tables it reads)
 DERIVED: dict[str, tuple[str, tuple]] = {
     "page_hosts": (f"SELECT page_id, url, {_HOST} AS host FROM {{pages}}", ("pages",)),
-    # Watched domains: page hosts without a leading www., blog. or m. label.
+    # Watched domains: what follows the www., blog. or m. label of a page host.
     "watch_domains": (
-        "SELECT DISTINCT CASE WHEN host LIKE 'www.%' THEN substr(host, 5)"
-        " WHEN host LIKE 'blog.%' THEN substr(host, 6) WHEN host LIKE 'm.%' THEN substr(host, 3)"
-        " ELSE host END AS domain FROM {page_hosts} WHERE length(host) % 2 = 0",
+        "SELECT DISTINCT CASE WHEN host LIKE 'www.%' THEN substr(host, 5) WHEN host LIKE 'blog.%' THEN substr(host, 6)"
+        " ELSE substr(host, 3) END AS domain FROM {page_hosts}"
+        " WHERE host LIKE 'www.%' OR host LIKE 'blog.%' OR host LIKE 'm.%'",
         ("page_hosts",),
     ),
     "corp_domains": (
@@ -234,7 +234,8 @@ FROM (SELECT doc_id, """ + _SITE + """ AS site,
         ("orders",),
     ),
     "paste_history": (
-        "SELECT DISTINCT md5(concat(url, title, date)) AS content_id FROM {pastes} WHERE doc_id % 4 = 2", ("pastes",)
+        "SELECT DISTINCT md5(concat(url, title, date)) AS content_id FROM {pastes} WHERE site = 'paste.ee' OR site = 'rentry.co'",
+        ("pastes",),
     ),
     "rule_rows": (
         "SELECT DISTINCT CASE r_regionkey % 2 WHEN 0 THEN 'hex_token' ELSE 'quoted_secret' END AS kind,"
