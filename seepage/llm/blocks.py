@@ -45,7 +45,7 @@ def whole_groups(batches, by: list[str], rows: int = 32_768):
         new[0] = True
         for name in by:
             column = table.column(name).combine_chunks()
-            values = column.fill_null(0).to_numpy(zero_copy_only=False)
+            values = column.fill_null("" if pa.types.is_string(column.type) else 0).to_numpy(zero_copy_only=False)
             missing = column.is_null().to_numpy(zero_copy_only=False)
             new[1:] |= (values[1:] != values[:-1]) | (missing[1:] != missing[:-1])
         return new
