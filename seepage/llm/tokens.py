@@ -10,38 +10,93 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
 #: White space other than blank and line feed, as either library understands it.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-KEPT_PIECES = 400_000
+KEPT_PIECES = 700_000
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned integers of ``dtype``.
 
     ``spaced``: the tokenizer keeps white space and joins one blank to the
-    word after it (byte-level vocabularies). Otherwise it drops white space.
+    word after it (byte-level vocabularies). Otherwise it normalises texts,
+    drops white space and marks where a word ends.
     """
 
     def __init__(self, path: str, spaced: bool, dtype: str = "<u4", kept: int = KEPT_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced, self.dtype, self.kept = spaced, np.dtype(dtype), kept
-        if self.model.get_vocab_size() > np.iinfo(self.dtype).max:
+        size = self.model.get_vocab_size()
+        if size > np.iinfo(self.dtype).max:
             raise ValueError(f"{path}: ids do not fit in {dtype}")
         self.known: dict[str, bytes] = {}
+        # The same vocabulary for many words of letters at once, which need no normalising and are cut at blanks alone.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        cut = Split(" ", "merged_with_next" if spaced else "removed")
+        self.plain.pre_tokenizer = Sequence([cut, ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bound = np.zeros(size, bool)  # ids that begin a word (spaced) or end it
+        for token, i in self.model.get_vocab().items():
+            self.bound[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
+        self.marks = dict(zip(".,", self.whole([".", ","])))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes()
                 for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], at_once: int = 400) -> dict[str, bytes]:
+        """Ids of words of letters, each as after a blank."""
+        out = {}
+        for a in range(0, len(words), at_once):
+            some = words[a: a + at_once]
+            text = " " + " ".join(some) if self.spaced else " ".join(some)
+            ids = np.array(self.plain.encode(text, add_special_tokens=False).ids, self.dtype)
+            cuts = np.flatnonzero(self.bound[ids])
+            cuts = np.append(cuts, len(ids)) if self.spaced else np.append(0, cuts + 1)
+            if len(cuts) != len(some) + 1:
+                out.update(zip(some, self.whole([self._source(x) for x in some])))
+                continue
+            data, ends = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+            out.update(zip(some, [data[x:y] for x, y in zip(ends, ends[1:])]))
+        return out
+
+    def _stem(self, piece: str) -> tuple[str, str] | None:
+        """A piece's word of letters and the mark after it, if it is so made and the tokenizer cuts it there."""
+        mark = piece[-1:] if piece[-1:] in self.marks else ""
+        word = piece[: len(piece) - len(mark)]
+        if not word.isalpha():
+            return None
+        if not self.spaced:
+            if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u0130" in word or "\u03a3" in word):
+                return None
+            word = word.lower()
+        return word, mark
+
+    def _learn(self, pieces: set[str]) -> None:
+        stems, others = {}, []
+        for piece in pieces:
+            stem = self._stem(piece)
+            if stem is None:
+                others.append(piece)
+            else:
+                stems[piece] = stem
+        words = {w: self.known.get(w) for w, _ in stems.values()}
+        words.update(self._words([w for w, ids in words.items() if ids is None]))
+        self.known.update((p, words[w] + self.marks.get(m, b"")) for p, (w, m) in stems.items())
+        self.known.update(zip(others, self.whole([self._source(p) for p in others])))
+
     def pieces(self, text: str) -> list[str] | None:
         """The text's pieces, or None if it has to be encoded whole.
 
@@ -83,8 +138,7 @@ class Encoder:
             else:
                 out[i] = b"".join(ids)
         if new:
-            new = list(new)
-            self.known.update(zip(new, self.whole([self._source(p) for p in new])))
+            self._learn(new)
             for i, found in waiting:
                 out[i] = b"".join(map(self.known.__getitem__, found))
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
