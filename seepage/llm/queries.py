@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm import decontaminate, embeddings, language, sharding, simhash, token_files, toxicity
+from seepage.llm import (
+    decontaminate, embeddings, language, line_dedup, sharding, simhash, token_counts, token_files, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +49,19 @@ FROM embeddings e LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP B
 JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) USING (vec_id)"""
 
 
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's count before and after three edits that follow from its id and text."""
+    docs = _table(spark, sf_dir, "documents").withColumn("edits", token_counts.derived_edits())
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.counts(token_counts.apply_edits(token_counts.trees(docs, path, keep=("edits",)), path))
+
+
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.without_repeats(_table(spark, sf_dir, "documents")))
+
+
 @_query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(
