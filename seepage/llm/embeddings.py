@@ -2,9 +2,9 @@
 
 A vector lies in the cell of its nearest centre. Two unit vectors at a chord
 of r are on different sides of the plane between centres c and h only if each
-is within r of it, so a vector also visits every cell whose plane is that
-near, and every pair at or above the threshold meets in the lesser of the two
-home cells, where alone it is counted. Links are thus exact whatever the
+is within r of it. Every pair at or above the threshold is compared in the
+lesser of the two home cells, so a vector also visits the cells before its own
+whose plane is that near. Links are thus exact whatever the
 centres, which may be fitted on a bounded sample.
 
 Equal vectors are compared once and weighted by their number. Only vectors of
@@ -24,9 +24,9 @@ from seepage.llm.blocks import block_pairs, whole_groups
 from seepage.llm.graph import components, local_roots
 from seepage.session import settle
 
-#: Vectors that the centres are fitted on at most, and the least number of vectors to a cell.
+#: Vectors that the centres are fitted on at most, and how many of a label a cell shall hold.
 SAMPLE = 8192
-PER_CELL = 512
+PER_CELL = 1024
 MOST_CELLS = 1024
 
 
@@ -67,6 +67,7 @@ def _cells(centres: np.ndarray, threshold: float):
                 cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres.T
                 home = cos.argmax(axis=1)
                 near = cos.max(axis=1, keepdims=True) - cos <= reach * apart[home]
+                near &= np.arange(len(centres)) < home[:, None]
                 near[np.arange(len(at)), home] = True
                 i, c = np.nonzero(near)
                 rows.append(at[i])
@@ -129,14 +130,14 @@ def near_vectors(
         F.count("*").alias("times"), F.min("vec_id").alias("first")
     ).withColumn("dim", F.size("vector")).withColumn("rep", F.xxhash64("label", "vector"))
     reps = settle(named, "vectors")
-    count = reps.count()
+    count, labels = reps.agg(F.count("*"), F.approx_count_distinct("label")).first()
     if count:
         # A bounded sample of the distinct vectors, the least by hash; it shapes the cells and not the result.
         picked = reps.select("vector", "dim").orderBy(F.xxhash64("rep", F.lit(1))).limit(sample)
         held = [r.vector for r in picked.collect()]
         dim = max({len(v) for v in held}, key=lambda d: (sum(len(v) == d for v in held), d))
         x = np.array([v for v in held if len(v) == dim])
-        centres = fit_centres(x / np.linalg.norm(x, axis=1, keepdims=True), min(MOST_CELLS, -(-count // PER_CELL)))
+        centres = fit_centres(x / np.linalg.norm(x, axis=1, keepdims=True), min(MOST_CELLS, -(-count // (labels * PER_CELL))))
     else:
         centres = np.ones((1, 1))
     celled = reps.select("rep", "times", "label", "dim", "vector").mapInArrow(
