@@ -22,7 +22,7 @@ empty line. An empty table gives no rows. Only DataFrame functions run here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seepage.session import settle
@@ -112,6 +112,13 @@ def deleted_lines(docs: DataFrame, least_words: int = LEAST_WORDS, *, id_col: st
     return lines.join(covered, "pos").groupBy("doc_id", "copy").agg(F.collect_set("line").alias("gone"))
 
 
+def remaining(text: Column, gone: Column) -> Column:
+    """The text without the lines numbered in ``gone``."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
+    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, *, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_gone, and text without the deleted lines (null if it was null)."""
@@ -120,12 +127,10 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, *, id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("copy", F.xxhash64("text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("copy") == F.col("gone_copy")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(remaining(F.col("text"), F.col("gone")))
+    n_lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1)))
     return rows.select(
-        "doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
+        "doc_id", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), text.alias("text"))
 
 
@@ -134,3 +139,22 @@ def digest(rows: DataFrame) -> DataFrame:
     data = F.coalesce("text", F.lit("")).cast("binary")
     return rows.select("doc_id", "n_lines", "n_gone", F.octet_length(data).cast("long").alias("n_bytes"),
                        F.crc32(data).alias("text_crc32"))
+
+
+def cleaned(docs: DataFrame, least_words: int = LEAST_WORDS, *, id_col: str = "doc_id", text_col: str = "text",
+            size_col: str = "n_chars") -> DataFrame:
+    """The documents with all their columns and the remaining texts; those of which no line remains go.
+
+    ``size_col``, if there is one, is set to the characters of a text that has changed.
+    """
+    gone = deleted_lines(docs, least_words, id_col=id_col, text_col=text_col)
+    key = docs.withColumn("_line_copy", F.xxhash64(F.col(text_col)))
+    gone = gone.select(F.col("doc_id").alias("_line_id"), F.col("copy").alias("_line_hash"), F.col("gone").alias("_line_gone"))
+    rows = key.join(gone, F.col(id_col).eqNullSafe(F.col("_line_id")) & (F.col("_line_copy") == F.col("_line_hash")), "left")
+    rows = rows.filter(F.col("_line_gone").isNull() | (F.size("_line_gone") < F.size(F.split(F.col(text_col), "\n", -1))))
+    changed = F.col("_line_gone").isNotNull()
+    rows = rows.withColumn(text_col, F.when(changed, remaining(F.col(text_col), F.col("_line_gone"))).otherwise(F.col(text_col)))
+    if size_col in docs.columns:
+        kind = docs.schema[size_col].dataType
+        rows = rows.withColumn(size_col, F.when(changed, F.length(F.col(text_col)).cast(kind)).otherwise(F.col(size_col)))
+    return rows.select(*docs.columns)

@@ -5,12 +5,17 @@ of the bits with thresholds that add up to t - m + 1, they differ in at most
 its threshold in one of the m partitions (-1: the partition is left out).
 Correlated bits are put together, the thresholds are chosen by dynamic
 programming on estimated candidate counts, every fingerprint probes the values
-around its own, and each candidate is verified.
+around its own, and each candidate is verified. Both sides of a pair probe, so
+values within r of each side's own cover a threshold of 2 r.
 
 The rows are distinct fingerprints. Buckets are compared inside tasks, in
 blocks (``blocks``), and give each member one link to its group, so no pairs
 of a group are emitted and no link between groups is lost.
 
+``near_duplicates`` links fingerprints within a distance. ``similar_texts``
+looks for a similarity of the shingles: it searches the first 64 bits with a
+wide distance and verifies with all bits of a longer fingerprint.
+
 A null text has no words like an empty one: fingerprint zero, linked like any
 other. Texts of fewer words than a shingle are one shingle. Repeated rows have
 a row each and are linked. A null id keeps its row; the component of null ids
@@ -19,6 +24,7 @@ alone is null. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -32,17 +38,21 @@ from seepage.session import settle
 
 BITS = 64
 #: Cost of a probe against that of a verified pair, in the choice of thresholds.
-PROBE_COST = 40.0
-PARTITIONS = (2, 3, 4)
+PROBE_COST = 100.0
+PARTITIONS = (2, 3, 4, 5, 6)
+MOST_RADIUS = 2
+#: Words of 64 bits in the longer fingerprint, and the distance that is searched in the first of them.
+LONG = 4
+SEARCHED = 11
 
 
-def text_fingerprint(text: str | None, words: int) -> int:
-    """Fingerprint of one text as a signed 64-bit integer."""
+def text_fingerprint(text: str | None, words: int, long: int = 1) -> list[int]:
+    """Number of shingles of one text, and its fingerprint in ``long`` words, as signed 64-bit integers."""
     from xxhash import xxh64_intdigest
 
     own = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not own:
-        return 0
+        return [0] * (long + 1)
     whole = b" ".join(own)
     if len(own) <= words:
         pieces = [whole]
@@ -52,23 +62,32 @@ def text_fingerprint(text: str | None, words: int) -> int:
         starts = (ends - sizes)[: len(own) - words + 1]
         pieces = [whole[a:b] for a, b in zip(starts.tolist(), ends[words - 1:].tolist())]
     hashes = np.fromiter(map(xxh64_intdigest, pieces, repeat(42)), np.uint64, len(pieces))
-    ones = np.zeros(BITS, np.int64)
-    for a in range(0, len(hashes), 65_536):
-        bits = np.unpackbits(hashes[a: a + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int32)
-    packed = np.packbits(2 * ones > len(pieces))
-    return int.from_bytes(packed.tobytes(), "big", signed=True)
+    out = [len(pieces)]
+    for k in range(long):
+        if k:  # the further words' hashes follow from the first
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+            hashes ^= hashes >> np.uint64(29)
+        ones = np.zeros(BITS, np.int64)
+        for a in range(0, len(hashes), 65_536):
+            bits = np.unpackbits(hashes[a: a + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones += bits.sum(axis=0, dtype=np.int32)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(pieces)).tobytes(), "big", signed=True))
+    return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every whole text."""
+def fingerprints(docs: DataFrame, words: int = 3, long: int = 1, *, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """(doc_id, n, fp, fp1, ...) of every whole text: its number of shingles and its fingerprint's words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["n", "fp", *(f"fp{k}" for k in range(1, long))]
 
     def run(batches):
         for batch in batches:
-            found = [text_fingerprint(x.as_py(), words) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+            found = [text_fingerprint(x, words, long) for x in batch.column("text").to_pylist()]
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(long + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -112,18 +131,22 @@ def grouped_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
     return out
 
 
-def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds, -1 upwards, that add up to ``total`` at the least cost; ``costs[i][t + 1]`` is partition i's at t."""
+def allocate(costs: list[list[float]], needed: int) -> tuple[float, list[int]] | None:
+    """A radius for each partition, -1 upwards, at the least cost; ``costs[i][r + 1]`` is partition i's at r.
+
+    A radius r covers a threshold of 2 r, so the partitions' 2 r + 1 (0 for a
+    partition left out) must add up to ``needed`` at least.
+    """
     best = {0: (0.0, [])}
     for own in costs:
         nxt: dict[int, tuple[float, list[int]]] = {}
-        for spent, (cost, chosen) in best.items():
-            for t, more in enumerate(own, -1):
-                at = spent + t
+        for covered, (cost, chosen) in best.items():
+            for r, more in enumerate(own, -1):
+                at = min(needed, covered + (2 * r + 1 if r >= 0 else 0))
                 if at not in nxt or cost + more < nxt[at][0]:
-                    nxt[at] = (cost + more, [*chosen, t])
+                    nxt[at] = (cost + more, [*chosen, r])
         best = nxt
-    return best[total]
+    return best.get(needed)
 
 
 def _signed(mask: int) -> int:
@@ -131,107 +154,139 @@ def _signed(mask: int) -> int:
 
 
 def choose(fps: DataFrame, distance: int = 3) -> list[tuple[list[int], int]]:
-    """Partitions (their bits) with thresholds, of the least estimated work.
+    """Partitions (their bits) with radii, of the least estimated work.
 
-    The candidates at threshold 0 are counted over all fingerprints (the sum
-    of squared bucket sizes); those further off are estimated from how often
-    each bit differs. All figures come from the whole table.
+    The candidates at radius 0 are counted over all fingerprints (the sum of
+    squared bucket sizes); a radius multiplies both sides of a bucket by the
+    values within it.
     """
     both, n = bit_counts(fps)
-    plans = {m: grouped_bits(both, n, m) for m in PARTITIONS if m <= distance + 1}
+    plans = {m: grouped_bits(both, n, m) for m in PARTITIONS}
     masks = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"),
                       F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))).alias("v"))
              for m, parts in plans.items() for i, bits in enumerate(parts)]
     buckets = fps.select(F.explode(F.array(*masks)).alias("x")).groupBy("x.m", "x.i", "x.v").agg(F.count("*").alias("n"))
     pairs = {(r.m, r.i): r.pairs for r in buckets.groupBy("m", "i").agg(
         F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).collect()}
-    p = np.diag(both) / max(n, 1)
-    odds = 2 * p * (1 - p) / np.maximum(p**2 + (1 - p) ** 2, 1e-12)
     best = None
     for m, parts in plans.items():
         costs = []
         for i, bits in enumerate(parts):
-            rings = np.zeros(distance + 1)
-            rings[0], balls, ways = 1.0, [], np.zeros(distance + 1)
-            ways[0] = 1.0
-            for b in bits:
-                rings[1:] += rings[:-1] * odds[b]
-                ways[1:] += ways[:-1]
-            for t in range(distance + 1):
-                balls.append(pairs.get((m, i), 0.0) * rings[: t + 1].sum() + PROBE_COST * n * ways[: t + 1].sum())
-            costs.append([0.0, *balls])
-        cost, chosen = allocate(costs, distance - m + 1)
-        if best is None or cost < best[0]:
-            best = (cost, list(zip(parts, chosen)))
+            balls = [sum(math.comb(len(bits), k) for k in range(r + 1)) for r in range(MOST_RADIUS + 1)]
+            costs.append([0.0, *(pairs.get((m, i), 0.0) * ball**2 + PROBE_COST * n * ball for ball in balls)])
+        found = allocate(costs, distance + 1)
+        if found and (best is None or found[0] < best[0]):
+            best = (found[0], list(zip(parts, found[1])))
     return best[1]
 
 
 def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, value, fp): every fingerprint under the values within the threshold of its own, partition by partition."""
+    """The rows of ``fps`` with (part, value): under the values within the radius of their own, partition by partition."""
     rows = []
-    for part, (bits, threshold) in enumerate(plan):
-        if threshold < 0:
+    for part, (bits, radius) in enumerate(plan):
+        if radius < 0:
             continue
         mask = _signed(sum(1 << b for b in bits))
-        flips = [_signed(sum(1 << b for b in some)) for k in range(threshold + 1) for some in combinations(bits, k)]
+        flips = [_signed(sum(1 << b for b in some)) for k in range(radius + 1) for some in combinations(bits, k)]
         own = F.col("fp").bitwiseAND(F.lit(mask))
         around = F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: own.bitwiseXOR(x))
-        rows.append(fps.select(F.lit(part).alias("part"), F.explode(around).alias("value"), "fp"))
+        rows.append(fps.select(F.lit(part).alias("part"), F.explode(around).alias("value"), "*"))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _compare(distance: int):
+def _compare(words: list[str], distance: int, size_ratio: float):
     """Arrow function: in each pair of blocks, links every member to the least one that links reach there."""
     def run(batches):
         for table, group in whole_groups(batches, ["part", "value", "lo", "hi"]):
-            fp = table.column("fp").to_numpy()
-            bits = fp.view(np.uint64)
+            node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+            bits = [table.column(w).to_numpy().view(np.uint64) for w in words]
             own = table.column("own").to_numpy()
             within = table.column("lo").to_numpy() == table.column("hi").to_numpy()
-            at, lag, us, vs = np.arange(len(fp)), 0, [], []
+            at, lag, us, vs = np.arange(len(node)), 0, [], []
             while True:
                 lag += 1
-                at = at[at + lag < len(fp)]
+                at = at[at + lag < len(node)]
                 at = at[group[at] == group[at + lag]]
                 if not len(at):
                     break
-                close = (np.bitwise_count(bits[at] ^ bits[at + lag]) <= distance) & (
-                    within[at] | (own[at] != own[at + lag]))
-                us.append(at[close])
-                vs.append(at[close] + lag)
+                u, apart = at, np.bitwise_count(bits[0][at] ^ bits[0][at + lag]).astype(np.int16)
+                for more in bits[1:]:  # most pairs are out after the first words
+                    near = apart <= distance
+                    u, apart = u[near], apart[near] + np.bitwise_count(more[u[near]] ^ more[u[near] + lag])
+                v = u + lag
+                close = (apart <= distance) & (within[u] | (own[u] != own[v])) & (
+                    np.minimum(n[u], n[v]) >= size_ratio * np.maximum(n[u], n[v]))
+                us.append(u[close])
+                vs.append(v[close])
             if not us:
                 continue
-            root = local_roots(len(fp), np.concatenate(us), np.concatenate(vs))
-            some = np.flatnonzero(root != np.arange(len(fp)))
+            root = local_roots(len(node), np.concatenate(us), np.concatenate(vs))
+            some = np.flatnonzero(root != np.arange(len(node)))
             if len(some):
-                yield pa.RecordBatch.from_pydict({"a": fp[some], "b": fp[root[some]]})
+                yield pa.RecordBatch.from_pydict({"a": node[some], "b": node[root[some]]})
     return run
 
 
-def links(fps: DataFrame, distance: int = 3, plan: list | None = None) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of the distinct fingerprints within ``distance``."""
-    dealt = block_pairs(probes(fps, plan or choose(fps, distance)), ["part", "value"], "fp")
-    return dealt.mapInArrow(_compare(distance), "a long, b long").distinct()
+def links(fps: DataFrame, words: list[str], searched: int, distance: int, size_ratio: float = 0.0,
+          plan: list | None = None) -> DataFrame:
+    """Links (a, b) of nodes whose components are those of all verified pairs.
+
+    ``fps``: distinct fingerprints (node, n, words). Pairs are searched whose
+    first words differ in at most ``searched`` bits, and verified if all
+    ``words`` together differ in at most ``distance`` and the numbers of
+    shingles have the ratio at least.
+    """
+    dealt = block_pairs(probes(fps, plan or choose(fps, searched)), ["part", "value"], "node")
+    return dealt.mapInArrow(_compare(words, distance, size_ratio), "a long, b long").distinct()
+
+
+def _components(own: DataFrame, words: list[str], **how) -> DataFrame:
+    """``own`` with component_id."""
+    node = F.col("fp") if words == ["fp"] else F.xxhash64(*words)
+    own = settle(own.withColumn("node", node), "fingerprints")
+    reps = settle(own.groupBy("node", *words).agg(F.min("doc_id").alias("first"), F.min("n").alias("n")), "distinct")
+    roots = components(links(reps.select("node", "n", *words), words, **how))
+    roots = roots.select(F.col("node").alias("linked"), "root")
+    merged = reps.join(roots, reps["node"] == roots["linked"], "left").select(
+        "node", "first", F.coalesce("root", "node").alias("root"))
+    least = merged.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = merged.join(least, "root").select(F.col("node").alias("named"), "component_id").distinct()
+    return own.join(named, own["node"] == named["named"]).select("doc_id", *words, "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, **options) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the least doc_id that links reach, its own included)."""
-    own = settle(fingerprints(docs, words, **options), "fingerprints")
-    reps = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    reps = settle(reps, "distinct")
-    roots = components(links(reps.select("fp"), distance))
-    merged = reps.join(roots, reps["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = merged.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = merged.join(least, "root").select(F.col("fp").alias("named"), "component_id")
-    return own.join(named, own["fp"] == named["named"]).select("doc_id", "fp", "component_id")
+    return _components(fingerprints(docs, words, **options), ["fp"], searched=distance, distance=distance)
+
+
+def bits_apart(similarity: float, bits: int, slack: float = 1.25) -> int:
+    """Bits in which fingerprints of texts with that Jaccard similarity differ at most, but for one pair in ten.
+
+    Sets of one size with Jaccard similarity j have the cosine 2 j / (1 + j),
+    and each bit differs with the probability angle / pi; ``slack`` standard
+    deviations are added.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+    """One row per document with the component of texts whose shingles have the similarity or more.
+
+    A pair is searched by up to ``SEARCHED`` differing bits of the first 64, and
+    further ones that share a partition's values; it is linked by all
+    64 x ``LONG`` bits and numbers of shingles that allow the similarity.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, LONG))]
+    return _components(fingerprints(docs, words, LONG, **options), names, searched=SEARCHED,
+                       distance=bits_apart(similarity, BITS * LONG), size_ratio=similarity)
 
 
-def first_copies(docs: DataFrame, words: int = 5, distance: int = 3, *, id_col: str = "doc_id", **options) -> DataFrame:
+def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that are the first of their component, with all their columns; of rows that share an id, all."""
-    found = near_duplicates(docs, words, distance, id_col=id_col, **options)
+    found = similar_texts(docs, words, similarity, id_col=id_col, **options)
     later = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later_id")).distinct()
     return docs.join(later, docs[id_col] == later["later_id"], "left_anti")
