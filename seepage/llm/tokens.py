@@ -17,6 +17,10 @@ import numpy as np
 
 #: White space other than blank and line feed, as either library understands it.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Characters whose lower case depends on their neighbours, or that combine with the letter before.
+_CASED = re.compile(r"[\u0130\u03a3\u0300-\u036f]")
+#: A full stop or comma next to another mark, which the tokenizer may take together, or not right after a word.
+_MARKED = re.compile(r"[.,](?:(?=[^\s\w]|_)|(?<=[\W_][.,]))")
 KEPT_PIECES = 700_000
 
 
@@ -41,6 +45,7 @@ class Encoder:
         if size > np.iinfo(self.dtype).max:
             raise ValueError(f"{path}: ids do not fit in {dtype}")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # The same vocabulary for many words of letters at once, which need no normalising and are cut at blanks alone.
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
@@ -72,44 +77,50 @@ class Encoder:
             out.update(zip(some, [data[x:y] for x, y in zip(ends, ends[1:])]))
         return out
 
-    def _stem(self, piece: str) -> tuple[str, str] | None:
-        """A piece's word of letters and the mark after it, if it is so made and the tokenizer cuts it there."""
-        mark = piece[-1:] if piece[-1:] in self.marks else ""
-        word = piece[: len(piece) - len(mark)]
-        if not word.isalpha():
-            return None
-        if not self.spaced:
-            if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u0130" in word or "\u03a3" in word):
-                return None
-            word = word.lower()
-        return word, mark
-
     def _learn(self, pieces: set[str]) -> None:
-        stems, others = {}, []
+        """Put the pieces' ids into ``known``.
+
+        A word of letters, with one mark after it or none, is surely cut before
+        the mark, and words of letters are encoded many at once.
+        """
+        known, before, marks, made, others = self.known, self.before, self.marks, [], []
         for piece in pieces:
-            stem = self._stem(piece)
-            if stem is None:
-                others.append(piece)
+            ids = before.get(piece)
+            if ids is not None:
+                known[piece] = ids
+                continue
+            word, mark = piece, b""
+            if piece[-1:] in marks:
+                word, mark = piece[:-1], marks[piece[-1:]]
+            if word.isalpha() and (self.spaced or word.isascii() or unicodedata.is_normalized("NFC", word)):
+                made.append((piece, word, mark))
             else:
-                stems[piece] = stem
-        words = {w: self.known.get(w) for w, _ in stems.values()}
+                others.append(piece)
+        words = {word: known.get(word) for _, word, _ in made}
         words.update(self._words([w for w, ids in words.items() if ids is None]))
-        self.known.update((p, words[w] + self.marks.get(m, b"")) for p, (w, m) in stems.items())
-        self.known.update(zip(others, self.whole([self._source(p) for p in others])))
+        known.update([(piece, words[word] + mark) for piece, word, mark in made])
+        known.update(zip(others, self.whole([self._source(p) for p in others])))
 
     def pieces(self, text: str) -> list[str] | None:
         """The text's pieces, or None if it has to be encoded whole.
 
-        With ``spaced``, the first piece is marked by U+0001, a piece that
+        With ``spaced``, a piece marked by U+0001 stands for itself, one that
         begins a line starts with its line feed, and any other stands for a
-        blank and itself.
+        blank and itself. Full stops and commas right after letters or digits
+        are pieces of their own, so words with and without them are one piece.
         """
         if _ODD.search(text):
             return None
-        if not self.spaced:
-            return text.split()
+        split = not _MARKED.search(text) and text[:1] not in ".,"
+        if not self.spaced:  # lower-casing by character, as the tokenizer does it, once no mark combines with a letter
+            if not text.isascii() and _CASED.search(text):
+                return None
+            text = text.lower()
+            return (text.replace(",", " , ").replace(".", " . ") if split else text).split()
         if "  " in text or " \n" in text or "\n\n" in text or "\x01" in text:
             return None
+        if split:
+            text = text.replace(",", " \x01,").replace(".", " \x01.")
         found = text.replace("\n", " \n").split(" ")
         found[0] = "\x01" + found[0]
         return found
@@ -121,8 +132,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none of a null text."""
-        if len(self.known) > self.kept:
-            self.known.clear()
+        if 2 * len(self.known) > self.kept:  # the younger half of the pieces stays
+            self.before, self.known = self.known, {}
         get, out, waiting, odd, new = self.known.get, [b""] * len(texts), [], [], set()
         for i, text in enumerate(texts):
             if not text:
