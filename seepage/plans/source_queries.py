@@ -183,17 +183,22 @@ MENTION = D.words("title || ' ' || content_preview", X.mention_keywords(TARGET))
 IN_CONTENT = D.words("content", X.mention_keywords(TARGET))
 
 
+def watch(t, pastes, folder: str):
+    """Run the monitor over a stream of pastes until all of it is processed; returns what it wrote."""
+    W.monitor(pastes, TARGET, "2 days", folder, scratch(t.spark, "offsets")).awaitTermination()
+    return t.spark.read.parquet(folder)
+
+
+def pastes_of(t, documents):
+    """The paste table's view of a stream of documents."""
+    return t.spark.sql(DERIVED["pastes"][0].format(documents="{documents}"), documents=documents)
+
+
 def _stream_result(t):
-    """Run the monitor over the documents as a stream until all of it is processed; returns what it wrote."""
-    path = f"{t.sf_dir.rstrip('/')}/documents.parquet"
-    schema = t.spark.read.parquet(path).schema
-    # As a glob the path may be one file as well as a folder of files.
-    arriving = t.spark.readStream.schema(schema).parquet(f"{path[:-1]}[t]")
-    sql, _ = DERIVED["pastes"]
-    pastes = t.spark.sql(sql.format(documents="{documents}"), documents=arriving)
-    sink = scratch(t.spark, "detections")
-    W.monitor(pastes, TARGET, "seen_at", "2 days", sink, scratch(t.spark, "offsets")).awaitTermination()
-    return t.spark.read.parquet(sink)
+    # A stream reads folders; the glob also fits a table that is one file.
+    path = f"{t.sf_dir.rstrip('/')}/documents.parque[t]"
+    arriving = t.spark.readStream.schema(t.documents.schema).parquet(path)
+    return watch(t, pastes_of(t, arriving), scratch(t.spark, "detections"))
 
 
 @query(
@@ -206,17 +211,57 @@ def stream_detections(t):
     return _stream_result(t).select("content_id", "url", "title", "date", "detection_type")
 
 
+#: One content id for each document, so that its first arrival is one known row.
+OWN_URL = "(SELECT * REPLACE (url || '#' || doc_id AS url) FROM pastes)"
+DETECTED = f"(SELECT *, md5(url || title || date) AS content_id FROM {OWN_URL} WHERE {MENTION} AND {IN_CONTENT})"
+SCORES = ("risk_score", "has_credentials", "has_code", "target_mentions", "samples")
+
+
+def own_url(pastes):
+    return pastes.withColumn("url", F.concat("url", F.lit("#"), "doc_id"))
+
+
+def _scores(found):
+    samples = F.array_join(F.flatten(F.transform("sensitive_data", lambda f: f["sample_matches"])), " | ")
+    return found.withColumn("samples", samples).select("content_id", "doc_id", *SCORES)
+
+
 @query(
     "stream_equals_batch",
-    f"SELECT unnest(['batch', 'stream']) AS side, count(DISTINCT md5(url || title || date)) AS detections FROM pastes"
-    f" WHERE {MENTION} AND {IN_CONTENT}",
+    f"SELECT unnest(['batch', 'stream']) AS side, content_id, doc_id, risk_score, has_credentials, has_code, target_mentions"
+    f" FROM ({D.scored(DETECTED, 'content_id, doc_id', 'content', TARGET, R.PASTE_RULES)})",
     ("pastes",),
 )
 def stream_equals_batch(t):
-    batch = W.detect(t.pastes, TARGET).select("content_id").distinct()
-    both = [("batch", batch), ("stream", _stream_result(t).select("content_id"))]
-    counts = [df.agg(F.count(F.lit(1)).alias("detections")).select(F.lit(n).alias("side"), "detections") for n, df in both]
-    return counts[0].unionByName(counts[1])
+    """Every detection of either side with its score, flags and mentions; samples differ from the other side's in no row."""
+    path = f"{t.sf_dir.rstrip('/')}/documents.parque[t]"
+    arriving = own_url(pastes_of(t, t.spark.readStream.schema(t.documents.schema).parquet(path)))
+    stream = _scores(watch(t, arriving, scratch(t.spark, "detections")))
+    batch = _scores(W.detect(own_url(t.pastes), TARGET))
+    both = batch.withColumn("side", F.lit("batch")).unionByName(stream.withColumn("side", F.lit("stream")))
+    other = {"batch": stream, "stream": batch}
+    same = [both.where(F.col("side") == n).join(o.select("content_id", "samples"), ["content_id", "samples"], "left_semi")
+            for n, o in other.items()]
+    return same[0].unionByName(same[1]).drop("samples")
+
+
+@query(
+    "stream_late_paste",
+    "SELECT content_id, doc_id, seen_at - CASE doc_id % 2 WHEN 1 THEN INTERVAL 400 DAYS ELSE INTERVAL 0 DAYS END AS seen_at"
+    f" FROM {DETECTED}",
+    ("pastes",),
+)
+def stream_late_paste(t):
+    """Pastes seen long ago come in last, then the first ones again: none is lost, none is reported twice."""
+    folder, offsets, sink = (scratch(t.spark, name) for name in ("arriving", "offsets", "detections"))
+    pastes = own_url(t.pastes)
+    recent = pastes.where("doc_id % 2 = 0")
+    old = pastes.where("doc_id % 2 = 1").withColumn("seen_at", F.col("seen_at") - F.expr("INTERVAL 400 DAYS"))
+    for part in (recent, old, recent):
+        part.write.mode("append").parquet(folder)
+        arriving = t.spark.readStream.schema(pastes.schema).parquet(folder)
+        W.monitor(arriving, TARGET, "2 days", sink, offsets).awaitTermination()
+    return t.spark.read.parquet(sink).select("content_id", "doc_id", "seen_at")
 
 
 REDACTED_KINDS = [r for r in R.PASTE_RULES if r.shown != "clear"]

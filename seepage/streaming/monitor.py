@@ -26,16 +26,19 @@ def detect(pastes: DataFrame, target: str) -> DataFrame:
     )
 
 
-def once_per_id(detections: DataFrame, time: str, delay: str) -> DataFrame:
-    """First arrival per content id within the watermark.
+def once_per_id(detections: DataFrame, arrival: str, delay: str) -> DataFrame:
+    """First arrival per content id.
 
-    State is bounded by the watermark, so a repeat later than ``delay`` is
-    reported again. The first step works on (id, salt), which spreads a hot
-    id over several tasks and leaves at most one row per salt for the second.
+    ``arrival`` is when a row came in, not when it was seen at its source: an
+    old row that comes in last is new all the same. State is bounded by the
+    watermark on it, so a repeat that comes in later than ``delay`` after the
+    first is reported again, and no first arrival is lost. The first step works
+    on (id, salt), which spreads a hot id over several tasks and leaves at most
+    one row per salt for the second.
     """
-    salt = F.pmod(F.xxhash64(time, "site", "content", F.spark_partition_id()), F.lit(HOT_ID_SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("site", "content", F.spark_partition_id()), F.lit(HOT_ID_SALTS)).cast("int")
     return (
-        detections.withWatermark(time, delay)
+        detections.withWatermark(arrival, delay)
         .withColumn("_salt", salt)
         .dropDuplicatesWithinWatermark(["content_id", "_salt"])
         .dropDuplicatesWithinWatermark(["content_id"])
@@ -43,18 +46,19 @@ def once_per_id(detections: DataFrame, time: str, delay: str) -> DataFrame:
     )
 
 
-def monitor(pastes: DataFrame, target: str, time: str, delay: str, sink: str, checkpoint: str,
-            trigger: dict | None = None):
+def monitor(pastes: DataFrame, target: str, delay: str, sink: str, checkpoint: str, trigger: dict | None = None):
     """Start the job that appends detections to a parquet folder; returns the running query.
 
+    Every row is stamped with the time it came in (``discovered_at``).
     ``trigger`` goes to ``writeStream.trigger``: by default what is there is
     processed and the query ends; pass ``{"processingTime": "1 minute"}`` to
     keep watching.
     """
-    found = once_per_id(detect(pastes, target), time, delay).drop("content")
-    out = found.withColumn("detection_type", F.lit("real_time")).withColumn("discovered_at", F.current_timestamp())
+    arriving = pastes.withColumn("discovered_at", F.current_timestamp())
+    found = once_per_id(detect(arriving, target), "discovered_at", delay).drop("content")
     return (
-        out.writeStream.format("parquet").outputMode("append")
+        found.withColumn("detection_type", F.lit("real_time"))
+        .writeStream.format("parquet").outputMode("append")
         .option("path", sink).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )

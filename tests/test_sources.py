@@ -124,16 +124,17 @@ def test_stream_reports_each_id_once_over_batches(spark, tmp_path):
         [paste("a", 1, "acme pass" + "word=x", 1), paste("b", 1, "acme", 1), paste("a", 2, "nothing", 1)] + [paste("a", 3, "acme", 1)] * 50,
         [paste("c", 1, "acme", 2), paste("a", 4, "ACME.example.com", 2)],
         [{**paste("a", 5, "acme", 3), "title": "other"}],
+        [{**paste("d", 6, "acme", 1), "seen_at": "2023-01-01T00:00:00"}],  # seen long ago, comes in last
     ]
     (tmp_path / "in").mkdir()
     sink, state = str(tmp_path / "out"), str(tmp_path / "state")
     for i, batch in enumerate(batches):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, batch)))
         arriving = spark.readStream.schema(PASTE).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-        W.monitor(arriving, "acme.example.com", "seen_at", "1 day", sink, state).awaitTermination()
+        W.monitor(arriving, "acme.example.com", "1 day", sink, state).awaitTermination()
     got = spark.read.parquet(sink)
-    assert sorted(r.url for r in got.collect()) == ["u1", "u3", "u4"]
-    assert "content" not in got.columns and got.where("detection_type = 'real_time'").count() == 3
+    assert sorted(r.url for r in got.collect()) == ["u1", "u3", "u4", "u6"]
+    assert "content" not in got.columns and got.where("detection_type = 'real_time'").count() == 4
     batch = W.detect(spark.read.schema(PASTE).json(str(tmp_path / "in")), "acme.example.com")
     assert {r.content_id for r in batch.collect()} == {r.content_id for r in got.collect()}
     assert not any("word=x" in r.content_preview for r in got.collect())
