@@ -51,15 +51,132 @@ def ct_load(t):
     return files.load_certificate_log(t.spark, path, multi_line=False)
 
 
-@F.arrow_udf(T.BinaryType())
-def _zip_of(text: pa.Array) -> pa.Array:
-    out = []
-    for s in text.to_pylist():
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("in/lines.txt", s)
-        out.append(buffer.getvalue())
-    return pa.array(out, pa.binary())
+@query("ct_load_arrays", "SELECT * FROM ct_entries", ("ct_entries",))
+def ct_load_arrays(t):
+    """Files that hold one JSON array each."""
+    row = F.to_json(F.struct(*t.ct_entries.columns), {"ignoreNullFields": "false"})
+    grouped = t.ct_entries.select((F.crc32(F.col("id").cast("string").cast("binary")) % 20).alias("g"), row.alias("j"))
+    arrays = grouped.groupBy("g").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("a"))
+    base = scratch(t.spark, "ct")
+    write_files(arrays.select(F.concat("g", F.lit(".json")).alias("name"), F.col("a").cast("binary").alias("content")), base)
+    return files.load_certificate_log(t.spark, base)
+
+
+# --- real files, each of some neighbouring documents
+
+
+def write_files(rows, folder: str) -> None:
+    """Write rows (name, content) as files below a shared folder. A task that runs again writes the same files."""
+    def write(batches):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(content)
+            yield batch.select(["name"])
+    rows.select("name", "content").mapInArrow(write, "name string").count()
+
+
+PER_FILE = 10
+
+
+def _grouped(t):
+    """(g, docs): the texts of ten neighbouring ids, in order."""
+    one = F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return t.documents.groupBy(F.floor(F.col("doc_id") / PER_FILE).cast("bigint").alias("g")).agg(
+        F.array_sort(F.collect_list(one)).alias("docs"))
+
+
+def _file_of(build):
+    """Arrow column function: content of a file from its group, by ``build(number, [(id, text), ...])``."""
+    @F.arrow_udf(T.BinaryType())
+    def content(g: pa.Array, docs: pa.Array) -> pa.Array:
+        return pa.array([build(n, [(d["doc_id"], d["text"]) for d in own])
+                         for n, own in zip(g.to_pylist(), docs.to_pylist())], pa.binary())
+    return content
+
+
+def _zip_bytes(members) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in members:
+            z.writestr(name, content)
+    return buffer.getvalue()
+
+
+def _dump_bytes(g: int, docs) -> bytes:
+    import gzip
+
+    plain = "".join(f"{text}\n" for _, text in docs).encode()
+    if g % 5 < 2:
+        return plain
+    return gzip.compress(plain) if g % 5 < 4 else _zip_bytes([("in/lines.txt", plain)])
+
+
+DUMP_NAME = "g || CASE g % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.TXT' WHEN 2 THEN '.gz' WHEN 3 THEN '.GZ' ELSE '.zip' END"
+
+
+@query(
+    "scan_dump_files",
+    f"SELECT {DUMP_NAME} || CASE g % 5 WHEN 4 THEN '/in/lines.txt' ELSE '' END AS source_file, {D.strip('l')} AS line FROM"
+    f" (SELECT doc_id // {PER_FILE} AS g, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE {D.strip('l')} <> ''",
+)
+def scan_dump_files(t):
+    """Text, gzip and zip files with extensions in either case, read from a folder."""
+    base = scratch(t.spark, "dump")
+    rows = _grouped(t).select(F.expr(DUMP_NAME).alias("name"), _file_of(_dump_bytes)("g", "docs").alias("content"))
+    write_files(rows, base)
+    source = F.regexp_extract("source_file", r"(\d+\.\w+(/in/.*)?)$", 1)
+    return files.scan_dump(t.spark, base).select(source.alias("source_file"), "line")
+
+
+@query(
+    "scan_zip_dump",
+    f"SELECT source_file, line FROM (SELECT doc_id // {PER_FILE} || '.zip/in/' || doc_id || '.txt' AS source_file,"
+    f" {D.strip('l')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE line <> ''",
+)
+def scan_zip_dump(t):
+    """Archives of several members, read from a folder."""
+    base = scratch(t.spark, "zips")
+    content = _file_of(lambda g, docs: _zip_bytes([(f"in/{i}.txt", text) for i, text in docs]))
+    write_files(_grouped(t).select(F.concat("g", F.lit(".zip")).alias("name"), content("g", "docs").alias("content")), base)
+    lines = files.scan_dump(t.spark, base, (".zip",))
+    return lines.select(F.regexp_extract("source_file", r"(\d+\.zip/in/.*)$", 1).alias("source_file"), "line")
+
+
+SKIPPED_NAME = "g || CASE g % 5 WHEN 0 THEN '.zip' WHEN 1 THEN '.GZ' WHEN 2 THEN '.gz' WHEN 3 THEN '.ZIP' ELSE '.csv' END"
+TEXT_CAP = 20_000
+
+
+def _damaged_bytes(g: int, docs) -> bytes:
+    import gzip
+
+    plain = "".join(f"{text}\n" for _, text in docs).encode()
+    if g % 5 in (1, 2):
+        packed = gzip.compress(plain)
+        return packed if g % 5 == 1 else packed[: len(packed) // 2]
+    return _zip_bytes([("in/lines.txt", plain)]) if g % 5 == 0 else plain
+
+
+@query(
+    "skipped_files",
+    f"""SELECT {SKIPPED_NAME} AS file, CASE g % 5 WHEN 4 THEN 'extension' ELSE 'unreadable' END AS reason
+ FROM (SELECT DISTINCT doc_id // {PER_FILE} AS g FROM documents) WHERE g % 5 IN (2, 3, 4)
+ UNION ALL SELECT g || '.txt', 'oversize' FROM (SELECT doc_id // {PER_FILE} AS g, sum(strlen(text) + 1) AS n FROM documents GROUP BY 1)
+ WHERE n > {TEXT_CAP}""",
+)
+def skipped_files(t):
+    """Damaged files, files of another kind, and files over a cap that the caller sets."""
+    mixed, plain = scratch(t.spark, "mixed"), scratch(t.spark, "plain")
+    grouped = _grouped(t)
+    write_files(grouped.select(F.expr(SKIPPED_NAME).alias("name"), _file_of(_damaged_bytes)("g", "docs").alias("content")), mixed)
+    texts = F.concat(F.array_join(F.transform("docs", lambda d: d["text"]), "\n"), F.lit("\n")).cast("binary")
+    write_files(grouped.select(F.concat("g", F.lit(".txt")).alias("name"), texts.alias("content")), plain)
+    skipped = files.skipped_files(t.spark, mixed).unionByName(files.skipped_files(t.spark, plain, max_bytes=TEXT_CAP))
+    return skipped.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "reason")
 
 
 _DOCX = (
@@ -93,18 +210,6 @@ def _office_of(text: pa.Array, source: pa.Array, kind: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-@query(
-    "scan_zip_dump",
-    f"SELECT source_file, line FROM (SELECT 'dump/' || doc_id || '.zip/in/lines.txt' AS source_file, {D.strip('l')} AS line FROM"
-    " (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE line <> ''",
-)
-def scan_zip_dump(t):
-    archives = t.documents.select(
-        F.concat(F.lit("dump/"), "doc_id", F.lit(".zip")).alias("path"), _zip_of("text").alias("content")
-    )
-    return files.zip_lines(archives)
-
-
 KIND = "CASE doc_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' ELSE 'pptx' END"
 OFFICE_TEXT = (
     "CASE doc_id % 3 WHEN 0 THEN text || chr(10) WHEN 1 THEN array_to_string(list_transform(string_split(text, chr(10)),"
@@ -142,6 +247,50 @@ def office_findings(t):
     return found.select("doc_id", "kind", "match_count", F.array_join("sample_matches", " | ").alias("samples"))
 
 
+_SHEETS = (
+    '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    ' xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
+    '<sheet name="b" sheetId="2" r:id="r2"/><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>',
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/>'
+    "</Relationships>",
+)
+
+
+def _office_bytes(g: int, docs) -> bytes:
+    """A document of all texts, or a workbook that names its second sheet first."""
+    from xml.sax.saxutils import escape
+
+    if g % 4 == 3:
+        return b"no archive"
+    head, left, right, tail = _DOCX if g % 4 == 0 else _XLSX
+    body = lambda own: head + "".join(left + escape(p) + right for _, s in own for p in s.split("\n")) + tail
+    if g % 4 == 0:
+        return _zip_bytes([("word/document.xml", body(docs)), ("docProps/core.xml", _CORE.format(g))])
+    first, rest = docs[:4], docs[4:]
+    return _zip_bytes([("xl/worksheets/sheet1.xml", body(rest)), ("xl/worksheets/sheet2.xml", body(first)),
+                       ("xl/workbook.xml", _SHEETS[0]), ("xl/_rels/workbook.xml.rels", _SHEETS[1])])
+
+
+OFFICE_NAME = "g || CASE g % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.XLSX' ELSE '.docx' END"
+_ROWS = "list_transform(string_split(text, chr(10)), lambda l: CASE WHEN g % 4 = 0 THEN l WHEN l = '' THEN '7 ' ELSE l || ' 7 ' END)"
+
+
+@query(
+    "office_files",
+    f"SELECT {OFFICE_NAME} AS file, md5(string_agg(array_to_string({_ROWS}, chr(10)) || chr(10), '' ORDER BY doc_id)) AS digest"
+    f" FROM (SELECT *, doc_id // {PER_FILE} AS g FROM documents) WHERE g % 4 <> 3 GROUP BY g",
+)
+def office_files(t):
+    """Documents and workbooks read from a folder; damaged ones give no row."""
+    base = scratch(t.spark, "office")
+    rows = _grouped(t).select(F.expr(OFFICE_NAME).alias("name"), _file_of(_office_bytes)("g", "docs").alias("content"))
+    write_files(rows, base)
+    read = files.binary_files(t.spark, base, ".docx").unionByName(files.binary_files(t.spark, base, ".xlsx"))
+    return files.office_scan(read).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.md5("text").alias("digest"))
+
+
 @query(
     "export_findings",
     f"SELECT f AS format, doc_id, kind, match_count FROM ({D.scan('planted', 'doc_id', 'text', R.CODE_RULES)}),"

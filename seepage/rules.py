@@ -159,9 +159,6 @@ MENTION_TEMPLATES = (
     ("code_patterns", "{domain} config"), ("code_patterns", "{domain} env"),
 )
 
-MAX_MEMBER_BYTES = 100 * 1024 * 1024
-MAX_DUMP_BYTES = 500 * 1024 * 1024
-MAX_DOCUMENT_BYTES = 10 * 1024 * 1024
 DUMP_EXTENSIONS = (".txt", ".gz", ".zip")
 
 

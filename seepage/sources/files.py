@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -35,26 +36,35 @@ def _clean_lines(df: DataFrame) -> DataFrame:
     return df.withColumn("line", strip(line)).where("line != ''")
 
 
+def _within(df: DataFrame, size, max_bytes: int | None) -> DataFrame:
+    return df if max_bytes is None else df.where(size <= max_bytes)
+
+
 def scan_text_dump(spark: SparkSession, path: str, extensions=(".txt", ".gz"),
-                   max_bytes: int = R.MAX_DUMP_BYTES) -> DataFrame:
-    """Lines of all text and gzip files below a directory that are not over the size cap."""
-    glob = "{" + ",".join("*.gz" if e == ".gz" else _any_case(e) for e in extensions) + "}"
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-        .where(F.col("_metadata.file_size") <= max_bytes)
-        .select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("line"))
-    )
+                   max_bytes: int | None = None) -> DataFrame:
+    """Lines of all text and gzip files below a directory, by extensions in any case.
+
+    With ``max_bytes`` larger files are left out; ``skipped_files`` lists them.
+    """
+    # Spark unpacks by the lower-case extension only; the others are unpacked here.
+    glob = "{" + ",".join("*.gz" if e.lower() == ".gz" else _any_case(e) for e in extensions) + "}"
+    lines = _within(
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path),
+        F.col("_metadata.file_size"), max_bytes,
+    ).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("line"))
+    if any(e.lower() == ".gz" for e in extensions):
+        packed = binary_files(spark, path, ".gz", max_bytes).where(~F.endswith("path", F.lit(".gz")))
+        lines = lines.unionByName(gzip_lines(packed))
     return _clean_lines(lines)
 
 
-def binary_files(spark: SparkSession, path: str, extension: str, max_bytes: int) -> DataFrame:
-    """Files (path, length, content) with the extension in any case; larger ones are never opened."""
-    return (
+def binary_files(spark: SparkSession, path: str, extension: str, max_bytes: int | None = None) -> DataFrame:
+    """Files (path, length, content) with the extension in any case; those over ``max_bytes`` are never opened."""
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", _any_case(extension)).load(path)
-        .where(F.col("length") <= max_bytes)
-        .select("path", "length", "content")
     )
+    return _within(files, F.col("length"), max_bytes).select("path", "length", "content")
 
 
 def _line_batches(source_lines):
@@ -69,53 +79,123 @@ def _line_batches(source_lines):
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines)], names=["source_file", "line"])
 
 
-def zip_lines(archives: DataFrame, max_member_bytes: int = R.MAX_MEMBER_BYTES, on_error: str = "skip") -> DataFrame:
-    """Lines of the members of zip archives (path, content), as source ``archive/member``.
+def _gzip_members(path, content, problem):
+    """Lines of a gzip file; what cannot be read goes to ``problem``."""
+    import gzip
+    import io
+    import zlib
 
-    Members over the cap are left out. Lines are handed on in small batches,
-    so a task never holds a whole member. Unreadable archives and members are
-    skipped unless ``on_error`` is 'raise'.
-    """
+    try:
+        with gzip.open(io.BytesIO(content)) as file:
+            for raw in file:
+                yield path, raw.decode("utf-8", errors="ignore")
+    except (OSError, EOFError, zlib.error):
+        problem(path, "unreadable")
 
-    def members(path, content):
-        import io
-        import zipfile
-
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for info in archive.infolist():
-                    if info.is_dir() or info.file_size > max_member_bytes:
-                        continue
-                    try:
-                        with archive.open(info) as member:
-                            for raw in member:
-                                yield f"{path}/{info.filename}", raw.decode("utf-8", errors="ignore")
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, EOFError):
-                        if on_error == "raise":
-                            raise
-        except zipfile.BadZipFile:
-            if on_error == "raise":
-                raise
+
+def _zip_members(path, content, problem, max_member_bytes=None):
+    """Lines of a zip archive's members, as source ``archive/member``."""
+    import io
+    import zipfile
+    import zlib
+
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for info in archive.infolist():
+                name = f"{path}/{info.filename}"
+                if info.is_dir():
+                    continue
+                if max_member_bytes is not None and info.file_size > max_member_bytes:
+                    problem(name, "oversize")
+                    continue
+                try:
+                    with archive.open(info) as member:
+                        for raw in member:
+                            yield name, raw.decode("utf-8", errors="ignore")
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, EOFError, zlib.error):
+                    problem(name, "unreadable")
+    except zipfile.BadZipFile:
+        problem(path, "unreadable")
+
+
+def _unpacked(files: DataFrame, members, on_error: str) -> DataFrame:
+    def problem(name, reason):
+        if on_error == "raise":
+            raise ValueError(f"{name}: {reason}")
 
     def lines(batches):
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
-                yield from _line_batches(members(path.as_py(), content.as_py()))
+                yield from _line_batches(members(path.as_py(), content.as_py(), problem))
+    return _clean_lines(files.select("path", "content").mapInArrow(lines, LINES))
+
+
+def gzip_lines(files: DataFrame, on_error: str = "skip") -> DataFrame:
+    """Lines of gzip files (path, content). What cannot be read is skipped, and in ``skipped_files``, or raised."""
+    return _unpacked(files, _gzip_members, on_error)
 
-    return _clean_lines(archives.select("path", "content").mapInArrow(lines, LINES))
 
+def zip_lines(archives: DataFrame, max_member_bytes: int | None = None, on_error: str = "skip") -> DataFrame:
+    """Lines of the members of zip archives (path, content), as source ``archive/member``.
+
+    Lines are handed on in small batches, so a task never holds a whole
+    member. Members over ``max_member_bytes``, if given, and unreadable ones
+    are skipped, and in ``skipped_files``, unless ``on_error`` is 'raise'.
+    """
+    def members(path, content, problem):
+        return _zip_members(path, content, problem, max_member_bytes)
+    return _unpacked(archives, members, on_error)
 
-def scan_dump(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS,
-              max_bytes: int = R.MAX_DUMP_BYTES, spread: int | None = None) -> DataFrame:
-    """Lines of all dump files below a directory: text, gzip and zip, by the listed extensions.
 
-    A gzip or zip file is read by one task; ``spread`` deals its lines out to
+def skipped_files(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS, max_bytes: int | None = None,
+                  max_member_bytes: int | None = None) -> DataFrame:
+    """(path, length, reason) of every file and archive member below a directory that ``scan_dump`` gives no lines of.
+
+    Reasons: 'extension', 'oversize' (over the caps, if given) and 'unreadable'
+    (a damaged gzip file, archive or member; its lines up to the damage are given).
+    """
+    known = [e.lower() for e in extensions]
+    all_files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    listed = reduce(lambda a, b: a | b, [F.endswith(F.lower("path"), F.lit(e)) for e in known], F.lit(False))
+    over = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    reason = F.when(~listed, "extension").when(over, "oversize")
+    rows = [all_files.withColumn("reason", reason).where("reason IS NOT NULL")]
+
+    def problems(members):
+        def run(batches):
+            for batch in batches:
+                found = []
+                for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                    own = []
+                    for _ in members(file, content, lambda name, why: own.append((name, why))):  # noqa: B023
+                        pass
+                    found += [(name, len(content), why) for name, why in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))],
+                    names=["path", "length", "reason"])
+        return run
+
+    def zipped(file, content, problem):
+        return _zip_members(file, content, problem, max_member_bytes)
+    for extension, members in ((".gz", _gzip_members), (".zip", zipped)):
+        if extension in known:
+            packed = binary_files(spark, path, extension, max_bytes).select("path", "content")
+            rows.append(packed.mapInArrow(problems(members), "path string, length long, reason string"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def scan_dump(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS, max_bytes: int | None = None,
+              spread: int | None = None, max_member_bytes: int | None = None) -> DataFrame:
+    """Lines of all dump files below a directory: text, gzip and zip, by the listed extensions in any case.
+
+    Without caps every file is read; what is skipped is in ``skipped_files``. A
+    gzip or zip file is read by one task; ``spread`` deals its lines out to
     that many tasks before they are searched.
     """
     plain = tuple(e for e in extensions if e.lower() != ".zip")
     frames = [scan_text_dump(spark, path, plain, max_bytes)] if plain else []
     if len(plain) < len(extensions):
-        frames.append(zip_lines(binary_files(spark, path, ".zip", max_bytes)))
+        frames.append(zip_lines(binary_files(spark, path, ".zip", max_bytes), max_member_bytes))
     lines = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     return lines.repartition(spread) if spread else lines
 
@@ -131,6 +211,7 @@ def load_certificate_log(spark: SparkSession, path: str, multi_line: bool = True
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _PROPERTIES = {"title": "title", "creator": "creator", "created": "created", "modified": "modified",
                "subject": "subject", "keywords": "keywords"}
 
@@ -156,6 +237,19 @@ def _docx_text(archive, xml) -> str:
     return "".join(line + "\n" for line in lines)
 
 
+def _sheets(archive, xml) -> list[str]:
+    """Sheet files in the order of the workbook; by number if it names none."""
+    names = archive.namelist()
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        targets = {el.get("Id"): el.get("Target") for el in xml.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+        ids = [el.get(_R_ID) for el in xml.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+        own = [t.lstrip("/") if t.startswith("/") else f"xl/{t}" for t in (targets.get(i, "") for i in ids) if t]
+        own = [n for n in own if n in names]
+        if own:
+            return own
+    return sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+
+
 def _xlsx_text(archive, xml) -> str:
     names = archive.namelist()
     shared = []
@@ -179,9 +273,7 @@ def _xlsx_text(archive, xml) -> str:
         return "" if kind in (None, "n") and float(v) == 0 else v
 
     out = []
-    sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet")),
-                    key=lambda n: (len(n), n))
-    for sheet in sheets:
+    for sheet in _sheets(archive, xml):
         for row in xml.fromstring(archive.read(sheet)).iter(f"{_S}row"):
             out.append("".join(f"{v} " for v in map(value, row.iter(f"{_S}c")) if v) + "\n")
     return "".join(out)
@@ -192,6 +284,8 @@ def _read_office(content, kind):
     import xml.etree.ElementTree as xml
     import zipfile
 
+    if kind == "xls":
+        return None
     if content is None or kind not in ("docx", "xlsx"):
         return {"text": "", "metadata": []}
     try:
@@ -220,8 +314,9 @@ def _office(content: pa.Array, kind: pa.Array) -> pa.Array:
 def office_scan(files: DataFrame, keys=("path",), kind: str | None = None) -> DataFrame:
     """Text and core properties of office files.
 
-    docx gives its paragraphs, xlsx the cells of all sheets; other kinds give
-    empty text. A file that cannot be read gives no row.
+    docx gives its paragraphs, xlsx the cells of all sheets in the order of the
+    workbook; other kinds give empty text. xls and a file that cannot be read
+    give no row.
     """
     extension = F.col(kind) if kind else F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     return (
