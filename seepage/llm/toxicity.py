@@ -20,6 +20,7 @@ Repeated rows have a row each. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -52,24 +53,37 @@ def window(word: bytes) -> bytes:
 
 
 def _stems(word: bytes) -> set[bytes]:
-    return {word[:4], word[:6]} if len(word) > 4 else {word}
+    return {word[:n] for n in (4, 5, 6, 8) if n < len(word)} | {word[:8]}
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary trained on the samples; of too few, the samples themselves."""
+def _dictionary(samples: list[bytes], size: int, complete: bool = False) -> bytes:
+    """A zstandard dictionary trained on the samples; of too few, the samples themselves.
+
+    With ``complete`` the most frequent samples that the training left out
+    come before it.
+    """
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
+        trained = zstandard.train_dictionary(size * 3 // 4 if complete else size, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+        trained, complete = b"", True
+    added, room = [], size - len(trained)
+    for sample, _ in Counter(samples).most_common() if complete else ():
+        if room < len(sample):
+            break
+        if sample not in trained:
+            added.append(sample)
+            room -= len(sample)
+    return b"".join(reversed(added)) + trained
 
 
 def telling_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], times: float = 8.0) -> list[bytes]:
     """Words of toxic texts with a beginning that toxic texts hold ``times`` as often as ordinary ones, repeats included."""
     held = [Counter(), Counter()]
     for counts, texts in zip(held, (toxic, ordinary)):
-        for text in texts:
+        # Copies and most near copies share their words' least hash and count once.
+        for text in {min(map(zlib.crc32, text), default=0): text for text in texts}.values():
             counts.update(set().union(*map(_stems, set(text))))
-    least = max(3, len(toxic) // 200)
+    least = max(3, len(toxic) // 60)
     telling = {s for s, n in held[0].items()
                if n >= least and n / len(toxic) >= times * (held[1][s] + 0.5) / len(ordinary)}
     return [w for text in toxic for w in text if not telling.isdisjoint(_stems(w))]
@@ -87,17 +101,18 @@ class Classifier:
             plain = [plain[i] for i in rng.choice(len(plain), ORDINARY_WINDOWS, replace=False)]
         picked = telling_words(toxic, ordinary) or [w for text in toxic for w in text]
         self.ordinary = _dictionary([window(w) for w in plain], ORDINARY_BYTES)
-        self.toxic = _dictionary([window(w) for w in picked], TOXIC_BYTES)
-        self.least, self.weights = 1, np.zeros(3)
+        self.toxic = _dictionary([window(w) for w in picked], TOXIC_BYTES, complete=True)
+        self.least, self.noise, self.weights = 1, 0.0, np.zeros(4)
         gains = [[self.gains(t) for t in texts] for texts in (toxic, ordinary)]
         y = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
         weight = np.where(y == 1, 1.0, odds)
         best = math.inf
         for least in (1, 2, 3, 4, 5):  # the threshold whose fit has the least loss
-            x = np.array([self.features(g, least) for side in gains for g in side])
+            noise = (sum(v >= least for g in gains[1] for v in g) + 1) / (sum(map(len, gains[1])) + 1)
+            x = np.array([self.features(g, least, noise) for side in gains for g in side])
             w, loss = _logistic(x, y, weight)
             if loss < best - 1e-9:
-                best, self.least, self.weights = loss, least, w
+                best, self.least, self.noise, self.weights = loss, least, noise, w
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -135,12 +150,14 @@ class Classifier:
         return found
 
     @staticmethod
-    def features(gains: list[int], least: int) -> tuple[float, float, float]:
-        n = sum(g >= least for g in gains)
-        return 1.0, math.log1p(n), math.log(n / len(gains) + 0.002) - math.log(0.002) if gains else 0.0
+    def features(gains: list[int], least: int, noise: float) -> tuple[float, ...]:
+        """Toxic windows, their share, and their number against what ordinary texts of that length hold by chance."""
+        n, size = sum(g >= least for g in gains), len(gains)
+        return (1.0, math.log1p(n), math.log(n / max(size, 1) + 0.002) - math.log(0.002),
+                math.log((n + 0.5) / (noise * size + 0.5)))
 
     def score(self, text: str | None) -> float:
-        x = self.features(self.gains(words(text)), self.least)
+        x = self.features(self.gains(words(text)), self.least, self.noise)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.weights, x))))))
 
 
