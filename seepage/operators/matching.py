@@ -23,7 +23,6 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_INLINE_PATTERNS = 64
 MAX_AUTOMATON_PATTERNS = 200_000
-HOT_KEY_SALTS = 32
 
 
 def fits(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> bool:
@@ -34,25 +33,22 @@ def fits(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAS
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys, how: str = "inner",
-                max_rows: int = MAX_BROADCAST_ROWS, salts: int = HOT_KEY_SALTS,
-                small: bool | None = None) -> DataFrame:
+                max_rows: int = MAX_BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
     """Join a large table with a lookup that has one row per key.
 
-    A lookup measured within the broadcast bounds is broadcast. A larger one
-    is repeated once per salt and joined on (keys, salt), so rows of a hot key
-    spread over ``salts`` tasks. Both give the same rows. ``small`` is the
-    measurement if the caller has it already.
+    The lookup is written to the shared folder once and measured there; within
+    the broadcast bounds it is broadcast. A larger one is joined by its keys,
+    where Spark splits the partitions of hot keys at run time. Both give the
+    same rows. ``small`` is the measurement if the caller has it already; the
+    lookup is then used as it is.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    if fits(lookup, max_rows) if small is None else small:
-        return facts.join(F.broadcast(lookup), keys, how)
-    hashed = [f.name for f in facts.schema if not isinstance(f.dataType, T.MapType)]
-    salt = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salts)).cast("int")
-    salted = facts.withColumn("_salt", salt)
-    repeated = lookup.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    if small is None:
+        lookup = settle(lookup, "lookup")
+        small = fits(lookup, max_rows)
+    return facts.join(F.broadcast(lookup) if small else lookup, keys, how)
 
 
 def watchlist_hits(df: DataFrame, host: str, watchlist: DataFrame, domain: str = "domain") -> DataFrame:
@@ -190,29 +186,28 @@ def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, patter
 
 
 def reachable(links: DataFrame, starts: DataFrame, stored: DataFrame | None = None,
-              max_pages: int | None = None, max_levels: int = 1000) -> DataFrame:
+              max_pages: int | None = None) -> DataFrame:
     """Pages reachable from the start pages (url) over (src, dst) links, with their distance.
 
-    One join per level; every level is written to the shared folder, so it is
-    computed once, the plan stays short and a lost executor does not restart
-    the walk. ``stored`` (url) limits the walk to pages at hand; it meets only
-    the distinct new pages of a level, so a page that most links point to is
-    no hot key. With ``max_pages`` the walk ends after the level that reaches
-    the limit and the nearest pages (then by URL) are kept.
+    One join per level until a level is empty; every level is written to the
+    shared folder, so it is computed once, the plan stays short and a lost
+    executor does not restart the walk. ``stored`` (url) limits the walk to
+    pages at hand: links to others are dropped once, before the walk. With
+    ``max_pages`` the walk ends after the level that reaches the limit and the
+    nearest pages (then by URL) are kept.
     """
     size = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("size")]
+    links = links.select("src", "dst").distinct()
+    if stored is not None:
+        links = links.join(stored.select(F.col("url").alias("dst")).distinct(), "dst", "left_semi")
     links = settle(links.select("src", "dst"), "links")
     frontier = settle(starts.select("url").distinct().withColumn("depth", F.lit(0)), "level")
-    visited, measured, reached = frontier, frontier.agg(*size).first(), 0
-    for level in range(1, max_levels + 1):
-        reached += measured.n
-        if measured.n == 0 or (max_pages is not None and reached >= max_pages):
-            break
+    visited, measured, reached, level = frontier, frontier.agg(*size).first(), 0, 0
+    while measured.n and (max_pages is None or reached + measured.n < max_pages):
+        reached, level = reached + measured.n, level + 1
         small = measured.n <= MAX_BROADCAST_ROWS and measured.size <= MAX_BROADCAST_BYTES
         found = lookup_join(links, frontier.select(F.col("url").alias("src")), "src", "left_semi", small=small)
         new = found.select(F.col("dst").alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
-        if stored is not None:
-            new = new.join(stored.select("url"), "url", "left_semi")
         frontier = settle(new.withColumn("depth", F.lit(level)), "level")
         measured = frontier.agg(*size).first()
         visited = visited.unionByName(frontier)

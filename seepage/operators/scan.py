@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,15 +79,15 @@ def rules_from(rows: DataFrame, builtin=()) -> tuple:
     """Built-in rules plus the user's (kind, pattern) rows.
 
     A rule set is a small hand-written table; more rows than MAX_USER_RULES
-    are refused rather than cut. Every pattern is compiled once here so that
-    a bad one fails before the job starts.
+    are refused rather than cut. Every pattern is tried on an empty text by the
+    engine that will run it, so a bad one fails before the job starts.
     """
     got = rows.select("kind", "pattern").limit(MAX_USER_RULES + 1).collect()
     if len(got) > MAX_USER_RULES:
         raise ValueError(f"more than {MAX_USER_RULES} user rules")
     for r in got:
         try:
-            re.compile(r.pattern)
-        except re.error as e:
-            raise ValueError(f"rule {r.kind!r}: {e}") from e
+            rows.sparkSession.range(1).select(F.regexp_count(F.concat(F.lit(""), F.col("id")), F.lit(r.pattern))).collect()
+        except (SparkRuntimeException, IllegalArgumentException, Py4JJavaError, AnalysisException) as e:
+            raise ValueError(f"rule {r.kind!r}: {str(e).splitlines()[0]}") from e
     return tuple(builtin) + tuple(R.Rule(r.kind, r.pattern) for r in sorted(got))

@@ -56,10 +56,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a table with fewer files than the session has slots out to all slots.
+    """Deal the rows of a table with fewer partitions than the session has slots out to all slots.
 
     For work that costs much more than a shuffle of its input, such as pattern
-    searches and page parsing. A table of many files is left as it is.
+    searches and page parsing. A table of many partitions is left as it is.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if len(df.inputFiles()) < slots else df
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
