@@ -231,5 +231,5 @@ def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def accepted(docs: DataFrame, least: float = 0.35, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents whose language is told with a pooled probability of ``least`` or more, with all their columns."""
     found = languages(docs, id_col=id_col, **options)
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad.distinct(), docs[id_col].eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_bad_id"))
+    return docs.join(bad.distinct(), docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")

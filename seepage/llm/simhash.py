@@ -288,5 +288,5 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, **op
 def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that are the first of their component, with all their columns; of rows that share an id, all."""
     found = similar_texts(docs, words, similarity, id_col=id_col, **options)
-    later = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later_id")).distinct()
-    return docs.join(later, docs[id_col] == later["later_id"], "left_anti")
+    later = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_later_id")).distinct()
+    return docs.join(later, docs[id_col] == later["_later_id"], "left_anti")

@@ -153,9 +153,9 @@ def with_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", edi
     """The documents with a column ``edits``, from a table of single edits (id, seq, at, remove, insert)."""
     one = F.struct(F.col("seq").cast("int").alias("seq"), F.col("at").cast("long").alias("at"),
                    F.col("remove").cast("long").alias("remove"), F.col("insert").cast("string").alias("insert"))
-    grouped = edits.filter(F.col(edit_id_col).isNotNull()).groupBy(F.col(edit_id_col).alias("edit_id")).agg(
+    grouped = edits.filter(F.col(edit_id_col).isNotNull()).groupBy(F.col(edit_id_col).alias("_edit_id")).agg(
         F.array_sort(F.collect_list(one)).alias("edits"))
-    return docs.drop("edits").join(grouped, docs[id_col] == F.col("edit_id"), "left").drop("edit_id")
+    return docs.drop("edits").join(grouped, docs[id_col] == F.col("_edit_id"), "left").drop("_edit_id")
 
 
 def apply_edits(rows: DataFrame, tokenizer: str, *, spaced: bool = True) -> DataFrame:

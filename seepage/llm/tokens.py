@@ -21,6 +21,8 @@ _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u202
 _CASED = re.compile(r"[\u0130\u03a3\u0300-\u036f]")
 #: A full stop or comma next to another mark, which the tokenizer may take together, or not right after a word.
 _MARKED = re.compile(r"[.,](?:(?=[^\s\w]|_)|(?<=[\W_][.,]))")
+#: Letters, then ASCII marks to the end.
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 KEPT_PIECES = 700_000
 
 
@@ -55,7 +57,7 @@ class Encoder:
         self.bound = np.zeros(size, bool)  # ids that begin a word (spaced) or end it
         for token, i in self.model.get_vocab().items():
             self.bound[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
-        self.marks = dict(zip(".,", self.whole([".", ","])))
+        self.marks: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes()
@@ -80,8 +82,8 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Put the pieces' ids into ``known``.
 
-        A word of letters, with one mark after it or none, is surely cut before
-        the mark, and words of letters are encoded many at once.
+        A word of letters is surely cut before the marks that end its piece,
+        and words of letters are encoded many at once.
         """
         known, before, marks, made, others = self.known, self.before, self.marks, [], []
         for piece in pieces:
@@ -89,16 +91,26 @@ class Encoder:
             if ids is not None:
                 known[piece] = ids
                 continue
-            word, mark = piece, b""
-            if piece[-1:] in marks:
-                word, mark = piece[:-1], marks[piece[-1:]]
-            if word.isalpha() and (self.spaced or word.isascii() or unicodedata.is_normalized("NFC", word)):
+            if piece.isalpha():
+                word, mark = piece, ""
+            else:
+                found = _WORD_AND_MARKS.fullmatch(piece)
+                if not found:
+                    others.append(piece)
+                    continue
+                word, mark = found.groups()
+            if word.isascii() or (word.isalpha() and (self.spaced or unicodedata.is_normalized("NFC", word))):
                 made.append((piece, word, mark))
             else:
                 others.append(piece)
+        new = list({mark for _, _, mark in made}.difference(marks))
+        if len(marks) > 10_000:
+            marks.clear()
+            new = list({mark for _, _, mark in made})
+        marks.update(zip(new, self.whole(new)))
         words = {word: known.get(word) for _, word, _ in made}
         words.update(self._words([w for w, ids in words.items() if ids is None]))
-        known.update([(piece, words[word] + mark) for piece, word, mark in made])
+        known.update([(piece, words[word] + marks[mark]) for piece, word, mark in made])
         known.update(zip(others, self.whole([self._source(p) for p in others])))
 
     def pieces(self, text: str) -> list[str] | None:
