@@ -176,6 +176,24 @@ def contact_info(parsed: DataFrame, keys, html: str = "html") -> DataFrame:
     )
 
 
+def page_facts(parsed: DataFrame, keys, url: str = "url", html: str = "html") -> DataFrame:
+    """One row per page: url, title, emails, links (distinct valid absolute ones), contact_info and metadata.
+
+    ``contact_info`` holds phones, social_media and addresses.
+    """
+    contact = F.struct(
+        F.array_sort(X.phones("_text")).alias("phones"), X.social_handles("_text", html).alias("social_media"),
+        F.array_sort(X.addresses("_text")).alias("addresses"),
+    )
+    facts = {"title": title_of(_nodes()), "emails": F.array_sort(X.emails("_text")), "contact_info": contact,
+             "metadata": metadata_of(_nodes())}
+    pages, links = _with_hrefs(
+        parsed.withColumn("_text", P.texts(_nodes())), [*keys, *[c.alias(n) for n, c in facts.items()]], url
+    )
+    kept = F.array_sort(F.filter(F.array_distinct(links), X.valid_url))
+    return pages.select(*keys, F.col("_base").alias("url"), "title", "emails", kept.alias("links"), "contact_info", "metadata")
+
+
 def page_flags(parsed: DataFrame, keys, words=(), html: str = "html") -> DataFrame:
     """Title, description, sign-up flag and one flag per given word."""
     described = P.first(

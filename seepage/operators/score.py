@@ -38,6 +38,15 @@ def score_content(df: DataFrame, text: str, target: str, rules=R.PASTE_RULES) ->
     return scanned.withColumns(risk_columns("sensitive_data", X.mention_count(text, F.lit(target)), rules))
 
 
+def document_analysis(df: DataFrame, keys, text: str, target: str, rules=R.DOCUMENT_RULES, metadata: str = "metadata") -> DataFrame:
+    """One row per document: text_length, sensitive_data (the findings), target_mentions and metadata."""
+    scanned = with_findings(df, text, rules, "sensitive_data")
+    return scanned.select(
+        *keys, F.length(text).alias("text_length"), "sensitive_data",
+        X.mention_count(text, F.lit(target)).alias("target_mentions"), F.col(metadata).alias("metadata"),
+    )
+
+
 def tier(score="risk_score") -> Column:
     score = F.col(score)
     return F.when(score >= 8, "high").when(score >= 5, "medium").otherwise("low")
@@ -69,13 +78,15 @@ def sites_with_hits(scored: DataFrame, at: str, site: str = "site") -> DataFrame
     )
 
 
-def report_long(sections: dict[str, DataFrame]) -> DataFrame:
-    """All result kinds in one table (section, item, url, detail). Each frame brings item, url and detail."""
-    frames = [
-        df.select(F.lit(name).alias("section"), *[F.col(c).cast("string").alias(c) for c in ("item", "url", "detail")])
-        for name, df in sections.items()
-    ]
-    return reduce(DataFrame.unionByName, frames)
+def report_long(sections: dict[str, DataFrame], tagged=()) -> DataFrame:
+    """All result kinds in one table (section, item, url, detail).
+
+    Each frame brings item, url and detail; those of ``tagged`` bring their
+    section too, so that rows of several sections are made in one pass.
+    """
+    frames = [df.withColumn("section", F.lit(name)) for name, df in sections.items()] + list(tagged)
+    texts = [F.col(c).cast("string").alias(c) for c in ("section", "item", "url", "detail")]
+    return reduce(DataFrame.unionByName, [df.select(*texts) for df in frames])
 
 
 def section_totals(report: DataFrame, sections) -> DataFrame:

@@ -245,17 +245,17 @@ REPORT_SQL = f"""SELECT 'discovered_documents' AS section, title AS item, url, '
 
 def report(t):
     urls, scored = t.urls, unique_scored(t).withColumn("category", C.category())
-    pastes = lambda kind: scored.where(F.col("category") == kind).select(
-        F.col("content_id").alias("item"), F.col("site").alias("url"), F.col("risk_score").alias("detail")
-    )
+    section = F.when(F.col("category") == "credential_leak", "credential_leaks").when(
+        F.col("category") == "code_exposure", "code_exposures")
+    pastes = scored.select(section.alias("section"), F.col("content_id").alias("item"), F.col("site").alias("url"),
+                           F.col("risk_score").alias("detail")).where("section IS NOT NULL")
     linked = lambda rows, detail: rows.select(F.col("title").alias("item"), "url", F.lit(detail).alias("detail"))
     return C.report_long(
         {
             "discovered_documents": linked(urls.where(F.startswith("url", F.lit("https"))), "https"),
             "leaked_documents": linked(urls.where(X.title_risk("title") == "high"), "high"),
-            "credential_leaks": pastes("credential_leak"),
-            "code_exposures": pastes("code_exposure"),
-        }
+        },
+        [pastes],
     )
 
 

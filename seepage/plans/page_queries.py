@@ -192,6 +192,25 @@ def contact_info(t):
     return info.select("page_id", *[F.array_join(c, " | ").alias(c) for c in ("emails", "phones", "addresses")])
 
 
+@query(
+    "page_facts",
+    f"""SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
+ array_to_string(list_sort({D.emails('s')}), ' | ') AS emails,
+ array_to_string(list_sort(list_distinct(list_transform(list_zip(regexp_extract_all(s, {D.q(R.PHONE)}, 1), regexp_extract_all(s, {D.q(R.PHONE)}, 2),
+ regexp_extract_all(s, {D.q(R.PHONE)}, 3)), lambda p: '(' || p[1] || ') ' || p[2] || '-' || p[3]))), ' | ') AS phones,
+ coalesce(links, '') AS links
+ FROM (SELECT page_id, url, html, {D.visible('html')} AS s FROM pages) LEFT JOIN
+ (SELECT page_id, string_agg(link, ' | ' ORDER BY link) AS links FROM
+  (SELECT DISTINCT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || h AS link FROM
+   (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages))
+  WHERE {D.valid_url('link')} GROUP BY page_id) USING (page_id)""",
+)
+def page_facts(t):
+    facts = G.page_facts(parsed(t), ["page_id"])
+    joined = {c: F.array_join(c, " | ") for c in ("emails", "contact_info.phones", "links")}
+    return facts.select("page_id", "url", "title", *[c.alias(n.rpartition(".")[2]) for n, c in joined.items()])
+
+
 @query(
     "contact_info_rich",
     """SELECT c_custkey, 'me' || c_custkey || '@corp1.example.com' AS emails, 1 AS n_phones, 1 AS n_addresses,

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from seepage import rules as R
 from seepage.functions import text as X
 from seepage.operators import scan as S
+from seepage.operators import score as C
 from seepage.plans import duck as D
 from seepage.plans.derived import DERIVED
 from seepage.plans.join_queries import REPORT_SQL, report
@@ -247,6 +248,24 @@ def office_findings(t):
     return found.select("doc_id", "kind", "match_count", F.array_join("sample_matches", " | ").alias("samples"))
 
 
+@query(
+    "document_analysis",
+    f"""SELECT doc_id, file_type, text_length, target_mentions, coalesce(kinds, '') AS kinds, author FROM
+ (SELECT doc_id, {KIND} AS file_type, CAST(length(s) AS INTEGER) AS text_length,
+  CAST((length(s) - length(replace(lower(s), 'the', ''))) / 3 AS INTEGER) AS target_mentions,
+  CASE doc_id % 3 WHEN 0 THEN source ELSE '' END AS author FROM (SELECT *, {OFFICE_TEXT} AS s FROM documents))
+ LEFT JOIN (SELECT doc_id, string_agg(kind || '=' || match_count, ',' ORDER BY kind) AS kinds FROM
+  ({D.scan(f"(SELECT doc_id, {OFFICE_TEXT} AS text FROM documents)", "doc_id", "text", R.DOCUMENT_RULES)}) GROUP BY 1) USING (doc_id)""",
+)
+def document_analysis(t):
+    """Office files with their length, findings, mentions of a word and author in one row each."""
+    rows = C.document_analysis(office(t), ["doc_id", "file_type"], "text", "the")
+    entry = F.transform("sensitive_data", lambda f: F.concat(f["kind"], F.lit("="), f["match_count"].cast("string")))
+    author = X.or_empty(F.element_at("metadata", F.lit("author")))
+    return rows.select("doc_id", "file_type", "text_length", "target_mentions",
+                       F.array_join(F.array_sort(entry), ",").alias("kinds"), author.alias("author"))
+
+
 _SHEETS = (
     '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     ' xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
