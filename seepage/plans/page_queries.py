@@ -194,7 +194,7 @@ def contact_info(t):
 
 @query(
     "page_facts",
-    f"""SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
+    f"""SELECT page_id, url, trim({D.visible("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title,
  array_to_string(list_sort({D.emails('s')}), ' | ') AS emails,
  array_to_string(list_sort(list_distinct(list_transform(list_zip(regexp_extract_all(s, {D.q(R.PHONE)}, 1), regexp_extract_all(s, {D.q(R.PHONE)}, 2),
  regexp_extract_all(s, {D.q(R.PHONE)}, 3)), lambda p: '(' || p[1] || ') ' || p[2] || '-' || p[3]))), ' | ') AS phones,
