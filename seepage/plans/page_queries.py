@@ -304,8 +304,9 @@ def page_emails(t):
 TARGET = "acme.example.com"
 
 
-def listing(t, *sites):
-    return G.with_nodes(t.listing_pages.where(F.col("site").isin(*sites)).select("s_key", "site", "html"))
+def listing(t):
+    """All stored result pages; the rules decide which sites they fit."""
+    return G.with_nodes(t.listing_pages.select("s_key", "site", "html"))
 
 
 @query(
@@ -315,19 +316,21 @@ def listing(t, *sites):
     ("listing_pages",),
 )
 def code_host_items(t):
-    pages = listing(t, "repositories", "code", "commits", "issues")
+    pages = listing(t)
     return G.result_items(pages, ["s_key"], R.CODE_HOST_RULES).drop("pos")
 
 
 @query(
     "paste_list_items",
-    """SELECT s_key, site, name AS title, CASE site WHEN 'paste.ee' THEN 'https://paste.ee/o/' ELSE '/o/' END || s_key AS url
- FROM listing_pages WHERE site IN ('pastebin.com', 'paste.ee', 'rentry.co')
+    # Sites without a rule of their own go by boxes named paste, result or item; their first title element counts.
+    """SELECT s_key, site, CASE site WHEN 'code' THEN 'x' WHEN 'issues' THEN 'desc ' || s_key ELSE name END AS title,
+ CASE site WHEN 'issues' THEN '/z' WHEN 'paste.ee' THEN 'https://paste.ee/o/' || s_key ELSE '/o/' || s_key END AS url
+ FROM listing_pages WHERE site NOT IN ('repositories', 'google.com')
  UNION ALL SELECT s_key, site, 'No title', '' FROM listing_pages WHERE site = 'pastebin.com'""",
     ("listing_pages",),
 )
 def paste_list_items(t):
-    pages = listing(t, "pastebin.com", "paste.ee", "rentry.co")
+    pages = listing(t)
     return G.result_items(pages, ["s_key"], R.PASTE_LIST_RULES).drop("pos", "snippet")
 
 
@@ -338,7 +341,7 @@ def paste_list_items(t):
     ("listing_pages",),
 )
 def document_list_items(t):
-    items = G.result_items(listing(t, "google.com"), ["s_key"], R.DOCUMENT_LIST_RULES)
+    items = G.result_items(listing(t), ["s_key"], R.DOCUMENT_LIST_RULES)
     return G.document_items(items).select("s_key", "site", "title", "url", X.file_type("url").alias("file_type"))
 
 
@@ -349,39 +352,44 @@ def document_list_items(t):
     ("listing_pages",),
 )
 def leaked_document_items(t):
-    items = G.result_items(listing(t, "google.com"), ["s_key"], R.DOCUMENT_LIST_RULES)
+    items = G.result_items(listing(t), ["s_key"], R.DOCUMENT_LIST_RULES)
     return G.leaked_items(items).drop("pos", "snippet")
 
 
 @query(
     "chat_mention_items",
-    "SELECT s_key, site, name AS title, 'https://google.com/o/' || s_key || '.PDF' AS url, 'desc ' || s_key AS snippet FROM listing_pages"
-    " WHERE site = 'google.com' AND s_key % 4 = 0",
+    # The boxes of the code pages hold another box, which the outer one shows as its snippet.
+    """SELECT s_key, site, CASE WHEN site = 'code' AND box = 1 THEN 'x' ELSE name END AS title, CASE site WHEN 'google.com' THEN 'https://google.com/o/' || s_key || '.PDF' ELSE '/o/' || s_key END AS url,
+ CASE WHEN site IN ('google.com', 'ahmia.fi') THEN 'desc ' || s_key WHEN site = 'code' AND box = 1 THEN name ELSE '' END AS snippet
+ FROM listing_pages, (SELECT unnest([1, 2]) AS box)
+ WHERE s_key % 4 = 0 AND (box = 1 OR site = 'code') AND site IN ('ahmia.fi', 'code', 'commits', 'google.com', 'rentry.co', 'repositories')""",
     ("listing_pages",),
 )
 def chat_mention_items(t):
-    items = G.result_items(listing(t, "google.com"), ["s_key"], R.MENTION_LIST_RULES)
+    items = G.result_items(listing(t), ["s_key"], R.MENTION_LIST_RULES)
     return G.mentioned(items, TARGET, ("slack",), 500).drop("pos")
 
 
 @query(
     "leak_reference_items",
-    # The boxes of the other site open with an h3 that does not name the target.
-    "SELECT s_key, site, name AS title, 'https://rentry.co/o/' || s_key AS url FROM listing_pages WHERE site = 'rentry.co' AND s_key % 4 = 0",
+    # The boxes of the other sites open with an element that does not name the target.
+    """SELECT s_key, site, name AS title, 'https://' || site || '/o/' || s_key || CASE site WHEN 'google.com' THEN '.PDF' ELSE '' END AS url
+ FROM listing_pages WHERE s_key % 4 = 0 AND site IN ('ahmia.fi', 'code', 'commits', 'google.com', 'rentry.co', 'repositories')""",
     ("listing_pages",),
 )
 def leak_reference_items(t):
-    items = G.result_items(listing(t, "rentry.co", "pastebin.com"), ["s_key"], R.LEAK_LIST_RULES)
+    items = G.result_items(listing(t), ["s_key"], R.LEAK_LIST_RULES)
     return G.leak_references(items, TARGET).drop("pos", "snippet")
 
 
 @query(
     "directory_items",
     # The selectors overlap, so a box that fits two of them is listed twice.
-    "SELECT s_key, site, name AS title, '/o/' || s_key AS url, 'desc ' || s_key AS snippet FROM listing_pages, (SELECT unnest([1, 2]) AS twice)"
-    " WHERE site = 'ahmia.fi' AND s_key % 4 = 0",
+    """SELECT s_key, site, name AS title, CASE site WHEN 'google.com' THEN 'https://google.com/o/' || s_key || '.PDF' ELSE '/o/' || s_key END AS url,
+ 'desc ' || s_key AS snippet FROM listing_pages, (SELECT unnest([1, 2]) AS fit)
+ WHERE s_key % 4 = 0 AND (site = 'ahmia.fi' OR (site = 'google.com' AND fit = 1))""",
     ("listing_pages",),
 )
 def directory_items(t):
-    items = G.result_items(listing(t, "ahmia.fi"), ["s_key"], R.DIRECTORY_LIST_RULES, all_rules=True)
+    items = G.result_items(listing(t), ["s_key"], R.DIRECTORY_LIST_RULES, all_rules=True)
     return G.mentioned(items, TARGET).drop("pos")
