@@ -46,8 +46,13 @@ def line_table(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(pos, doc, name) of the positions that share their keys with another; name is the first such position."""
+    """(pos, doc, name) of the positions that share their keys with another; name is the first such position.
+
+    The groups are written before the join, so that both its sides are plain
+    exchanges, of which Spark splits the partition of a hot key.
+    """
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pos").alias("name")).filter("n > 1").drop("n")
+    found = settle(found, "repeated")
     return rows.join(found, keys).select("pos", "doc", "name")
 
 
@@ -66,8 +71,8 @@ def _candidates(lines: DataFrame, least_words: int) -> DataFrame:
 def _doubled(names: DataFrame, step: int) -> DataFrame:
     """Ranks of runs twice as long."""
     second = names.select((F.col("pos") - step).alias("pos"), F.col("doc").alias("doc2"), F.col("name").alias("then"))
-    return _repeated(names.join(second, "pos").filter("doc = doc2").select("pos", "doc", "name", "then")
-                     .withColumnRenamed("name", "now"), ["now", "then"])
+    pairs = names.join(second, "pos").filter("doc = doc2").select("pos", "doc", F.col("name").alias("now"), "then")
+    return _repeated(settle(pairs, "pairs"), ["now", "then"])
 
 
 def earlier_runs(ranks: list[DataFrame]) -> DataFrame:
@@ -77,10 +82,11 @@ def earlier_runs(ranks: list[DataFrame]) -> DataFrame:
         step = 1 << level
         ahead = ranks[level].select(F.col("pos").alias("at"), F.col("doc").alias("doc2"), F.col("name").alias("next"))
         here = items.join(ahead, (F.col("pos") + F.col("length") == F.col("at")) & (F.col("doc") == F.col("doc2")), "left")
-        here = here.select("pos", "doc", "first", "length", "next")
+        here = settle(here.select("pos", "doc", "first", "length", "next"), "ahead")
         keys = ["first", "length", "next"]
         groups = here.filter("next IS NOT NULL").groupBy(*keys).agg(
             F.count("*").alias("n"), F.min("pos").alias("head")).filter("n > 1").drop("n")
+        groups = settle(groups, "groups")
         marked = settle(here.join(groups, keys, "left"), "runs")
         deeper = marked.filter("head IS NOT NULL").select(
             "pos", "doc", F.col("head").alias("first"), (F.col("length") + step).alias("length"))
