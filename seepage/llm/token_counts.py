@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from seepage.llm.tokens import batches_of_texts, encoder
 
 SEGMENT = 192
+#: Pieces of text kept by a worker; building and editing run side by side, each in workers of its own.
+KEPT = 150_000
 EDITS = "array<struct<seq: int, at: long, remove: long, insert: string>>"
 _CUT = re.compile(r"(?<=\S)[ \n]")
 
@@ -120,7 +122,7 @@ def edited(text: str, tree: Tree, at: int, remove: int, insert: str, count) -> t
 
 
 def _count(path: str, spaced: bool):
-    enc = encoder(path, spaced, "<u4")
+    enc = encoder(path, spaced, "<u4", KEPT)
     return lambda texts: [len(x) // 4 for x in enc.encode(texts)]
 
 

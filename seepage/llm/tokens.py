@@ -170,9 +170,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool, dtype: str = "<u4") -> Encoder:
+def encoder(path: str, spaced: bool, dtype: str = "<u4", kept: int = KEPT_PIECES) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path, spaced, dtype)
+    return Encoder(path, spaced, dtype, kept)
 
 
 def batches_of_texts(texts, most: int = 4_000_000):
