@@ -135,6 +135,34 @@ def test_similar_texts(spark):
     assert kept == {0, *range(10, 60), 90}
 
 
+def shared_beginning(tag, shingles, common):
+    """Two texts of that many shingles of five words, of which they share ``common``."""
+    begin = [f"{tag}w{i}" for i in range(common + 4)]
+    return [" ".join(begin + [f"{tag}{side}{i}" for i in range(shingles - common)]) for side in "xy"]
+
+
+def test_similar_texts_at_the_limit(spark):
+    """Pairs of Jaccard similarity 0.75, 0.80 and 0.85: only the first are kept whole."""
+    rows, kinds = [], [(175, 150), (180, 160), (185, 170)]
+    for i in range(40):
+        for k, (n, common) in enumerate(kinds):
+            a, b = shared_beginning(f"p{k}q{i}", n, common)
+            rows += [(1000 * k + 2 * i, a), (1000 * k + 2 * i + 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.first_copies(df).select("doc_id").collect()}
+    assert kept == {*range(80), *range(1000, 1080, 2), *range(2000, 2080, 2)}
+
+
+def test_linked_sets():
+    rng = np.random.default_rng(5)
+    base = [rng.choice(1000, 60, replace=False) for _ in range(4)]
+    sets = [np.unique(np.r_[rng.choice(base[i % 4], 55, replace=False), rng.choice(1000, i % 7)]).astype(np.uint64) for i in range(80)]
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    pairs = simhash.linked_sets(sets, 0.8)
+    assert all(alike(i, j) for i, j in pairs)
+    assert least_reached(range(80), lambda i, j: (i, j) in pairs or (j, i) in pairs) == least_reached(range(80), alike)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 16))
