@@ -15,7 +15,9 @@ of a group are emitted and no link between groups is lost.
 ``near_duplicates`` links fingerprints within a distance. ``similar_texts``
 looks for a Jaccard similarity of the shingle sets: distinct sets meet under
 bands of least hashes, those whose longer fingerprints are near enough make
-up clusters, and inside a cluster the sets themselves are compared.
+up clusters, and inside a cluster the sets themselves are compared. A shingle
+counts once in its fingerprints, so one that a text repeats does not decide
+them alone.
 
 A null text has no words like an empty one: fingerprint zero, linked like any
 other. Texts of fewer words than a shingle are one shingle. Repeated rows have
@@ -309,11 +311,10 @@ def sketches(docs: DataFrame, words: int, *, id_col: str, text_col: str) -> Data
         for batch in batches:
             nodes, sizes, prints, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text, words)
-                distinct = np.unique(hashes)
+                distinct = np.unique(shingle_hashes(text, words))
                 nodes.append(xxh64_intdigest(distinct.tobytes()))
                 sizes.append(len(distinct))
-                prints.append(bit_majorities(hashes, LONG))
+                prints.append(bit_majorities(distinct, LONG))
                 bands.append(band_values(distinct))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("copy"), pa.array(np.array(nodes, np.uint64).view(np.int64)),

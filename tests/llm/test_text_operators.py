@@ -153,6 +153,15 @@ def test_similar_texts_at_the_limit(spark):
     assert kept == {*range(80), *range(1000, 1080, 2), *range(2000, 2080, 2)}
 
 
+def test_similar_texts_count_a_shingle_once(spark):
+    """Texts that repeat one word more than all else: different ones stay, near copies with fewer repeats go."""
+    rows = [(i, "for " * 400 + " ".join(f"t{i}w{k}" for k in range(120))) for i in range(6)]
+    rows += [(10 + i, "for " * 8 + " ".join(f"t{i}w{k}" for k in range(118))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()}
+    assert found == {**{i: i for i in range(6)}, 10: 0, 11: 1, 12: 2}
+
+
 def test_linked_sets():
     rng = np.random.default_rng(5)
     base = [rng.choice(1000, 60, replace=False) for _ in range(4)]
