@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -197,39 +197,61 @@ def pooled(net: Network, texts: list[bytes], most: int = 2048) -> np.ndarray:
     return sums / np.maximum(sizes, 1)[:, None]
 
 
+def _told(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Label and score of each text; texts without letters are of unknown language."""
+    texts = [(x or "") for x in texts]
+    known = [i for i, x in enumerate(texts) if net and any(map(str.isalpha, x))]
+    labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    for a in range(0, len(known), 256):
+        own = known[a: a + 256]
+        found = pooled(net, [texts[i].encode() for i in own])
+        for i, k, s in zip(own, found.argmax(axis=1), found.max(axis=1)):
+            labels[i], scores[i] = net.labels[k], float(min(1.0, s))
+    return labels, scores
+
+
 def _predict(net: Network | None):
     def run(batches):
         for batch in batches:
-            texts = [(x or "") for x in batch.column("text").to_pylist()]
-            known = [i for i, x in enumerate(texts) if net and any(map(str.isalpha, x))]
-            labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for a in range(0, len(known), 256):
-                own = known[a: a + 256]
-                found = pooled(net, [texts[i].encode() for i in own])
-                for i, k, s in zip(own, found.argmax(axis=1), found.max(axis=1)):
-                    labels[i], scores[i] = net.labels[k], float(min(1.0, s))
+            labels, scores = _told(net, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "held_out")), pa.array(labels, pa.string()), pa.array(scores)],
                 ["doc_id", "held_out", "lang_pred", "score"])
     return run
 
 
+def _accept(net: Network | None, least: float, text_col: str):
+    def run(batches):
+        for batch in batches:
+            labels, scores = _told(net, batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(labels, scores)], pa.bool_()))
+    return run
+
+
+def _trained(docs: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[Network | None, Column]:
+    """The network (none without labels) and the column that tells which rows were held out of its training."""
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    labels, windows, y = training_windows(docs, ~held_out, id_col=id_col, text_col=text_col, label_col=label_col)
+    return (train(labels, windows, y) if labels else None), held_out
+
+
 def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Rows whose crc32 of the id as text leaves 2 by division by 4 are held out
     of the training; a null id is not held out.
     """
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    labels, windows, y = training_windows(docs, ~held_out, id_col=id_col, text_col=text_col, label_col=label_col)
-    net = train(labels, windows, y) if labels else None
+    net, held_out = _trained(docs, id_col=id_col, text_col=text_col, label_col=label_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, least: float = 0.35, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents whose language is told with a pooled probability of ``least`` or more, with all their columns."""
-    found = languages(docs, id_col=id_col, **options)
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad.distinct(), docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
+def accepted(docs: DataFrame, least: float = 0.35, *, id_col: str = "doc_id", text_col: str = "text",
+             label_col: str = "lang") -> DataFrame:
+    """The documents whose language is told with a pooled probability of ``least`` or more, with all their columns.
+
+    Each row is decided by its own text, whatever its id.
+    """
+    net, _ = _trained(docs, id_col=id_col, text_col=text_col, label_col=label_col)
+    return docs.mapInArrow(_accept(net, least, text_col), docs.schema)

@@ -409,8 +409,25 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, i
         "doc_id", "fp", *(f"fp{k}" for k in range(1, LONG)), F.col("first.doc_id").alias("component_id"))
 
 
-def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are the first of their component, with all their columns; of rows that share an id, all."""
-    found = similar_texts(docs, words, similarity, id_col=id_col, **options)
-    later = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_later_id")).distinct()
-    return docs.join(later, docs[id_col] == later["_later_id"], "left_anti")
+def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """The documents that are the first of their component, with all their columns: one row of each component.
+
+    Rows are told apart by id and text, so texts that share an id or have a
+    null one are kept or go each for itself. The first is the one of the least
+    id, then of the least hash of its text, a null id being the last.
+    """
+    own, named = _similar(docs, words, similarity, id_col, text_col)
+    rows = own.join(named, own["node"] == named["named"]).select(
+        "doc_id", "copy", F.col("first.doc_id").alias("first_id"), F.col("first.copy").alias("first_copy"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == F.col("first_copy"))
+    rows = settle(rows.select(F.col("doc_id").alias("_row_id"), F.col("copy").alias("_row_copy"), is_first.alias("_first")), "copies")
+    keyed = docs.withColumn("_text_copy", F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("_row_id")) & (F.col("_text_copy") == F.col("_row_copy"))
+    later = rows.filter(~F.col("_first")).select("_row_id", "_row_copy").distinct()
+    kept = keyed.join(later, same, "left_anti")
+    again = settle(rows.filter("_first").groupBy("_row_id", "_row_copy").count().filter("count > 1"), "again")
+    if not again.isEmpty():  # rows equal in id and text, of which one stays
+        whole = settle(kept.join(again, same, "left_semi"), "repeated")
+        kept = kept.join(again, same, "left_anti").unionByName(whole.dropDuplicates([id_col, "_text_copy"]))
+    return kept.select(*docs.columns)

@@ -120,3 +120,21 @@ def test_pipeline_decisions(spark, tmp_path):
     assert passage in left[102].text and passage not in left[103].text and left[103].n_chars == len(left[103].text)
     pieces = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in pieces} == clean
+
+
+def test_stages_decide_by_row(spark):
+    """A null id and a repeated id, each with a good and a bad text: only the bad one goes."""
+    good = [" ".join(f"{w}{w} the word and of" for w in words) for words in ("abcdefgh", "ijklmnop", "qrstuvwx")]
+    rows = [(None, good[0]), (None, "12 34"), (None, None), (5, good[1]), (5, "56 !!"), (6, good[2])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = language.accepted(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("5", good[1]), ("6", good[2]), ("None", good[0])]
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (3, text(5)), (3, text(5)),
+            (4, text(4)), (None, text(1)), (None, text(6))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = simhash.first_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted(
+        [("1", text(1)), ("2", text(2)), ("None", text(3)), ("3", text(5)), ("4", text(4)), ("None", text(6))])
