@@ -32,8 +32,6 @@ from seepage.session import settle
 WINDOW = 1024
 #: Tokens of a shard, which one task holds with its index.
 SHARD_TOKENS = 4_000_000
-#: Terms of a seed that the index is asked for: those of the highest inverse document frequency.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 DTYPE = "<u2"
 
@@ -92,18 +90,16 @@ class Index:
         own = telling[term]
         doc, term, weight = doc[own], term[own], weight[own]
         self.starts = np.searchsorted(doc, np.arange(n + 1))  # by document, for queries
-        self.terms, self.idf = term, idf
+        self.terms = term
         order = np.argsort(term, kind="stable")
-        self.posting_docs, self.posting_weights = doc[order], weight[order].astype(np.float32)
+        self.posting_docs, self.posting_weights = doc[order].astype(np.intp), weight[order]  # as bincount takes them
         self.term_starts = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
         self.used = np.zeros(n, bool)
         self.next = 0
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents for the seed's rarest terms."""
+        """BM25 scores of all documents for all terms of the seed."""
         terms = self.terms[self.starts[seed]: self.starts[seed + 1]]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
         if not len(terms):
             return np.zeros(self.n)
         spans = [slice(a, b) for a, b in zip(self.term_starts[terms].tolist(), self.term_starts[terms + 1].tolist())]

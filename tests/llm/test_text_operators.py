@@ -98,6 +98,15 @@ def test_neighbours_follow_their_seed():
     assert sum((a - b) % 2 for a, b in zip(order, order[1:])) < 8
 
 
+def test_packing_asks_for_all_terms():
+    """A seed of many rare terms also reaches the document that shares its most frequent ones alone."""
+    seed = np.arange(200)
+    docs = [seed, *[np.r_[np.arange(8 * k, 8 * k + 8), 1000 + k] for k in range(20)], np.r_[180:200, 2000:2010]]
+    docs += [np.r_[180:200, 3000 + 10 * k: 3010 + 10 * k] for k in range(8)] + [np.arange(5000 + 20 * k, 5020 + 20 * k) for k in range(60)]
+    scores = packing.Index([d.astype("<u2") for d in docs]).scores(0)
+    assert (scores[:30] > 0).all() and (scores[30:] == 0).all()
+
+
 def test_simhash(docs, rows):
     fps = [fingerprint(t) for _, t in rows]
     want = least_reached([i for i, _ in rows], lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3)
