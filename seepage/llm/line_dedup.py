@@ -13,7 +13,7 @@ group where a position is not the first, the group's length is that of the
 longest run here that also occurs earlier.
 
 A line is deleted if such a run of ``least_words`` words or more covers it, a
-word being what blanks separate. The first copy of every run stays. Earlier
+word being what ASCII white space separates. The first copy of every run stays. Earlier
 means a lower id; a null id comes first; texts of one id come in the order of
 their hashes, and rows equal in id and text are one document, each with the
 same result. A null text has no lines and stays null; an empty one has one
@@ -36,7 +36,7 @@ def line_table(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
                        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "t"))
     rows = rows.select(
         "doc_id", "copy", "line", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"),
-        F.size(F.array_remove(F.split("t", " ", -1), "")).alias("words"))
+        F.size(F.array_remove(F.split("t", r"[\x09-\x0D\x20]+", -1), "")).alias("words"))
     rows = settle(rows, "lines")
     # In range partitions sorted alike, the running id of Spark's rows is in the order of the documents.
     ordered = rows.repartitionByRange("doc_id", "copy").dropDuplicates(["doc_id", "copy", "line"]).sortWithinPartitions(

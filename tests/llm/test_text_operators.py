@@ -284,6 +284,15 @@ def test_line_runs(spark, seed):
         assert found == {k: v for k, v in gone_lines(rows, least).items() if v}
 
 
+def test_words_of_lines_between_any_white_space(spark):
+    """A repeated line of 60 words goes whichever ASCII white space is between them; one of 40 stays."""
+    marks = ["\t", "\v", "\f", "\r", " ", " \t "]
+    rows = [(10 * k + i, mark.join(f"m{k}w{j}" for j in range(60 if i < 2 else 40))) for k, mark in enumerate(marks) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in line_dedup.deleted_lines(df).collect()}
+    assert found == {10 * k + 1 for k in range(len(marks))}
+
+
 def test_line_dedup_runs_no_python(docs):
     plan = line_dedup.without_repeats(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
