@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepage.llm import (
-    decontaminate, embeddings, language, line_dedup, packing, sharding, simhash, token_counts, token_files, toxicity,
+    decontaminate, embeddings, language, line_dedup, packing, prefix_trie, sharding, simhash, token_counts, token_files,
+    toxicity, warc, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,62 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"), 16)
+
+
+@_query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 32)
+
+
+@_query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha1(html), {1 + 10 * g}, 10) AS BIGINT)"
+    f" >> {35 - 5 * i}) & 31), 1)" for g in range(4) for i in range(8))
+
+ORACLES["op12_warc"] = f"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS kept FROM page)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM last"""
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations")).drop("ref_conv", "ref_pos")
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''),
+        lambda x: CAST(ascii(x) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+        lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+        dense_rank() OVER (ORDER BY role, text) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+size AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+conv AS (SELECT size.c, size.c - size.c % 20 AS b, h, least(h, coalesce(s.n, 0)) AS own
+    FROM (SELECT c, {_CRC32} % 4 AS h FROM size) x JOIN size USING (c) LEFT JOIN size s ON s.c = size.c - size.c % 20),
+turn AS (SELECT conv.c, p AS d, k, w FROM conv JOIN t ON t.c = b AND p <= h
+    UNION ALL SELECT conv.c, p - h + own, k, w FROM conv JOIN t ON t.c = conv.c AND p > h),
+seq AS (SELECT conv.c, list(k ORDER BY d) FILTER (k IS NOT NULL) AS s, list(w ORDER BY d) FILTER (k IS NOT NULL) AS w
+    FROM conv LEFT JOIN turn ON turn.c = conv.c GROUP BY conv.c),
+prefix AS (SELECT c, d, coalesce(s[1:d], []) AS s, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS w, d = coalesce(len(s), 0) AS ends
+    FROM (SELECT *, unnest(range(0, coalesce(len(s), 0) + 1)) AS d FROM seq)),
+node AS (SELECT s, d, min(c) AS owner, count(*) AS n_convs, any_value(w) AS w,
+    string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM prefix GROUP BY s, d),
+path AS (SELECT c, d, owner FROM prefix JOIN node USING (s, d)),
+placed AS (SELECT node.owner, node.d, path.owner AS parent, n_convs, w, ends
+    FROM node LEFT JOIN path ON path.c = node.owner AND path.d = node.d - 1),
+child AS (SELECT parent AS owner, d - 1 AS d, count(*) AS n FROM placed WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT placed.*, coalesce(n, 0) AS n_children FROM placed LEFT JOIN child USING (owner, d)),
+below AS (SELECT path.owner, path.d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved
+    FROM counted JOIN path ON path.c = counted.owner AND path.d <= counted.d GROUP BY ALL)
+SELECT owner AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM counted JOIN below USING (owner, d)"""
