@@ -56,8 +56,8 @@ def limit_entries(entries: DataFrame, n: int, order) -> DataFrame:
 
 
 def dedupe_certificates(certs: DataFrame) -> DataFrame:
-    """First certificate per serial number by id, all of those without one; newest log time first."""
-    kept = keep_first_or_empty(certs, "serial_number", ["id"])
+    """First certificate per serial number by id, which tells certificates apart, all of those without one; newest log time first."""
+    kept = keep_first_or_empty(certs, "serial_number", ["id"], unique=True)
     return kept.orderBy(F.desc_nulls_last("logged_at"), "id")
 
 
@@ -69,7 +69,7 @@ def certificates(entries: DataFrame, target: str, as_of: str, include_expired: b
     """
     entries = entries if max_certificates is None else limit_entries(entries, max_certificates, order)
     entries = entries if include_expired else entries.where(~is_expired("not_after", as_of))
-    kept = parse_certificates(keep_first_or_empty(entries, "serial_number", ["id"]), target, as_of)
+    kept = parse_certificates(keep_first_or_empty(entries, "serial_number", ["id"], unique=True), target, as_of)
     return kept.orderBy(F.desc_nulls_last("logged_at"), "id")
 
 
@@ -90,19 +90,25 @@ def issuers(certs: DataFrame) -> DataFrame:
 
 
 def stats(certs: DataFrame) -> DataFrame:
-    """One row: certificates, issuers, expired ones, distinct hosts of the target."""
-    per_issuer = certs.groupBy("issuer").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("expired").alias("expired")
-    )
-    totals = per_issuer.agg(
-        F.sum("n").alias("total_certificates"),
-        F.count(F.lit(1)).alias("unique_issuers"),
-        F.sum("expired").alias("expired_certificates"),
+    """One row: certificates, issuers, expired ones, distinct hosts of the target.
+
+    Issuers and hosts are counted in one pass over the certificates: each
+    certificate gives its issuer and its hosts, and equal ones meet once.
+    """
+    hosts = F.filter(F.transform("target_domains", H.strip_wildcard), X.valid_domain)
+    fact = lambda kind, name, n, expired: F.struct(
+        F.lit(kind).alias("kind"), name.alias("name"), n.cast("long").alias("n"), expired.cast("long").alias("expired"))
+    facts = F.concat(
+        F.array(fact("issuer", F.col("issuer"), F.lit(1), F.col("expired").cast("int"))),
+        F.transform(hosts, lambda h: fact("host", h, F.lit(0), F.lit(0))))
+    met = certs.select(F.explode(facts).alias("f")).select("f.*").groupBy("kind", "name").agg(
+        F.sum("n").alias("n"), F.sum("expired").alias("expired"))
+    return met.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_certificates"),
+        F.count_if(F.col("kind") == "issuer").alias("unique_issuers"),
+        F.coalesce(F.sum("expired"), F.lit(0)).alias("expired_certificates"),
+        F.count_if(F.col("kind") == "host").alias("total_domains"),
     )
-    hosts = subdomains(certs).agg(F.count(F.lit(1)).alias("total_domains"))
-    names = ("total_certificates", "unique_issuers", "expired_certificates", "total_domains")
-    both = totals.unionByName(hosts, allowMissingColumns=True)
-    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
 
 
 def flat(certs: DataFrame) -> DataFrame:

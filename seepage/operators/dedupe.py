@@ -1,30 +1,78 @@
-"""Keep-first rules. All are aggregates with a map-side part, so a key that holds most rows is merged before the shuffle."""
+"""Keep-first rules. All are aggregates with a map-side part, so a key that holds most rows is merged before the shuffle.
+
+Where the order is of fixed width, only keys and ranks are aggregated and the rows themselves stay where they are.
+"""
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seepage.session import fits, settle
+
+
+#: Bits of the types that a packed rank may hold.
+_BITS = {"boolean": 1, "tinyint": 8, "smallint": 16, "int": 32, "bigint": 64, "date": 32, "timestamp": 64}
+
 
-def keep_first(df: DataFrame, keys, order) -> DataFrame:
+def packed_rank(df: DataFrame, order) -> Column | None:
+    """The order as one number of a fixed width, null first, which a hash aggregate can keep the least of; None if it is too wide."""
+    kinds = [df.select(c).schema[0].dataType.simpleString() for c in order]
+    if any(k not in _BITS for k in kinds) or sum(_BITS[k] + 1 for k in kinds) > 126:
+        return None
+    rank, wide = None, lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
+    for c, kind in zip(order, kinds):
+        if kind == "date":
+            c = F.unix_date(c)
+        elif kind == "timestamp":
+            c = F.unix_micros(c)
+        elif kind == "boolean":
+            c = c.cast("int")
+        half = 0 if kind == "boolean" else 2 ** (_BITS[kind] - 1)
+        # 0 is null; what follows is shifted to 1 and above.
+        place = F.coalesce(c.cast("decimal(38,0)") + wide(half + 1), wide(0))
+        rank = place if rank is None else (rank * wide(2 ** (_BITS[kind] + 1))).cast("decimal(38,0)") + place
+        rank = rank.cast("decimal(38,0)")
+    return rank
+
+
+def keep_first(df: DataFrame, keys, order, unique: bool = False, where: Column | None = None) -> DataFrame:
     """One row per key: the one that comes first in ``order`` (columns or expressions, ascending).
 
-    ``order`` should tell any two rows of a key apart; the remaining columns
-    do not break ties.
+    ``unique`` says that the order tells any two rows of a key apart. If its
+    columns are also of fixed width, nothing is sorted and no row moves: a hash
+    aggregate of keys and ranks finds the keys that repeat and their least
+    rank, with a map-side part, and the rows are filtered by that table, which
+    is broadcast if it is small (measured) and joined by key otherwise.
+    Otherwise the rows go through a sorted aggregate; the remaining columns
+    do not break ties. Rows for which ``where`` does not hold are all kept.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    best = F.min_by(F.struct(*df.columns), rank).alias("_first")
-    grouped = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best)
-    return grouped.select("_first.*")
-
-
-def keep_first_or_empty(df: DataFrame, key: str, order) -> DataFrame:
+    rank = packed_rank(df, order) if unique else None
+    if rank is None:
+        chosen = df if where is None else df.where(where)
+        place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+        best = F.min_by(F.struct(*df.columns), place).alias("_first")
+        first = chosen.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best).select("_first.*")
+        return first if where is None else first.unionByName(df.where(~F.coalesce(where, F.lit(False))))
+    names = [f"_key{i}" for i in range(len(keys))]
+    narrow = (df if where is None else df.where(where)).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], rank.alias("_rank"))
+    repeated = narrow.groupBy(*names).agg(F.min("_rank").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    repeated = settle(repeated, "repeated")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    joined = df.withColumn("_rank", rank).join(F.broadcast(repeated) if fits(repeated) else repeated, same, "left")
+    kept = F.col("_least").isNull() | (F.col("_rank") == F.col("_least"))
+    if where is not None:
+        kept = kept | ~F.coalesce(where, F.lit(False))
+    return joined.where(kept).select(*df.columns)
+
+
+def keep_first_or_empty(df: DataFrame, key: str, order, unique: bool = False) -> DataFrame:
     """One row per non-empty key; rows without a key are all kept."""
-    has_key = F.coalesce(F.col(key), F.lit("")) != ""
-    return keep_first(df.where(has_key), [key], order).unionByName(df.where(~has_key))
+    return keep_first(df, [key], order, unique, F.coalesce(F.col(key), F.lit("")) != "")
 
 
 def dedupe_ordered(df: DataFrame, value: str, position: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seepage import rules as R
@@ -18,6 +18,15 @@ from seepage.operators.matching import lookup_join
 _ADDRESS = r"\b(?=([A-Za-z0-9._%+-]+@[A-Za-z0-9._-]+))[A-Za-z0-9._%+-]+@"
 
 
+def _candidates() -> Column:
+    """Every address of the line with every end its domain may have: name, email, watched_domain."""
+    found = F.transform(X.matches("line", _ADDRESS, 1), F.lower)
+    def cuts(address):
+        name, rest = F.substring_index(address, "@", 1), F.substring_index(address, "@", -1)
+        return F.transform(H.cut_prefixes(rest), lambda d: F.struct(F.concat(name, F.lit("@"), d).alias("email"), d.alias("watched_domain")))
+    return F.flatten(F.transform(found, cuts))
+
+
 def dump_emails(lines: DataFrame, watchlist: DataFrame, domain: str = "domain") -> DataFrame:
     """First line per watched address: email, source file, masked line of 200 characters.
 
@@ -27,22 +36,17 @@ def dump_emails(lines: DataFrame, watchlist: DataFrame, domain: str = "domain")
     watched = watchlist.select(F.lower(F.col(domain)).alias("watched_domain")).distinct()
     keyed = (
         lines.where(F.contains("line", F.lit("@")))
-        .select("source_file", "line", F.explode(X.matches("line", _ADDRESS, 1)).alias("found"))
-        .withColumn("name", F.lower(F.substring_index("found", "@", 1)))
-        .withColumn("rest", F.lower(F.substring_index("found", "@", -1)))
-        .select("source_file", "line", "name", F.explode(H.cut_prefixes("rest")).alias("watched_domain"))
-    )
-    hits = lookup_join(keyed, watched, "watched_domain").withColumn(
-        "email", F.concat("name", F.lit("@"), "watched_domain")
+        .select("source_file", "line", F.explode(_candidates()).alias("found")).select("source_file", "line", "found.*")
     )
+    hits = lookup_join(keyed, watched, "watched_domain")
     firsts = keep_first(hits.where(X.valid_email("email")), ["email"], ["source_file", "line"])
     return firsts.select(
         "email", "watched_domain", "source_file", X.masked(X.truncate("line", 200)).alias("line_content")
     )
 
 
-def credential_pairs(lines: DataFrame, salt: str) -> DataFrame:
-    """Every (address, secret) pair of every line, the secret as kind, length and keyed fingerprint only."""
+def _pairs() -> Column:
+    """(email, secret) pairs of the line that the five patterns find."""
     def found(mark, pattern):
         part = lambda m, i: F.split_part(m, F.lit(mark), F.lit(i))
         pair = lambda m: F.struct(part(m, 1).alias("email"), part(m, 2).alias("secret"))
@@ -53,11 +57,14 @@ def credential_pairs(lines: DataFrame, salt: str) -> DataFrame:
         )
 
     # Neither part of a pair holds its mark, so a match splits at it.
-    by_mark = [found(mark, pattern) for mark, pattern in R.CREDENTIAL_PAIRS]
-    pairs = reduce(F.concat, by_mark)
+    return reduce(F.concat, [found(mark, pattern) for mark, pattern in R.CREDENTIAL_PAIRS])
+
+
+def credential_pairs(lines: DataFrame, salt: str) -> DataFrame:
+    """Every (address, secret) pair of every line, the secret as kind, length and keyed fingerprint only."""
     return (
         lines.where(F.contains("line", F.lit("@")))
-        .select("source_file", "line", F.explode(pairs).alias("p"))
+        .select("source_file", "line", F.explode(_pairs()).alias("p"))
         .where(X.valid_email("p.email"))
         .select(
             F.lower("p.email").alias("email"),
@@ -77,15 +84,31 @@ def credential_exposure(lines: DataFrame, target: str, salt: str) -> DataFrame:
     return kept.drop("line_order")
 
 
-def dump_stats(lines: DataFrame, emails: DataFrame, credentials: DataFrame) -> DataFrame:
-    """One long table: files processed, addresses and credentials found."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("statistic"), "n")
-    files = lines.select("source_file").distinct()
-    return (
-        count(files, "files_processed")
-        .unionByName(count(emails, "emails_found"))
-        .unionByName(count(credentials, "credentials_found"))
-    )
+def dump_stats(lines: DataFrame, watchlist: DataFrame, target: str, salt: str, domain: str = "domain") -> DataFrame:
+    """One long table, from one pass over the lines: files processed, watched addresses and credentials found.
+
+    Counts what ``dump_emails`` and ``credential_exposure`` keep. Every line
+    gives its file, its candidate addresses and its pairs; candidates meet the
+    watched domains, and equal facts meet once.
+    """
+    has_mail = F.contains("line", F.lit("@"))
+    fact = lambda kind, name, watched: F.struct(
+        F.lit(kind).alias("statistic"), name.alias("name"), watched.cast("string").alias("watched_domain"))
+    none = F.array().cast("array<struct<statistic:string,name:string,watched_domain:string>>")
+    addresses = F.transform(_candidates(), lambda c: fact("emails_found", c["email"], c["watched_domain"]))
+    exposed = F.filter(_pairs(), lambda p: X.valid_email(p["email"]) & F.contains(F.lower(p["email"]), F.lit(target.lower())))
+    pairs = F.transform(exposed, lambda p: fact(
+        "credentials_found", F.concat_ws(" ", F.lower(p["email"]), X.fingerprint(p["secret"], salt)), F.lit(None)))
+    facts = lines.select(F.explode(F.concat(
+        F.array(fact("files_processed", F.col("source_file"), F.lit(None))),
+        F.when(has_mail, addresses).otherwise(none), F.when(has_mail, pairs).otherwise(none))).alias("f")).select("f.*").distinct()
+    watched = watchlist.select(F.lower(F.col(domain)).alias("watched_domain"), F.lit(True).alias("listed")).distinct()
+    met = lookup_join(facts, watched, "watched_domain", "left")
+    address = F.col("statistic") == "emails_found"
+    met = met.where(~address | (F.col("listed") & X.valid_email("name"))).select("statistic", "name").distinct()
+    found = met.groupBy("statistic").agg(F.count(F.lit(1)).alias("n"))
+    names = lines.sparkSession.createDataFrame([(s,) for s in ("files_processed", "emails_found", "credentials_found")], "statistic string")
+    return names.join(F.broadcast(found), "statistic", "left").select("statistic", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def digest_histogram(credentials: DataFrame) -> DataFrame:

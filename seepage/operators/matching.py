@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import sys
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -15,21 +15,17 @@ from seepage import rules as R
 from seepage.functions import hosts as H
 from seepage.functions import text as X
 from seepage.operators.dedupe import keep_first
-from seepage.session import settle
+from seepage.session import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, fits, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Rows of a template table that may be folded into one projection.
 MAX_INLINE_PATTERNS = 64
-MAX_AUTOMATON_PATTERNS = 200_000
-
-
-def fits(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> bool:
-    """Has the table at most this many rows and bytes? Counts no more rows than it has to."""
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(rows + 1).select(width.alias("w")).agg(F.count("w").alias("n"), F.sum("w").alias("size")).first()
-    return seen.n <= rows and (seen.size or 0) <= size
+#: Bytes of a gram of the phrase index, and how many grams may be broadcast (they are numbers; the bytes are bounded as well).
+GRAM = 6
+MAX_GRAMS = 2_000_000
+#: Bits of the table that sorts out other grams: a prime.
+MARKS = 16_777_213
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys, how: str = "inner",
@@ -84,9 +80,10 @@ def known_hosts(words: DataFrame, domains: DataFrame, passive_dns: DataFrame) ->
     return hits.groupBy("host").agg(F.min("record_type").alias("record_type"))
 
 
-def new_only(df: DataFrame, seen: DataFrame, key: str, order) -> DataFrame:
-    """First row per key whose key is not in the history table."""
-    return keep_first(df, [key], order).join(seen.select(key).distinct(), key, "left_anti")
+def new_only(df: DataFrame, seen: DataFrame, key: str, order, unique: bool = False) -> DataFrame:
+    """First row per key whose key is not in the history table; what the history knows goes before the rows are compared."""
+    fresh = lookup_join(df, seen.select(key).distinct(), key, "left_anti")
+    return keep_first(fresh, [key], order, unique)
 
 
 def small_rows(rows, columns, limit: int = MAX_INLINE_PATTERNS) -> list:
@@ -128,61 +125,102 @@ def expand_templates(df: DataFrame, templates, name: str, **values) -> DataFrame
     return df.withColumn("_t", F.explode(F.array(*filled))).select("*", "_t.*").drop("_t")
 
 
-def _automaton_hits(patterns):
-    """Arrow function that lists the phrases found in each text. The automaton is built once per task."""
-    built = {}
-
-    def hits(texts: pa.Array) -> pa.Array:
-        if "machine" not in built:
-            import ahocorasick
+def _marks(grams: DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:
+    """A bit for the remainder of every gram by a fixed prime, and the grams' sizes; what has no bit is no gram.
 
-            machine = ahocorasick.Automaton()
-            for p in patterns.value:
-                machine.add_word(p, p)
-            machine.make_automaton()
-            built["machine"] = machine
-        found = built["machine"].iter
-        return pa.array(
-            [None if t is None else sorted({p for _, p in found(t)}) for t in texts.to_pylist()],
-            pa.list_(pa.string()),
-        )
+    The table's size does not follow the number of grams.
+    """
+    place = f"pmod(g, {MARKS}L)"
+    words = grams.select(
+        F.expr(f"div({place}, 64)").alias("word"), F.expr(f"shiftleft(1L, CAST({place} % 64 AS INT))").alias("bit"),
+        F.expr("shiftleft(1, CAST(shiftright(g, 56) AS INT))").alias("size"))
+    marks, sizes = np.zeros(MARKS // 64 + 1, np.int64), 0
+    for word, bits, size in words.groupBy("word").agg(F.bit_or("bit"), F.bit_or("size")).collect():
+        marks[word], sizes = bits, sizes | size
+    return marks.view(np.uint64), tuple(n for n in range(1, 8) if sizes >> n & 1)
 
-    return F.arrow_udf(hits, T.ArrayType(T.StringType()))
 
+def _byte_grams(gram: int, sizes: tuple[int, ...] | None, marks=None):
+    """Arrow function: runs of bytes in each text, each once, as numbers that hold the bytes and their count.
 
-def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, pattern: str = "pattern",
-                 max_inline: int = MAX_INLINE_PATTERNS, max_automaton: int = MAX_AUTOMATON_PATTERNS) -> DataFrame:
+    With ``sizes`` runs of these sizes that ``marks`` (a broadcast) lets
+    through; without, of ``gram`` bytes or of the whole of a shorter text.
+    """
+    def found(texts: pa.Array) -> pa.Array:
+        held = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset: held.offset + len(held) + 1]
+        data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[ends[0]: ends[-1]].astype(np.uint64)
+        starts, room = ends[:-1] - ends[0], np.diff(ends)
+        owner = np.repeat(np.arange(len(room)), room)
+        left = np.repeat(starts + room, room) - np.arange(len(data))  # bytes from here to the text's end
+        rows, values = [], []
+        for n in range(1, gram + 1) if sizes is None else sizes:
+            if n > len(data):
+                break
+            value = np.full(len(data) - n + 1, n << 56, np.uint64)
+            for j in range(n):
+                value |= data[j: len(data) - n + 1 + j] << np.uint64(8 * j)
+            # Those that end within their text, and without sizes those of the text's own size.
+            fine = left[: len(value)] >= n
+            if sizes is None:
+                fine &= np.minimum(np.repeat(room, room)[: len(value)], gram) == n
+            if marks is not None:
+                place = value % np.uint64(MARKS)
+                fine &= (marks.value[(place >> np.uint64(6)).astype(np.intp)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+            at = np.flatnonzero(fine)
+            rows.append(owner[at])
+            values.append(value[at])
+        rows, values = (np.concatenate(x) if x else np.array([], np.int64) for x in (rows, values))
+        order = np.lexsort((values, rows))
+        rows, values = rows[order], values[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+        counts = np.bincount(rows[new], minlength=len(room))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values[new].astype(np.int64)))
+
+    return F.arrow_udf(found, T.ArrayType(T.LongType()))
+
+
+def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, pattern: str = "pattern", gram: int = GRAM) -> DataFrame:
     """Rows (keys, pattern) for every phrase that occurs in the text, whatever the case.
 
-    A few phrases are tested inside one projection. More are searched in one
-    pass per text with an automaton that each task builds from a broadcast of
-    at most ``max_automaton`` phrases; a longer table is worked off in hash
-    buckets of that size, whose hits are written to the shared folder so that
-    the driver holds one bucket at a time. The corpus is never joined with the
-    phrases.
+    An n-gram index: each phrase is keyed by the one of its grams that the
+    fewest texts hold, texts are exploded into their distinct grams, both
+    meet by equality, and ``contains`` verifies. A gram is a run of ``gram``
+    bytes (7 at most), or the whole phrase if that is shorter. Phrases of which some
+    gram is in no text leave before the join. A bit table of a fixed size keeps
+    most grams of texts that no phrase has from being exploded at all. The grams
+    of phrases are broadcast within the measured bounds of ``lookup_join``, so
+    that those of texts need no shuffle; beyond them grams and then the texts they point
+    to are joined by key, where Spark splits hot ones. Phrases are never
+    collected. A text's grams are held at once, as the text is. A null text
+    holds nothing; the empty phrase is none. A row of keys that occurs twice
+    has its hits twice.
     """
-    phrases = patterns.select(F.lower(F.col(pattern)).alias("p")).where("p != ''").distinct()
-    total = phrases.count()
-    base = corpus.select(*keys, F.lower(F.col(text)).alias("_low"))
-    if total <= max_inline:
-        words = sorted(r.p for r in phrases.collect())
-        if not words:
-            return base.select(*keys, F.lit("").alias(pattern)).limit(0)
-        hit = F.array(*[F.when(F.contains("_low", F.lit(w)), F.lit(w)) for w in words])
-        return base.select(*keys, F.explode(F.filter(hit, lambda w: w.isNotNull())).alias(pattern))
-
-    def search(part):
-        shared = corpus.sparkSession.sparkContext.broadcast(sorted(r.p for r in part.collect()))
-        return shared, base.select(*keys, F.explode(_automaton_hits(shared)("_low")).alias(pattern))
-
-    if total <= max_automaton:
-        return search(phrases)[1]
-    phrases, buckets, parts = settle(phrases, "phrases"), -(-2 * total // max_automaton), []
-    for b in range(buckets):
-        shared, hits = search(phrases.where(F.pmod(F.xxhash64("p"), F.lit(buckets)) == b))
-        parts.append(settle(hits, "hits"))
-        shared.destroy()
-    return reduce(DataFrame.unionByName, parts)
+    names = [f"_key{i}" for i in range(len(keys))]
+    back = [F.col(n).alias(k) for k, n in zip(keys, names)]
+    base = corpus.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.lower(F.col(text)).alias("_low"))
+    phrases = patterns.select(F.lower(F.col(pattern)).alias("p")).where("p <> ''").distinct()
+    own = settle(phrases.select("p", F.explode(_byte_grams(gram, None)("p")).alias("g")), "phrases")
+    small = fits(own, MAX_GRAMS)  # and so are tables of fewer grams
+
+    def of_texts(grams):
+        marks, sizes = _marks(grams)
+        return F.explode(_byte_grams(gram, sizes, corpus.sparkSession.sparkContext.broadcast(marks))("_low")).alias("g")
+
+    held = base.select(of_texts(own))
+    counts = settle(lookup_join(held, own.select("g").distinct(), "g", "left_semi", small=small).groupBy("g").agg(
+        F.count(F.lit(1)).alias("n")), "grams")
+    rated = lookup_join(own, counts, "g", "left", small=small).groupBy("p").agg(
+        F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"))
+    index = settle(rated.where("least > 0").select("g", "p"), "index")
+    if small:
+        met = base.select("*", of_texts(index)).join(F.broadcast(index), "g")
+    else:  # texts travel by number, and only to phrases whose gram they hold
+        base = settle(base.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        pairs = base.select("_row", of_texts(index)).join(index, "g").select("_row", "p")
+        met = base.join(pairs, "_row")
+    return met.where(F.contains("_low", F.col("p"))).select(*back, F.col("p").alias(pattern))
 
 
 def reachable(links: DataFrame, starts: DataFrame, stored: DataFrame | None = None,

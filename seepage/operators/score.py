@@ -57,18 +57,38 @@ def category() -> Column:
     return F.when(F.col("has_credentials"), "credential_leak").when(F.col("has_code"), "code_exposure").otherwise("paste")
 
 
-def exposure_summary(scored: DataFrame, sites_checked: int, site: str = "site") -> DataFrame:
-    """Totals over scored pastes, one row."""
+def tallies() -> dict[str, Column]:
+    """Counts over scored pastes, for batch and streaming frames alike."""
     count_of = lambda c: F.count_if(c)
-    return scored.agg(
+    return {
+        "total_pastes_found": F.count(F.lit(1)),
+        "credential_leaks": count_of(category() == "credential_leak"),
+        "code_exposures": count_of(category() == "code_exposure"),
+        "high_risk_pastes": count_of(tier() == "high"),
+        "medium_risk_pastes": count_of(tier() == "medium"),
+        "low_risk_pastes": count_of(tier() == "low"),
+    }
+
+
+def site_counts(at: str) -> list[Column]:
+    """The tallies of a site, and when it was last seen with a detection."""
+    return [*[c.alias(n) for n, c in tallies().items()], F.max(at).alias("last_checked")]
+
+
+def exposure_summary(scored: DataFrame, sites_checked: int, site: str = "site") -> DataFrame:
+    """Totals over scored pastes, one row; sites are counted by hash aggregates, tallied first and then added up."""
+    names = list(tallies())
+    per_site = scored.groupBy(F.col(site).alias("site")).agg(*[c.alias(n) for n, c in tallies().items()])
+    return totals_of_sites(per_site, names, sites_checked)
+
+
+def totals_of_sites(per_site: DataFrame, names=None, sites_checked: int = 0) -> DataFrame:
+    """One row from the tallies of each site, such as a stream keeps."""
+    names = names or list(tallies())
+    return per_site.agg(
         F.lit(sites_checked).cast("bigint").alias("total_sites_checked"),
-        F.count_distinct(site).alias("sites_with_detections"),
-        F.count(F.lit(1)).alias("total_pastes_found"),
-        count_of(category() == "credential_leak").alias("credential_leaks"),
-        count_of(category() == "code_exposure").alias("code_exposures"),
-        count_of(tier() == "high").alias("high_risk_pastes"),
-        count_of(tier() == "medium").alias("medium_risk_pastes"),
-        count_of(tier() == "low").alias("low_risk_pastes"),
+        F.count("site").alias("sites_with_detections"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
     )
 
 

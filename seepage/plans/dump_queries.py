@@ -72,7 +72,7 @@ def credential_exposure(t):
     ("dump_lines", "corp_domains"),
 )
 def dump_stats(t):
-    return L.dump_stats(t.dump_lines, dump_emails(t), credentials(t))
+    return L.dump_stats(t.dump_lines, t.corp_domains, CORP, SALT)
 
 
 @query(

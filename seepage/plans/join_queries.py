@@ -94,7 +94,7 @@ def known_hosts(t):
 )
 def new_only(t):
     pastes = t.pastes.select(X.content_id("url", "title", "date").alias("content_id"), "doc_id", "site")
-    return J.new_only(pastes, t.paste_history, "content_id", ["doc_id"])
+    return J.new_only(pastes, t.paste_history, "content_id", ["doc_id"], unique=True)
 
 
 @query(
@@ -158,12 +158,12 @@ def dedupe_ordered(t):
 )
 def first_per_email(t):
     rows = t.observed.select(F.lower("address").alias("email"), "l_orderkey", "l_linenumber")
-    return U.keep_first(rows, ["email"], ["l_orderkey", "l_linenumber"])
+    return U.keep_first(rows, ["email"], ["l_orderkey", "l_linenumber"], unique=True)
 
 
 @query("first_per_host", D.first_per("page_hosts", "host", "page_id", "host, page_id, url"), ("page_hosts",))
 def first_per_host(t):
-    return U.keep_first(t.page_hosts, ["host"], ["page_id"]).select("host", "page_id", "url")
+    return U.keep_first(t.page_hosts, ["host"], ["page_id"], unique=True).select("host", "page_id", "url")
 
 
 @query(
@@ -173,7 +173,7 @@ def first_per_host(t):
 )
 def dedupe_key(t):
     keyed = t.repositories.withColumn("k", X.or_empty("full_name"))
-    return U.keep_first(keyed, ["k"], ["o_orderkey"]).drop("k")
+    return U.keep_first(keyed, ["k"], ["o_orderkey"], unique=True).drop("k")
 
 
 @query(
@@ -196,7 +196,7 @@ def dedupe_url(t):
 )
 def dedupe_content_id(t):
     pastes = t.pastes.select(X.content_id("url", "title", "date").alias("content_id"), "doc_id", "site")
-    return U.keep_first(pastes, ["content_id"], ["doc_id"])
+    return U.keep_first(pastes, ["content_id"], ["doc_id"], unique=True)
 
 
 @query(

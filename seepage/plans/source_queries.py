@@ -432,6 +432,47 @@ def stream_late_paste(t):
     return t.spark.read.parquet(sink).select("content_id", "doc_id", "seen_at")
 
 
+@query(
+    "stream_seen_history",
+    f"SELECT content_id, doc_id, CASE doc_id % 3 WHEN 0 THEN 'batch' ELSE 'real_time' END AS detection_type FROM {DETECTED}",
+    ("pastes",),
+)
+def stream_seen_history(t):
+    """Batch run, stream over all pastes with that history, restart, all pastes again beyond the delay: each is reported once."""
+    folder, offsets, sink, history = (scratch(t.spark, name) for name in ("arriving", "offsets", "detections", "history"))
+    pastes = own_url(t.pastes)
+    W.detect(pastes.where("doc_id % 3 = 0"), TARGET).select("content_id", "doc_id").write.parquet(history)
+    seen = t.spark.read.parquet(history)
+    for part in (pastes.where("doc_id % 3 <> 2"), pastes, pastes.where("doc_id % 3 <> 1")):
+        part.write.mode("append").parquet(folder)
+        arriving = t.spark.readStream.schema(pastes.schema).parquet(folder)
+        W.monitor(arriving, TARGET, "0 seconds", sink, offsets, seen=seen).awaitTermination()
+    stream = t.spark.read.parquet(sink).select("content_id", "doc_id", "detection_type")
+    return seen.withColumn("detection_type", F.lit("batch")).unionByName(stream)
+
+
+@query(
+    "stream_summary",
+    f"""SELECT site, count(*) AS total_pastes_found, count(*) FILTER (has_credentials) AS credential_leaks,
+ count(*) FILTER (NOT has_credentials AND has_code) AS code_exposures, count(*) FILTER (risk_score >= 8) AS high_risk_pastes,
+ count(*) FILTER (risk_score BETWEEN 5 AND 7) AS medium_risk_pastes, count(*) FILTER (risk_score < 5) AS low_risk_pastes,
+ max(seen_at) AS last_checked FROM ({D.scored(DETECTED, 'site, content_id, seen_at', 'content', TARGET, R.PASTE_RULES)}) GROUP BY site""",
+    ("pastes",),
+)
+def stream_summary(t):
+    """Detections of three batches of pastes, with repeats; the counts kept on the way are those of one pass over all."""
+    folder, offsets, sink, counts, done = (
+        scratch(t.spark, name) for name in ("arriving", "offsets", "detections", "counts", "counted"))
+    pastes = own_url(t.pastes)
+    for part in (pastes.where("doc_id % 3 = 0"), pastes.where("doc_id % 3 <> 2"), pastes):
+        part.write.mode("append").parquet(folder)
+        arriving = t.spark.readStream.schema(pastes.schema).parquet(folder)
+        W.monitor(arriving, TARGET, "0 seconds", sink, offsets, forever=True).awaitTermination()
+        found = t.spark.readStream.schema(t.spark.read.parquet(sink).schema).parquet(sink)
+        W.summarise(found, counts, done, "seen_at").awaitTermination()
+    return W.summary(t.spark, counts)
+
+
 REDACTED_KINDS = [r for r in R.PASTE_RULES if r.shown != "clear"]
 
 

@@ -337,7 +337,7 @@ def unique_scored(t):
     from seepage.operators.dedupe import keep_first
 
     pastes = t.pastes.withColumn("content_id", X.content_id("url", "title", "date"))
-    return C.score_content(keep_first(pastes, ["content_id"], ["doc_id"]), "content", TARGET)
+    return C.score_content(keep_first(pastes, ["content_id"], ["doc_id"], unique=True), "content", TARGET)
 
 
 @query(
@@ -361,4 +361,4 @@ def sites_with_hits(t):
     from seepage.operators.dedupe import keep_first
 
     pastes = t.pastes.withColumn("content_id", X.content_id("url", "title", "date"))
-    return C.sites_with_hits(keep_first(pastes, ["content_id"], ["doc_id"]), "seen_at")
+    return C.sites_with_hits(keep_first(pastes, ["content_id"], ["doc_id"], unique=True), "seen_at")

@@ -15,7 +15,7 @@ from seepage.operators import score as C
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, v) for v in r])
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +59,24 @@ def test_keep_first_or_empty(spark):
     assert [r.i for r in U.keep_first_or_empty(df, "s", ["i"]).orderBy("i").collect()] == [1, 3, 4, 5]
 
 
+def test_keep_first_without_a_sort(spark):
+    """Fixed-width orders: same rows as the sorted aggregate, null keys and null ranks included."""
+    from datetime import date, datetime
+
+    random.seed(8)
+    rows_ = [(random.choice(["a", "b", None, "c", f"k{i}"]), i if i % 50 else None, i % 3 == 0, date(2000 + i % 40, 1, 1),
+              datetime(1960 + i % 80, 1, 1), f"text {i}") for i in random.sample(range(-200, 200), 300)]
+    df = spark.createDataFrame([r for r in rows_ if r[1] is not None] + [("c", None, None, None, None, "no rank")],
+                               "k string, n long, b boolean, d date, t timestamp, text string")
+    for order in (["n"], [F.col("n").cast("int"), "b"], ["d", "n"], [F.col("n").cast("smallint"), "t", "b"]):
+        assert rows(U.keep_first(df, ["k"], order, unique=True)) == rows(U.keep_first(df, ["k"], order))
+    some = F.col("k") == "a"
+    assert rows(U.keep_first(df, ["k"], ["n"], unique=True, where=some)) == rows(U.keep_first(df, ["k"], ["n"], where=some))
+    assert U.packed_rank(df, [F.col("text")]) is None and U.packed_rank(df, [F.col("n"), F.col("t")]) is None
+    text = U.keep_first(df, ["k"], ["n"], unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "Exchange hashpartitioning" not in text
+
+
 def test_dedupe_ordered(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 4), ("a", 5)], "v string, pos int")
     assert [r.v for r in U.dedupe_ordered(df, "v", "pos").collect()] == ["b", "a", "c"]
@@ -70,21 +88,33 @@ def test_sample_per_group_filters_before_the_shuffle(hot):
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_pattern_hits_paths_agree(spark):
+def test_pattern_hits_paths_agree(spark, monkeypatch):
     random.seed(5)
-    letters = lambda n: "".join(random.choice("ab.c ") for _ in range(n))
-    texts = [(i, letters(40).upper() if i % 2 else letters(40)) for i in range(60)]
-    words = sorted({letters(random.randint(1, 5)) for _ in range(80)} - {""})
-    corpus = spark.createDataFrame(texts, "id int, text string")
-    patterns = spark.createDataFrame([(w,) for w in words], "pattern string")
-    want = sorted((i, w) for i, t in texts for w in words if w in t.lower())
+    letters = lambda n: "".join(random.choice("ab.c \U0001f511é") for _ in range(n))
+    texts = [(i, letters(40).upper() if i % 2 else letters(40)) for i in range(60)] + [(60, None), (61, ""), (61, "ab.c ab.c")]
+    words = sorted({letters(random.randint(1, 9)) for _ in range(80)} - {""})
+    corpus = spark.createDataFrame([(*t, "x", "y") for t in texts], "id int, text string, p string, g string")
+    patterns = spark.createDataFrame([(w,) for w in [*words, "", None]], "pattern string")
+    want = sorted((i, w) for i, t in texts for w in words if t and w in t.lower())
     run = lambda **kw: rows(J.pattern_hits(corpus, ["id"], "text", patterns, **kw))
-    assert run(max_inline=1000) == want
-    assert run(max_inline=0) == want
-    assert run(max_inline=0, max_automaton=30) == want  # several buckets
+    assert run() == want
+    assert run(gram=3) == want
+    monkeypatch.setattr(J, "MAX_GRAMS", 0)  # beyond any broadcast
+    assert run(gram=2) == want
     assert J.pattern_hits(corpus, ["id"], "text", patterns.where("false")).count() == 0
 
 
+def test_very_many_phrases(spark):
+    """300,000 phrases against texts that hold few of them; no phrase passes through the driver."""
+    phrases = spark.range(300_000).select(F.format_string("host-%06d.example.org", "id").alias("pattern"))
+    corpus = spark.range(400).select("id", F.concat(F.lit("see HOST-"), F.lpad((F.col("id") * 900).cast("string"), 6, "0"),
+                                                  F.when(F.col("id") % 2 == 0, ".example.org").otherwise(".example.com")).alias("text"))
+    found = J.pattern_hits(corpus, ["id"], "text", phrases)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert rows(found) == [(i, f"host-{i * 900:06d}.example.org") for i in range(0, 334, 2)]
+
+
 def test_watchlist_hits(spark):
     df = spark.createDataFrame([("A.B.example.com",), ("notexample.com",), ("example.com",), ("x.org",), (None,)], "host string")
     watch = spark.createDataFrame([("example.com",), ("Example.com",), ("b.example.com",), ("com",)], "domain string")
