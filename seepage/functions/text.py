@@ -272,3 +272,10 @@ def fill_template(template: str, **values) -> Column:
         name, _, rest = tail.partition("}")
         parts += [F.lit(before), values[name]] if before else [values[name]]
     return F.concat(*parts, F.lit(rest)) if rest else F.concat(*parts)
+
+
+def fill_templates(template: Column, **values) -> Column:
+    """``fill_template`` for a template that is a column; a placeholder without a value stays as it is."""
+    known = F.create_map(*[x for name, c in values.items() for x in (F.lit(f"{{{name}}}"), c)])
+    pieces = F.split(template, r"(?=\{)|(?<=\})")
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")

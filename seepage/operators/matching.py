@@ -19,8 +19,6 @@ from seepage.session import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, fits, settl
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of a template table that may be folded into one projection.
-MAX_INLINE_PATTERNS = 64
 #: Bytes of a gram of the phrase index, and how many grams may be broadcast (they are numbers; the bytes are bounded as well).
 GRAM = 6
 MAX_GRAMS = 2_000_000
@@ -86,43 +84,44 @@ def new_only(df: DataFrame, seen: DataFrame, key: str, order, unique: bool = Fal
     return keep_first(fresh, [key], order, unique)
 
 
-def small_rows(rows, columns, limit: int = MAX_INLINE_PATTERNS) -> list:
-    """Rows of a hand-written table, read through the driver; more than ``limit`` are refused, not cut."""
-    if not isinstance(rows, DataFrame):
-        return list(rows)
-    got = rows.select(*columns).distinct().limit(limit + 1).collect()
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} rows")
-    return sorted(tuple(r) if len(columns) > 1 else r[0] for r in got)
+def with_templates(df: DataFrame, templates, columns, name: str, **values) -> DataFrame:
+    """One row per input row and template: struct ``_t`` of the template's columns and, in ``name``, the template with the row's values.
+
+    ``templates`` are tuples of the columns, the template last, which become
+    literals, or a table of them, which is one value that tasks receive (a
+    scalar subquery); a table beyond the broadcast bounds is refused.
+    """
+    if not isinstance(templates, DataFrame):
+        rows = [t if isinstance(t, tuple) else (t,) for t in templates]
+        return df.withColumn("_t", F.explode(F.array(*[
+            F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)], X.fill_template(row[-1], **values).alias(name))
+            for row in rows])))
+    if not fits(templates):
+        raise ValueError("more templates than a broadcast may hold")
+    listed = templates.select(*columns).distinct().agg(F.sort_array(F.collect_list(F.struct(*columns))))
+    filled = F.transform(F.col("_listed"), lambda t: F.struct(
+        *[t[c].alias(c) for c in columns], X.fill_templates(t[columns[-1]], **values).alias(name)))
+    return df.withColumn("_listed", listed.scalar()).withColumn("_t", F.explode(filled)).drop("_listed")
 
 
 def mention_patterns(watchlist: DataFrame, domain: str = "domain", templates=R.MENTION_TEMPLATES) -> DataFrame:
     """Search phrases (domain, category, pattern) of every watched domain.
 
-    ``templates`` are (category, template) pairs or a small table of them.
+    ``templates`` are (category, template) pairs or a table of them.
     """
-    d = F.lower(F.col(domain))
+    d = F.col("domain")
     values = {"domain": d, "query": d, "spaced": F.replace(d, F.lit("."), F.lit(" ")), "label": H.first_label(d)}
-    rows = [
-        F.struct(F.lit(c).alias("category"), X.fill_template(t, **values).alias("pattern"))
-        for c, t in small_rows(templates, ["category", "template"])
-    ]
-    return (
-        watchlist.select(d.alias("domain"), F.explode(F.array(*rows)).alias("p"))
-        .select("domain", "p.category", "p.pattern").distinct()
-    )
+    domains = watchlist.select(F.lower(F.col(domain)).alias("domain"))
+    phrases = with_templates(domains, templates, ["category", "template"], "pattern", **values)
+    return phrases.select("domain", "_t.category", "_t.pattern").distinct()
 
 
 def expand_templates(df: DataFrame, templates, name: str, **values) -> DataFrame:
     """One row per input row and template, the filled template in column ``name``.
 
-    ``templates`` are strings or a small table with a ``template`` column.
+    ``templates`` are strings or a table with a ``template`` column.
     """
-    filled = [
-        F.struct(F.lit(t).alias("template"), X.fill_template(t, **values).alias(name))
-        for t in small_rows(templates, ["template"])
-    ]
-    return df.withColumn("_t", F.explode(F.array(*filled))).select("*", "_t.*").drop("_t")
+    return with_templates(df, templates, ["template"], name, **values).select("*", "_t.*").drop("_t")
 
 
 def _marks(grams: DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:

@@ -243,6 +243,17 @@ FROM (SELECT doc_id, """ + _SITE + """ AS site,
         " ELSE concat('[Ss]ecret = \"[^\"]', chr(123), '10,', chr(125), '\"') END AS pattern FROM {region}",
         ("region",),
     ),
+    # Templates that a user brings, one a region; angle brackets stand for braces, which Spark's SQL strings would fill.
+    "mail_templates": (
+        "SELECT translate(concat(CASE r_regionkey % 5 WHEN 0 THEN '<first>-<last>' WHEN 1 THEN '<l>.<first>' WHEN 2 THEN 'x<f><l>'"
+        " WHEN 3 THEN '<last>_<unknown>' ELSE 'team' END, '@<domain>'), '<>', concat(chr(123), chr(125))) AS template FROM {region}",
+        ("region",),
+    ),
+    "search_templates": (
+        "SELECT concat('own', r_regionkey % 2) AS category, translate(CASE r_regionkey % 5 WHEN 0 THEN 'www.<domain>' WHEN 1 THEN '<label>'"
+        " WHEN 2 THEN '&copy; <query>' WHEN 3 THEN 'm.<domain> ' ELSE '<spaced>' END, '<>', concat(chr(123), chr(125))) AS template FROM {region}",
+        ("region",),
+    ),
     "repositories": (
         "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'org/hot' WHEN o_orderkey % 10 = 1 THEN NULL"
         " ELSE concat('org', o_custkey % 50, '/repo', o_custkey) END AS full_name, o_orderpriority AS description FROM {orders}",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seepage import rules as R
 from seepage.operators import certs as K
 from seepage.operators import dumps as L
+from seepage.operators import flat
 from seepage.operators import roster as M
 from seepage.plans import duck as D
 from seepage.plans.registry import query
@@ -208,6 +209,47 @@ def roster_variants(t):
     return M.roster_variants(t.people)
 
 
+def _filled(template: str, **values) -> str:
+    for name, value in values.items():
+        template = f"replace({template}, chr(123) || '{name}' || chr(125), {value})"
+    return template
+
+
+@query(
+    "roster_variants_user",
+    f"""SELECT first, last, domain, template, email FROM (SELECT first, last, domain, template,
+ {_filled('template', first='lower(first)', last='lower(last)', domain='lower(domain)', f='substr(lower(first), 1, 1)', l='substr(lower(last), 1, 1)')}
+ AS email FROM people, (SELECT DISTINCT template FROM mail_templates)) WHERE {D.valid_email('email')}""",
+    ("people", "mail_templates"),
+)
+def roster_variants_user(t):
+    """The spellings of a user's own template table, which replaces the built-in list."""
+    return M.roster_variants(t.people, t.mail_templates)
+
+
+@query("dump_emails_flat", f"SELECT email, source_file FROM ({EMAILS_SQL})", ("dump_lines", "corp_domains"))
+def dump_emails_flat(t):
+    return flat.dump_emails(dump_emails(t))
+
+
+@query(
+    "dump_credentials_flat",
+    f"SELECT email, password_hash_type AS password_type, password_length, source_file FROM ({CREDENTIALS_SQL})",
+    ("dump_lines",),
+)
+def dump_credentials_flat(t):
+    return flat.dump_credentials(credentials(t))
+
+
+@query(
+    "hosts_flat",
+    f"SELECT DISTINCT s AS subdomain FROM (SELECT {BARE} AS s FROM (SELECT unnest({OF_TARGET}) AS x FROM {CERTS})) WHERE {D.valid_domain('s')}",
+    ("ct_entries",),
+)
+def hosts_flat(t):
+    return flat.values(K.subdomains(certs(t)), "subdomain", "subdomain")
+
+
 @query(
     "role_mailboxes",
     " UNION ALL ".join(

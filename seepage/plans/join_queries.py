@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from seepage import rules as R
@@ -15,6 +17,7 @@ from seepage.operators import scan as S
 from seepage.operators import score as C
 from seepage.plans import duck as D
 from seepage.plans.registry import query
+from seepage.sources.sinks import stamped
 from seepage.plans.text_queries import SCORED_PASTES, TARGET, unique_scored
 
 ONE_TARGET = [(c, p.format(domain=TARGET, spaced=TARGET.replace(".", " "), label="acme")) for c, p in R.MENTION_TEMPLATES]
@@ -51,6 +54,30 @@ def pattern_hits_target(t):
     return J.pattern_hits(t.planted, ["doc_id", "source"], "text", J.mention_patterns(target))
 
 
+USER_PATTERNS = (
+    "(SELECT DISTINCT category, domain, lower("
+    + functools.reduce(
+        lambda sql, v: f"replace({sql}, chr(123) || '{v[0]}' || chr(125), {v[1]})",
+        (("domain", "d"), ("query", "d"), ("spaced", "replace(d, '.', ' ')"), ("label", "split_part(d, '.', 1)")), "template",
+    )
+    + ") AS pattern FROM search_templates, (SELECT domain, lower(domain) AS d FROM watch_domains))"
+)
+
+
+@query(
+    "stamped_hits",
+    "SELECT page_id, url, domain, category, pattern, 'stored_pages' AS source, true AS is_stamped"
+    f" FROM pages JOIN {USER_PATTERNS} ON contains(lower(html), pattern)",
+    ("watch_domains", "search_templates"),
+)
+def stamped_hits(t):
+    """Hits of a user's own search templates, each with the domain and template class it came from, the source and the time."""
+    phrases = J.mention_patterns(t.watch_domains, templates=t.search_templates)
+    hits = J.pattern_hits(t.pages, ["page_id", "url"], "html", phrases)
+    found = stamped(hits.join(phrases, "pattern"), source="stored_pages")
+    return found.withColumn("is_stamped", F.col("discovered_at") <= F.current_timestamp()).drop("discovered_at")
+
+
 @query(
     "watchlist_hits",
     "SELECT page_id, url, host, lower(domain) AS watched_domain FROM page_hosts JOIN watch_domains"

@@ -192,13 +192,22 @@ def contact_info(t):
     return info.select("page_id", *[F.array_join(c, " | ").alias(c) for c in ("emails", "phones", "addresses")])
 
 
+SOCIAL_SQL = " || ".join(
+    f"(SELECT CASE WHEN len(h) > 0 THEN ';{name}=' || array_to_string(list_sort(h), ',') ELSE '' END FROM (SELECT list_filter(list_distinct("
+    f"regexp_extract_all(html, {D.q(p)}, 1)), lambda x: x <> '' AND lower(x) NOT IN ('home', 'login', 'signin', 'signup')) AS h))"
+    for name, p in sorted(R.SOCIAL_RULES)
+)
+
+
 @query(
     "page_facts",
     f"""SELECT page_id, url, trim({D.visible("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title,
  array_to_string(list_sort({D.emails('s')}), ' | ') AS emails,
  array_to_string(list_sort(list_distinct(list_transform(list_zip(regexp_extract_all(s, {D.q(R.PHONE)}, 1), regexp_extract_all(s, {D.q(R.PHONE)}, 2),
  regexp_extract_all(s, {D.q(R.PHONE)}, 3)), lambda p: '(' || p[1] || ') ' || p[2] || '-' || p[3]))), ' | ') AS phones,
- coalesce(links, '') AS links
+ coalesce(links, '') AS links, array_to_string(list_sort(list_distinct(regexp_extract_all(s, {D.q(R.ADDRESS)}))), ' | ') AS addresses,
+ ltrim({SOCIAL_SQL}, ';') AS social_media,
+ 'title=' || trim({D.visible("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS metadata
  FROM (SELECT page_id, url, html, {D.visible('html')} AS s FROM pages) LEFT JOIN
  (SELECT page_id, string_agg(link, ' | ' ORDER BY link) AS links FROM
   (SELECT DISTINCT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || h AS link FROM
@@ -207,8 +216,31 @@ def contact_info(t):
 )
 def page_facts(t):
     facts = G.page_facts(parsed(t), ["page_id"])
-    joined = {c: F.array_join(c, " | ") for c in ("emails", "contact_info.phones", "links")}
-    return facts.select("page_id", "url", "title", *[c.alias(n.rpartition(".")[2]) for n, c in joined.items()])
+    return flat_facts(facts, "page_id", "url")
+
+
+def flat_facts(facts, *keys):
+    """All fields of the facts row, lists and maps joined."""
+    joined = {c: F.array_join(c, " | ") for c in ("emails", "contact_info.phones", "contact_info.addresses", "links")}
+    pair = lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    metadata = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), pair)), ";")
+    return facts.select(*keys, "title", *[c.alias(n.rpartition(".")[2]) for n, c in joined.items()],
+                        social("contact_info.social_media").alias("social_media"), metadata.alias("metadata"))
+
+
+@query(
+    "page_facts_rich",
+    """SELECT c_custkey, c_name AS title, 'me' || c_custkey || '@corp1.example.com' AS emails, 1 AS n_phones, 1 AS n_addresses, 9 AS n_anchors,
+ 'github=g' || c_nationkey || ';linkedin=l-' || c_custkey || ';twitter=h' || c_custkey AS social_media,
+ 'meta_description=join ' || c_custkey || ';og:title=og ' || c_custkey || ';title=' || c_name AS metadata FROM customer""",
+)
+def page_facts_rich(t):
+    """The same row over pages that have all of it."""
+    facts = G.page_facts(rich(t), ["c_custkey"])
+    own = flat_facts(facts, "c_custkey").select("c_custkey", "title", "emails", "social_media", "metadata")
+    counted = facts.select("c_custkey", F.size("contact_info.phones").alias("n_phones"), F.size("contact_info.addresses").alias("n_addresses"))
+    links = G.page_structure(rich(t), ["c_custkey"]).select("c_custkey", F.col("links").alias("n_anchors"))
+    return own.join(counted, "c_custkey").join(links, "c_custkey")
 
 
 @query(

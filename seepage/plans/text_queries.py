@@ -8,6 +8,7 @@ from seepage import rules as R
 from seepage.functions import hosts as H
 from seepage.functions import text as X
 from seepage.operators import pages as G
+from seepage.operators import flat
 from seepage.operators import scan as S
 from seepage.operators import score as C
 from seepage.plans import duck as D
@@ -53,6 +54,42 @@ def code_emails(t):
     return found.where(F.contains("email", F.lit(CORP))).distinct()
 
 
+@query(
+    "emails_flat",
+    f"SELECT DISTINCT e AS email FROM (SELECT unnest(regexp_extract_all(text, {D.q(R.EMAIL)})) AS e FROM planted)"
+    f" WHERE contains(e, '{CORP}')",
+    ("planted",),
+)
+def emails_flat(t):
+    return flat.values(code_emails(t), "email", "email")
+
+
+def _redacted_sql(c: str) -> str:
+    for r in R.PASTE_RULES:
+        if r.shown != "clear":
+            c = f"regexp_replace({c}, {D.q(r.pattern)}, '***REDACTED***', 'g')"
+    return c
+
+
+@query(
+    "code_flat",
+    f"""SELECT 'repository' AS type, coalesce(full_name, '') AS name, 'https://github.com/' || coalesce(full_name, '') AS url,
+ coalesce(description, '') AS description, '' AS details FROM repositories
+ UNION ALL SELECT 'code', 'src/' || doc_id || '.py', 'https://github.com/org/repo/blob/main/src/' || doc_id || '.py', 'org/' || source,
+ CASE WHEN length(c) > 200 THEN substr(c, 1, 200) || '...' ELSE c END FROM (SELECT doc_id, source, {_redacted_sql('text')} AS c FROM planted)""",
+    ("repositories", "planted"),
+)
+def code_flat(t):
+    """Repositories and code matches in one flat table, secrets redacted."""
+    name = X.or_empty("full_name")
+    repositories = t.repositories.select(name.alias("name"), F.concat(F.lit("https://github.com/"), name).alias("url"), "description")
+    path = F.concat(F.lit("src/"), "doc_id", F.lit(".py"))
+    matches = t.planted.select(
+        path.alias("file_path"), F.concat(F.lit("https://github.com/org/repo/blob/main/"), path).alias("url"),
+        F.concat(F.lit("org/"), "source").alias("repository"), F.col("text").alias("content"))
+    return flat.code(repositories, matches)
+
+
 @query("chat_tokens", D.scan("planted", "doc_id", "text", R.CHAT_RULES), ("planted",))
 def chat_tokens(t):
     return shown(S.scan_kinds(t.planted, ["doc_id"], "text", R.CHAT_RULES), "doc_id")

@@ -230,3 +230,15 @@ def test_roster(spark):
 def test_section_totals_lists_empty_sections(spark):
     one = spark.createDataFrame([("i", "u", "d")], "item string, url string, detail string")
     assert rows(C.section_totals(C.report_long({"a": one, "b": one.union(one)}), ("a", "b", "c"))) == [("a", 1), ("b", 2), ("c", 0)]
+
+
+def test_template_tables_of_any_size(spark):
+    people = spark.createDataFrame([("Ann", "Lee", "x.example.com"), ("{f}", "Ö", "y.example.com")], "first string, last string, domain string")
+    templates = ["{first}.{last}@{domain}", "{f}{l}@{domain}", "{who}", "plain", "{first}{first}", "{"] + [f"n{i}-{{last}}" for i in range(300)]
+    values = {"first": F.col("first"), "last": F.col("last"), "domain": F.col("domain"), "f": F.substring("first", 1, 1), "l": F.substring("last", 1, 1)}
+    table = spark.createDataFrame([(t,) for t in templates], "template string")
+    got = {(r.first, r.template): r.out for r in J.expand_templates(people, table, "out", **values).collect()}
+    assert len(got) == 2 * len(templates)
+    assert got["Ann", templates[0]] == "Ann.Lee@x.example.com" and got["{f}", templates[0]] == "{f}.Ö@y.example.com"
+    assert got["Ann", "{f}{l}@{domain}"] == "AL@x.example.com" and got["Ann", "{who}"] == "{who}" and got["Ann", "{"] == "{"
+    assert got["{f}", "{first}{first}"] == "{f}{f}" and got["Ann", "n299-{last}"] == "n299-Lee"

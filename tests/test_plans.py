@@ -39,9 +39,23 @@ def test_a_page_is_parsed_once(spark):
     assert "StringContains(url,example.com)" in text
 
 
+@pytest.mark.parametrize("name", ["first_per_host", "dedupe_key", "dedupe_content_id", "first_per_email", "new_only", "exposure_summary"])
+def test_keep_first_neither_sorts_nor_moves_texts(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "SortAggregate" not in text and "min_by" not in text
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("content" in line or "html" in line for line in moved)
+
+
+@pytest.mark.parametrize("name, table", [("ct_stats", "orders"), ("dump_stats", "orders")])
+def test_statistics_read_their_source_once(spark, name, table):
+    text = plan(QUERIES[name](spark, SF))
+    assert text.count(f"{table}.parquet") == 1 and text.count("Exchange hashpartitioning") <= 4
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_or_nested_loop_join(spark, name):
-    if name in ("reachable_pages", "stream_detections", "stream_equals_batch") or name.startswith(("export", "scan_text")):
+    if name == "reachable_pages" or name.startswith(("export", "scan_text", "stream_")):
         pytest.skip("runs jobs while it is built")
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
