@@ -254,8 +254,12 @@ def _reader(payloads: bool, at_once: int = 8 << 20):
     return run
 
 
-def read_records(files: DataFrame, *, payloads: bool = True) -> DataFrame:
+def read_records(files: DataFrame) -> DataFrame:
     """All records of the files (file: path or URI), one row each; a file is one task's work."""
+    return _read(files, True)
+
+
+def _read(files: DataFrame, payloads: bool) -> DataFrame:
     files = files.select("file").distinct()
     return files.repartition(max(1, files.count())).mapInArrow(_reader(payloads), RECORD)
 
@@ -269,21 +273,24 @@ def archive_files(spark, folder: str) -> DataFrame:
 def assembled(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, record_type, refers_to, response, request, metadata.
 
-    ``records`` are read several times: hand over a settled table.
+    ``records`` are read several times: hand over a settled table. Columns it
+    does not have are not in the nested rows either. Records that repeat an
+    identifier are one record.
     """
     records = records.where("error IS NULL AND record_id IS NOT NULL")
-    parts = ["record_id", "concurrent_to", "uri", "date", "headers"]
+    own = lambda *names: [c for c in names if c in records.columns]
+    parts = own("record_id", "concurrent_to", "uri", "date", "headers")
     mains = records.where(F.col("record_type").isin("response", "revisit", "resource"))
     sides = records.where(F.col("record_type").isin("request", "metadata"))
     roots = mains.select(F.col("record_id").alias("capture")).distinct()
     links = records.select("record_id", F.explode("concurrent_to").alias("other")).where("record_id <> other")
     either = links.unionByName(links.select(F.col("other").alias("record_id"), F.col("record_id").alias("other")))
-    own = sides.select("record_id").distinct()
-    direct = either.join(own, "record_id", "left_semi").join(
+    side_ids = sides.select("record_id").distinct()
+    direct = either.join(side_ids, "record_id", "left_semi").join(
         roots.withColumnRenamed("capture", "other"), "other", "left_semi")
     direct = direct.groupBy("record_id").agg(F.min("other").alias("capture"))
     direct = settle(direct, "transactions")
-    far = settle(own.join(either.select("record_id").distinct(), "record_id", "left_semi").join(
+    far = settle(side_ids.join(either.select("record_id").distinct(), "record_id", "left_semi").join(
         direct, "record_id", "left_anti"), "unresolved")
     if far.limit(1).count():  # linked to a capture through other records, if at all
         group = components(links, "record_id", "other")
@@ -297,11 +304,11 @@ def assembled(records: DataFrame) -> DataFrame:
     placed = placed.join(firsts.select("record_id", "record_type", F.lit(True).alias("chosen")),
                          ["record_id", "record_type"], "left")
     capture = F.when(F.col("chosen"), F.col("capture"))
-    request = F.when(F.col("record_type") == "request", F.struct(*parts, "http_headers"))
-    metadata = F.when(F.col("record_type") == "metadata", F.struct(*parts, "fields"))
+    request = F.when(F.col("record_type") == "request", F.struct(*parts, *own("http_headers")))
+    metadata = F.when(F.col("record_type") == "metadata", F.struct(*parts, *own("fields")))
     rows = mains.select(
         F.col("record_id").alias("capture"), "record_id", "record_type", "refers_to",
-        F.struct(*parts, "http_status", "http_headers", "payload", "payload_bytes", "payload_digest").alias("response"),
+        F.struct(*parts, *own("http_status", "http_headers", "payload", "payload_bytes", "payload_digest")).alias("response"),
         F.lit(None).cast(placed.select(request.alias("r")).schema["r"].dataType).alias("request"),
         F.lit(None).cast(placed.select(metadata.alias("m")).schema["m"].dataType).alias("metadata"))
     rows = rows.unionByName(placed.select(
@@ -314,12 +321,21 @@ def assembled(records: DataFrame) -> DataFrame:
     ).drop("capture")
 
 
-def captures(spark, folder: str, *, payloads: bool = True, files: DataFrame | None = None) -> DataFrame:
-    """The captures of a folder of archives, or of the files of a manifest, whose records have to be there in full."""
+def captures(spark, folder: str, *, columns: list[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """The captures of a folder of archives, or of the files of a manifest, whose records have to be there in full.
+
+    ``columns`` are those of RECORD to carry into the nested rows, all of them by default.
+    """
+    needed = ["record_id", "record_type", "concurrent_to", "refers_to", "error"]
+    payloads = columns is None or "payload" in columns
+
+    def read_records(files):
+        rows = _read(files, payloads)
+        return rows if columns is None else rows.select(*needed, *[c for c in columns if c not in needed])
     if files is None:
-        return assembled(settle(read_records(archive_files(spark, folder), payloads=payloads), "records"))
+        return assembled(settle(read_records(archive_files(spark, folder)), "records"))
     named = files.select(F.concat(F.lit(folder + "/"), "file").alias("file"))
-    records = settle(read_records(named, payloads=payloads), "records")
+    records = settle(read_records(named), "records")
     written = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     read = records.agg(F.count_if(F.expr("error IS NULL AND record_type <> 'warcinfo'")), F.first("error", ignorenulls=True)).first()
     if read[0] != written:
@@ -351,4 +367,4 @@ def archived(pages: DataFrame, **options) -> DataFrame:
     """Write the pages into the shared folder, read the archives back, and give each page's digests."""
     folder = scratch(pages.sparkSession, "warc")
     files = write_warc(pages, folder, **options)
-    return digests(captures(pages.sparkSession, folder, payloads=False, files=files))
+    return digests(captures(pages.sparkSession, folder, columns=["payload_bytes", "payload_digest", "fields"], files=files))
