@@ -2,12 +2,16 @@
 
 Pass 1 scatters every record by seeded hashes: to a shard, which its id and
 the shard count alone decide, and within it to a bucket that fits in memory.
-Pass 2 puts each bucket through a Fisher-Yates shuffle and writes it.
+A shard has as many buckets as its own bytes ask for, so a shard that one id
+makes large has more of them, not larger ones. Pass 2 puts each bucket through
+a Fisher-Yates shuffle and writes it.
 
 Null ids take part like any value, and share a shard. A null text has no bytes
 and counts one byte of size, its crc32 is that of no bytes. Repeated rows stay
-repeated rows, each with its own slot. An empty table gives no rows. Other
-columns of the input are ignored, whatever their names.
+repeated rows, each with its own slot; a seeded number for each row deals them
+over the buckets as well. A text larger than a bucket makes its bucket larger,
+as no record is cut. An empty table gives no rows. Other columns of the input
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,24 +76,27 @@ def write_shards(
 
     Returns the files' rows without the texts: doc_id, size, text_crc32,
     shard, bucket, pos, and slot, which counts gapless from 0 in each shard.
-    The shard is ``key_shard`` of the id. The bucket also hashes the text, so
-    that one id with very many rows is spread. Every task orders a bucket
-    before shuffling it, so a task that runs again writes the same rows.
+    The shard is ``key_shard`` of the id. The bucket hashes id, text and the
+    row's place in the scan. Every task has one bucket and orders it before
+    shuffling it, so a task that runs again writes the same rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    mixed = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
+    shard = key_shard(F.col("doc_id"), shards, seed)
+    bytes_of = {r.shard: r.bytes for r in rows.groupBy(shard.alias("shard")).agg(F.sum(size).alias("bytes")).collect()}  # a row a shard
+    buckets = [max(1, -(-bytes_of.get(k, 0) // bucket_bytes)) for k in range(shards)]
+    firsts = [sum(buckets[:k]) for k in range(shards)]
+    at = lambda numbers: F.get(F.array(*[F.lit(n).cast("long") for n in numbers]), F.col("shard"))
+    # Equal rows have equal hashes; the row's own number, drawn in the order of the scan, parts them.
     rows = rows.select(
         "doc_id", "text", size.alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        key_shard(F.col("doc_id"), shards, seed).alias("shard"), mixed.alias("mixed"),
-    ).withColumn("bucket", F.col("shard").cast("long") * per_shard + F.pmod("mixed", F.lit(per_shard)))
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), shard.alias("shard"),
+        F.xxhash64(F.lit(seed + 1), "doc_id", "text", F.monotonically_increasing_id()).alias("mixed"),
+    ).withColumn("bucket", at(firsts) + F.pmod("mixed", at(buckets)))
     kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = (
-        rows.repartition(shards * per_shard, "bucket")
+        rows.repartitionById(sum(buckets), F.col("bucket").cast("int"))
         .sortWithinPartitions("bucket", "mixed", "doc_id", "text")
         .select("doc_id", "text", "size", "text_crc32", "shard", "bucket")
     )
