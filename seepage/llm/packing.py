@@ -3,16 +3,19 @@
 Documents are encoded once and dealt into shards by a signature of their
 tokens, the least hash of their token triples, so that near copies meet; the
 id breaks ties, which splits large groups. Every shard has an inverted index
-of its own with BM25 weights; its terms are vocabulary ids. The first document
+of its own with BM25 weights; its terms are vocabulary ids. Terms that half of
+the shard's documents hold tell little and are not in the index. The first document
 of a window is its seed: the index returns the seed's best neighbours that are
 not used yet, and they fill the window one after another. A document that goes
 beyond the window is cut there and seeds the next one. Documents without a
-neighbour follow in the order of the signature.
+neighbour follow in the order of the signature. A seed meets the documents of
+its own shard, not those of others.
 
 All windows of a shard but its last are full. What is left at the end goes
 into sequences of the powers of two that add up to it, so nothing is padded.
 
-A null text is an empty one, which has the end id alone. Repeated rows have
+A null text is an empty one, which has the end id alone. A very long text is
+encoded and cut like any other, and may make a shard alone. Repeated rows have
 pieces each. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -26,12 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seepage.llm.tokens import batches_of_texts, encoder
+from seepage.llm.tokens import batches_of_texts, encoder, give_back
 from seepage.session import settle
 
 WINDOW = 1024
 #: Tokens of a shard, which one task holds with its index.
 SHARD_TOKENS = 4_000_000
+#: Documents of a shard, for short ones: their numbers take 16 bits.
+SHARD_DOCS = 1 << 16
+#: Best candidates that are put in order first.
+FIRST = 32
 K1, B = 1.2, 0.75
 DTYPE = "<u2"
 
@@ -55,6 +62,7 @@ def encoded(docs: DataFrame, tokenizer: str, *, spaced: bool = True, end_id: int
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
+        give_back()
         enc, end = encoder(tokenizer, spaced, DTYPE), np.array([end_id], DTYPE).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -75,7 +83,7 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         self.n = n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
-        wide = np.uint32 if n <= 1 << 16 else np.uint64
+        wide = np.uint32
         keys = np.repeat(np.arange(n, dtype=wide) << wide(16), lengths) | np.concatenate(docs).astype(wide)
         keys.sort()
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -97,43 +105,48 @@ class Index:
         self.used = np.zeros(n, bool)
         self.next = 0
 
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents for all terms of the seed."""
-        terms = self.terms[self.starts[seed]: self.starts[seed + 1]]
-        if not len(terms):
-            return np.zeros(self.n)
-        spans = [slice(a, b) for a, b in zip(self.term_starts[terms].tolist(), self.term_starts[terms + 1].tolist())]
-        return np.bincount(np.concatenate([self.posting_docs[s] for s in spans]),
-                           np.concatenate([self.posting_weights[s] for s in spans]), self.n)
-
     def in_order(self) -> int | None:
         """The first unused document."""
         while self.next < self.n and self.used[self.next]:
             self.next += 1
         return self.next if self.next < self.n else None
 
-    def neighbour(self, scores: np.ndarray) -> int | None:
-        """The best unused document for the scores, or the first unused one if none has a score."""
-        scores[self.used] = 0
-        best = int(scores.argmax())
-        return best if scores[best] > 0 else self.in_order()
+    def neighbours(self, seed: int):
+        """Documents that are unused when they are asked for, by falling BM25 score for all terms of the seed, then the others in order."""
+        terms = self.terms[self.starts[seed]: self.starts[seed + 1]]
+        if len(terms):
+            spans = [slice(a, b) for a, b in zip(self.term_starts[terms].tolist(), self.term_starts[terms + 1].tolist())]
+            scores = np.bincount(np.concatenate([self.posting_docs[s] for s in spans]),
+                                 np.concatenate([self.posting_weights[s] for s in spans]), self.n)
+            scores[self.used] = 0
+            first = np.argpartition(scores, -FIRST)[-FIRST:] if self.n > FIRST else np.arange(self.n)
+            ordered = lambda docs: docs[np.lexsort((docs, -scores[docs]))].tolist()
+            for doc in ordered(first):
+                if scores[doc] > 0 and not self.used[doc]:
+                    yield doc
+            scores[first] = 0  # the others, which few windows come to
+            for doc in ordered(np.flatnonzero(scores)):
+                if not self.used[doc]:
+                    yield doc
+        while (doc := self.in_order()) is not None:
+            yield doc
 
 
 def chain(docs: list[np.ndarray]) -> list[int]:
     """The order of a shard's documents: each window's seed is followed by its neighbours until the window is full."""
     index, out, at = Index(docs), [], 0
-    seed_scores, doc = None, index.in_order()
+    found, doc = None, index.in_order()
     while doc is not None:
         index.used[doc] = True
         out.append(doc)
         room = -at % WINDOW
         at += len(docs[doc])
         if at % WINDOW == 0:  # the next window starts with a new seed
-            doc, seed_scores = index.in_order(), None
+            found, doc = None, index.in_order()
             continue
-        if seed_scores is None or len(docs[doc]) > room:  # this document is the first of the window that is open now
-            seed_scores = index.scores(doc)
-        doc = index.neighbour(seed_scores)
+        if found is None or len(docs[doc]) > room:  # this document is the first of the window that is open now
+            found = index.neighbours(doc)
+        doc = next(found, None)
     return out
 
 
@@ -176,6 +189,7 @@ def _pack(with_ids: bool, shard_tokens: int):
         return pa.RecordBatch.from_pydict(columns), found[-1][3] + 1
 
     def run(batches):
+        give_back()
         first = TaskContext.get().partitionId() << 40
         ids, docs, held = [], [], 0
         for batch in batches:
@@ -185,7 +199,7 @@ def _pack(with_ids: bool, shard_tokens: int):
             for k, data in enumerate(batch.column("ids").to_pylist()):
                 docs.append(np.frombuffer(data, DTYPE))
                 held += len(docs[-1])
-                if held >= shard_tokens:
+                if held >= shard_tokens or len(docs) >= SHARD_DOCS:
                     ids.append(batch.column("doc_id").slice(start, k + 1 - start))
                     out, n = packed(pa.concat_arrays(ids), docs, first)
                     yield out

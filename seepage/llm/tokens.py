@@ -2,18 +2,25 @@
 
 A text is cut where its tokenizer is sure to cut, before white space that
 follows something else, so the ids of a text are the ids of its pieces in
-turn. Pieces repeat; the ids of those seen are kept, up to a bounded number.
+turn. Pieces repeat; the ids of those seen are kept, up to a bounded size.
 A text with rarer white space or runs of it goes to the tokenizer whole.
+
+The strings of special tokens in a text are ordinary text, as the vocabularies'
+own notes have it: a document that quotes ``<|endoftext|>`` must not end there.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
+import pyarrow as pa
 
 #: White space other than blank and line feed, as either library understands it.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -23,7 +30,12 @@ _CASED = re.compile(r"[\u0130\u03a3\u0300-\u036f]")
 _MARKED = re.compile(r"[.,](?:(?=[^\s\w]|_)|(?<=[\W_][.,]))")
 #: Letters, then ASCII marks to the end.
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
-KEPT_PIECES = 700_000
+#: Bytes that pieces and their ids may take in a worker, as estimated: their characters, their ids and what objects need.
+KEPT_BYTES = 192 << 20
+_OBJECTS = 230
+#: Letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others follow at U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class Encoder:
@@ -34,11 +46,10 @@ class Encoder:
     drops white space and marks where a word ends.
     """
 
-    def __init__(self, path: str, spaced: bool, dtype: str = "<u4", kept: int = KEPT_PIECES):
+    def __init__(self, path: str, spaced: bool, dtype: str = "<u4", kept: int = KEPT_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer, normalizers
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+        from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -46,38 +57,27 @@ class Encoder:
         size = self.model.get_vocab_size()
         if size > np.iinfo(self.dtype).max:
             raise ValueError(f"{path}: ids do not fit in {dtype}")
+        self.held = 0
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        # The same vocabulary for many words of letters at once, which need no normalising and are cut at blanks alone.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.plain.normalizer = normalizers.Sequence([])
-        cut = Split(" ", "merged_with_next" if spaced else "removed")
-        self.plain.pre_tokenizer = Sequence([cut, ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.bound = np.zeros(size, bool)  # ids that begin a word (spaced) or end it
-        for token, i in self.model.get_vocab().items():
-            self.bound[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes()
                 for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], at_once: int = 400) -> dict[str, bytes]:
-        """Ids of words of letters, each as after a blank."""
-        out = {}
-        for a in range(0, len(words), at_once):
-            some = words[a: a + at_once]
-            text = " " + " ".join(some) if self.spaced else " ".join(some)
-            ids = np.array(self.plain.encode(text, add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(self.bound[ids])
-            cuts = np.append(cuts, len(ids)) if self.spaced else np.append(0, cuts + 1)
-            if len(cuts) != len(some) + 1:
-                out.update(zip(some, self.whole([self._source(x) for x in some])))
-                continue
-            data, ends = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-            out.update(zip(some, [data[x:y] for x, y in zip(ends, ends[1:])]))
-        return out
+    def _words(self, words: list[str], out: dict[str, bytes]) -> None:
+        """Put the ids of words of letters, each as after a blank, into ``out``.
+
+        Nothing cuts a word of letters, so its bytes, in the letters that the
+        vocabulary writes bytes with, go to the merges at once.
+        """
+        tokenize, blank, size = self.model.model.tokenize, "\u0120" if self.spaced else "", self.dtype.itemsize
+        found = [[t.id for t in tokenize(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)))]
+                 for w in words]
+        data = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()
+        ends = [0, *accumulate([size * len(ids) for ids in found])]
+        out.update(zip(words, [data[a:b] for a, b in zip(ends, ends[1:])]))
 
     def _learn(self, pieces: set[str]) -> None:
         """Put the pieces' ids into ``known``.
@@ -85,32 +85,30 @@ class Encoder:
         A word of letters is surely cut before the marks that end its piece,
         and words of letters are encoded many at once.
         """
-        known, before, marks, made, others = self.known, self.before, self.marks, [], []
-        for piece in pieces:
-            ids = before.get(piece)
-            if ids is not None:
-                known[piece] = ids
-                continue
-            if piece.isalpha():
-                word, mark = piece, ""
-            else:
-                found = _WORD_AND_MARKS.fullmatch(piece)
-                if not found:
-                    others.append(piece)
-                    continue
-                word, mark = found.groups()
-            if word.isascii() or (word.isalpha() and (self.spaced or unicodedata.is_normalized("NFC", word))):
+        known, before, marks = self.known, self.before, self.marks
+        self.held += _OBJECTS * len(pieces) + 2 * sum(map(len, pieces))
+        if before:
+            kept = [p for p in pieces if p in before]
+            known.update(zip(kept, map(before.__getitem__, kept)))
+            pieces = pieces.difference(kept)
+        fine = (lambda w: True) if self.spaced else (lambda w: w.isascii() or unicodedata.is_normalized("NFC", w))
+        words = [p for p in pieces if p.isalpha() and fine(p)]
+        self._words(words, known)
+        made, others = [], []
+        for piece in pieces.difference(words):
+            found = None if piece.isalpha() else _WORD_AND_MARKS.fullmatch(piece)
+            word, mark = found.groups() if found else ("", "")
+            if found and (word.isascii() or (word.isalpha() and fine(word))):
                 made.append((piece, word, mark))
             else:
                 others.append(piece)
-        new = list({mark for _, _, mark in made}.difference(marks))
         if len(marks) > 10_000:
             marks.clear()
-            new = list({mark for _, _, mark in made})
+        new = list({mark for _, _, mark in made}.difference(marks))
         marks.update(zip(new, self.whole(new)))
-        words = {word: known.get(word) for _, word, _ in made}
-        words.update(self._words([w for w, ids in words.items() if ids is None]))
-        known.update([(piece, words[word] + marks[mark]) for piece, word, mark in made])
+        stems = {word: known.get(word) for _, word, _ in made}
+        self._words([w for w, ids in stems.items() if ids is None], stems)
+        known.update([(piece, stems[word] + marks[mark]) for piece, word, mark in made])
         known.update(zip(others, self.whole([self._source(p) for p in others])))
 
     def pieces(self, text: str) -> list[str] | None:
@@ -144,8 +142,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none of a null text."""
-        if 2 * len(self.known) > self.kept:  # the younger half of the pieces stays
-            self.before, self.known = self.known, {}
+        if 2 * self.held > self.kept:  # the younger half of the pieces stays
+            self.before, self.known, self.held = self.known, {}, 0
         get, out, waiting, odd, new = self.known.get, [b""] * len(texts), [], [], set()
         for i, text in enumerate(texts):
             if not text:
@@ -170,7 +168,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool, dtype: str = "<u4", kept: int = KEPT_PIECES) -> Encoder:
+def encoder(path: str, spaced: bool, dtype: str = "<u4", kept: int = KEPT_BYTES) -> Encoder:
     """One encoder for each worker process."""
     return Encoder(path, spaced, dtype, kept)
 
@@ -185,3 +183,13 @@ def batches_of_texts(texts, most: int = 4_000_000):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def give_back() -> None:
+    """Return what earlier tasks of this worker freed to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
