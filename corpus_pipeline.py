@@ -26,8 +26,8 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies stays: shingles of five words, a similarity of 0.8 or more."""
-    return simhash.first_copies(docs, words=5, similarity=0.8)
+    """The first document of each group of near copies stays: fingerprints of three-word shingles, three bits apart at most."""
+    return simhash.first_copies(docs, words=3, distance=3)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

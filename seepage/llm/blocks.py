@@ -65,3 +65,15 @@ def whole_groups(batches, by: list[str], rows: int = 32_768):
     if count:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, np.cumsum(marks(table)) - 1
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

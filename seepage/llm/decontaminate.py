@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seepage.llm.blocks import unused
 from seepage.session import settle
 
 #: Fixed by the contract, in bytes: what is not a digit, a small letter or beyond ASCII.
@@ -198,6 +199,7 @@ def digest(rows: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without hits, with all their columns."""
     dirty = contamination(docs, items, id_col=id_col, text_col=text_col, **options).filter("n_hit > 0")
-    dirty = dirty.select(F.col("doc_id").alias("_dirty_id"), F.col("copy").alias("_dirty_copy"))
-    on = docs[id_col].eqNullSafe(F.col("_dirty_id")) & (F.xxhash64(docs[text_col]) == F.col("_dirty_copy"))
+    dirty_id, dirty_copy = unused(docs.columns, "dirty_id", "dirty_copy")
+    dirty = dirty.select(F.col("doc_id").alias(dirty_id), F.col("copy").alias(dirty_copy))
+    on = docs[id_col].eqNullSafe(F.col(dirty_id)) & (F.xxhash64(docs[text_col]) == F.col(dirty_copy))
     return docs.join(dirty, on, "left_anti")

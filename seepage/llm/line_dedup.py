@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seepage.llm.blocks import unused
 from seepage.session import settle
 
 LEAST_WORDS = 50
@@ -154,12 +155,13 @@ def cleaned(docs: DataFrame, least_words: int = LEAST_WORDS, *, id_col: str = "d
     ``size_col``, if there is one, is set to the characters of a text that has changed.
     """
     gone = deleted_lines(docs, least_words, id_col=id_col, text_col=text_col)
-    key = docs.withColumn("_line_copy", F.xxhash64(F.col(text_col)))
-    gone = gone.select(F.col("doc_id").alias("_line_id"), F.col("copy").alias("_line_hash"), F.col("gone").alias("_line_gone"))
-    rows = key.join(gone, F.col(id_col).eqNullSafe(F.col("_line_id")) & (F.col("_line_copy") == F.col("_line_hash")), "left")
-    rows = rows.filter(F.col("_line_gone").isNull() | (F.size("_line_gone") < F.size(F.split(F.col(text_col), "\n", -1))))
-    changed = F.col("_line_gone").isNotNull()
-    rows = rows.withColumn(text_col, F.when(changed, remaining(F.col(text_col), F.col("_line_gone"))).otherwise(F.col(text_col)))
+    copy, line_id, line_copy, line_gone = unused(docs.columns, "copy", "line_id", "line_copy", "line_gone")
+    key = docs.withColumn(copy, F.xxhash64(F.col(text_col)))
+    gone = gone.select(F.col("doc_id").alias(line_id), F.col("copy").alias(line_copy), F.col("gone").alias(line_gone))
+    rows = key.join(gone, F.col(id_col).eqNullSafe(F.col(line_id)) & (F.col(copy) == F.col(line_copy)), "left")
+    rows = rows.filter(F.col(line_gone).isNull() | (F.size(line_gone) < F.size(F.split(F.col(text_col), "\n", -1))))
+    changed = F.col(line_gone).isNotNull()
+    rows = rows.withColumn(text_col, F.when(changed, remaining(F.col(text_col), F.col(line_gone))).otherwise(F.col(text_col)))
     if size_col in docs.columns:
         kind = docs.schema[size_col].dataType
         rows = rows.withColumn(size_col, F.when(changed, F.length(F.col(text_col)).cast(kind)).otherwise(F.col(size_col)))

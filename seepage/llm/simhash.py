@@ -12,17 +12,14 @@ The rows are distinct fingerprints. Buckets are compared inside tasks, in
 blocks (``blocks``), and give each member one link to its group, so no pairs
 of a group are emitted and no link between groups is lost.
 
-``near_duplicates`` links fingerprints within a distance. ``similar_texts``
-looks for a Jaccard similarity of the shingle sets: distinct sets meet under
-bands of least hashes, those whose longer fingerprints are near enough make
-up clusters, and inside a cluster the sets themselves are compared. A shingle
-counts once in its fingerprints, so one that a text repeats does not decide
-them alone.
+``near_duplicates`` names each document's component; ``first_copies`` keeps one
+row of each.
 
 A null text has no words like an empty one: fingerprint zero, linked like any
 other. Texts of fewer words than a shingle are one shingle. Repeated rows have
 a row each and are linked. A null id keeps its row; the component of null ids
-alone is null. An empty table gives no rows.
+alone is null. Very long texts are read whole, a batch of Arrow rows at a time.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seepage.llm.blocks import block_pairs, whole_groups
+from seepage.llm.blocks import block_pairs, unused, whole_groups
 from seepage.llm.graph import components, local_roots
 from seepage.session import settle
 
@@ -44,14 +41,6 @@ BITS = 64
 PROBE_COST = 100.0
 PARTITIONS = (2, 3, 4, 5, 6)
 MOST_RADIUS = 2
-#: Words of 64 bits in the longer fingerprint.
-LONG = 4
-#: Bands of least hashes under which similar texts meet, and the hashes of each: sets of similarity 0.8 share one but for
-#: 4 pairs in 10,000.
-BANDS, HASHES = 20, 5
-_draw = np.random.default_rng(2)
-_XOR = _draw.integers(0, 1 << 64, BANDS * HASHES, np.uint64)
-_ODD = _draw.integers(0, 1 << 64, BANDS * HASHES, np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -72,49 +61,27 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, pieces, repeat(42)), np.uint64, len(pieces))
 
 
-def bit_majorities(hashes: np.ndarray, long: int = 1) -> list[int]:
-    """The fingerprint of shingle hashes in ``long`` words, as signed 64-bit integers."""
-    out, n = [], len(hashes)
-    for k in range(long):
-        if k:  # the further words' hashes follow from the first
-            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-            hashes ^= hashes >> np.uint64(29)
-        ones = np.zeros(BITS, np.int64)
-        for a in range(0, len(hashes), 65_536):
-            bits = np.unpackbits(hashes[a: a + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones += bits.sum(axis=0, dtype=np.int32)
-        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True))
-    return out
-
-
-def text_fingerprint(text: str | None, words: int, long: int = 1) -> list[int]:
-    """Number of shingles of one text, and its fingerprint in ``long`` words, as signed 64-bit integers."""
+def text_fingerprint(text: str | None, words: int) -> tuple[int, int]:
+    """Number of shingles of one text, and its fingerprint as a signed 64-bit integer."""
     hashes = shingle_hashes(text, words)
-    return [len(hashes), *bit_majorities(hashes, long)]
-
-
-def band_values(distinct: np.ndarray) -> np.ndarray:
-    """One signed 64-bit integer for each band: a hash of its least hashes."""
-    least = np.full(BANDS * HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(distinct), 1024):
-        least = np.minimum(least, ((distinct[a: a + 1024, None] ^ _XOR) * _ODD).min(axis=0))
-    least = (least ^ (least >> np.uint64(29))) * _ODD  # so that the hashes of a band do not cancel out
-    return (least ^ (least >> np.uint64(32))).reshape(BANDS, HASHES).sum(axis=1, dtype=np.uint64).view(np.int64)
+    ones = np.zeros(BITS, np.int64)
+    for a in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[a: a + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return len(hashes), int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, long: int = 1, *, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(doc_id, n, fp, fp1, ...) of every whole text: its number of shingles and its fingerprint's words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["n", "fp", *(f"fp{k}" for k in range(1, long))]
+def fingerprints(docs: DataFrame, words: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, copy, n, fp) of every whole text: a hash of it, its number of shingles and its fingerprint."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = [text_fingerprint(x, words, long) for x in batch.column("text").to_pylist()]
-            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(long + 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+            found = [text_fingerprint(x, words) for x in batch.column("text").to_pylist()]
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), *columns], ["doc_id", "copy", "n", "fp"])
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names))
+    return rows.mapInArrow(run, f"doc_id {kind}, copy long, n long, fp long")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -289,127 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, **option
     return _components(fingerprints(docs, words, **options), ["fp"], searched=distance, distance=distance)
 
 
-def bits_apart(similarity: float, bits: int, slack: float = 3.0) -> int:
-    """Bits in which fingerprints of texts with that Jaccard similarity differ at most, but for about one pair in 700.
-
-    Sets of one size with Jaccard similarity j have the cosine 2 j / (1 + j),
-    and each bit differs with the probability angle / pi; ``slack`` standard
-    deviations are added.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-
-
-def sketches(docs: DataFrame, words: int, *, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, copy, node, n, fp, fp1, ..., bands) of every text; node stands for its set of n distinct shingles."""
-    from xxhash import xxh64_intdigest
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
-    names = ["fp", *(f"fp{k}" for k in range(1, LONG))]
-
-    def run(batches):
-        for batch in batches:
-            nodes, sizes, prints, bands = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                distinct = np.unique(shingle_hashes(text, words))
-                nodes.append(xxh64_intdigest(distinct.tobytes()))
-                sizes.append(len(distinct))
-                prints.append(bit_majorities(distinct, LONG))
-                bands.append(band_values(distinct))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("copy"), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                 pa.array(sizes, pa.int64()), *(pa.array([x[k] for x in prints], pa.int64()) for k in range(LONG)),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "copy", "node", "n", *names, "bands"])
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, copy long, node long, n long, "
-                           + ", ".join(f"{c} long" for c in names) + ", bands array<long>")
-
-
-def linked_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of sets of that Jaccard similarity at least, whose components are those of all such pairs."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.r_[0, np.cumsum(sizes)]
-    marked = np.zeros(len(names), bool)
-    left, out, reached = np.flatnonzero(sizes), [], []
-    held, at = flat, starts[left]
-    while len(left):
-        u = reached.pop() if reached else left[0]
-        own = flat[starts[u]: starts[u + 1]]
-        marked[own] = True
-        shared = np.add.reduceat(marked[held], at, dtype=np.int64)
-        marked[own] = False
-        near = shared >= similarity * (sizes[left] + sizes[u] - shared) - 1e-9
-        near |= left == u
-        if near.any():
-            found = left[near & (left != u)].tolist()
-            out += [(int(u), v) for v in found]
-            reached += found
-            left = left[~near]
-            if len(left):
-                held = np.concatenate([flat[starts[v]: starts[v + 1]] for v in left.tolist()])
-                at = np.r_[0, np.cumsum(sizes[left])[:-1]]
-    return out
-
-
-def _verify(words: int, similarity: float):
-    """Arrow function: links between the texts of a pair of blocks by their exact shingle sets."""
-    def run(batches):
-        for table, group in whole_groups(batches, ["root", "lo", "hi"], 2048):
-            node, texts = table.column("node").to_numpy(), table.column("text").to_pylist()
-            ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1
-            start = 0
-            for end in ends.tolist():
-                if end - start > 1:
-                    sets = [np.unique(shingle_hashes(x, words)) for x in texts[start:end]]
-                    pairs = np.array(linked_sets(sets, similarity), np.int64).reshape(-1, 2) + start
-                    if len(pairs):
-                        yield pa.RecordBatch.from_pydict({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
-                start = end
-    return run
-
-
-def _similar(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, copy, node, ...) of all documents, and (node, first) with the least (doc_id, copy) of its component.
-
-    Null ids are greater than all others there.
-    """
-    names = ["fp", *(f"fp{k}" for k in range(1, LONG))]
-    own = settle(sketches(docs, words, id_col=id_col, text_col=text_col), "sketches")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")
-    reps = settle(own.groupBy("node").agg(
-        F.min(key).alias("first"), *[F.first(c).alias(c) for c in ("n", *names, "bands")]), "distinct")
-    banded = reps.select("node", "n", *names, F.posexplode("bands").alias("part", "value"))
-    near = block_pairs(banded, ["part", "value"], "node").mapInArrow(
-        _compare(names, bits_apart(similarity, BITS * LONG), similarity), "a long, b long").distinct()
-    clusters = components(near).join(reps.select("node", "first"), "node").select(
-        F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("_copy"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
-    texts = texts.join(clusters, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")))
-    texts = settle(texts.select(F.col("_root").alias("root"), F.col("_node").alias("node"), "text"), "clusters")
-    texts = settle(texts.dropDuplicates(["root", "node"]), "texts")  # rows equal in id and text
-    exact = block_pairs(texts, ["root"], "node").mapInArrow(_verify(words, similarity), "a long, b long")
-    roots = components(exact).select(F.col("node").alias("linked"), "root")
-    merged = reps.select("node", "first").join(roots, F.col("node") == F.col("linked"), "left").select(
-        "node", "first", F.coalesce("root", "node").alias("root"))
-    least = merged.groupBy("root").agg(F.min("first").alias("first"))
-    return own, settle(merged.drop("first").join(least, "root").select(F.col("node").alias("named"), "first"), "firsts")
-
-
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """One row per document with the component of texts whose shingle sets have the Jaccard similarity or more.
-
-    Candidates share a band of least hashes, all 64 x ``LONG`` bits and the
-    numbers of shingles allow the similarity, and the sets of each cluster of
-    candidates are compared exactly, once for each distinct set.
-    """
-    own, named = _similar(docs, words, similarity, id_col, text_col)
-    return own.join(named, own["node"] == named["named"]).select(
-        "doc_id", "fp", *(f"fp{k}" for k in range(1, LONG)), F.col("first.doc_id").alias("component_id"))
-
-
-def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id",
+def first_copies(docs: DataFrame, words: int = 3, distance: int = 3, *, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """The documents that are the first of their component, with all their columns: one row of each component.
 
@@ -417,17 +264,24 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, *, id
     null one are kept or go each for itself. The first is the one of the least
     id, then of the least hash of its text, a null id being the last.
     """
-    own, named = _similar(docs, words, similarity, id_col, text_col)
-    rows = own.join(named, own["node"] == named["named"]).select(
-        "doc_id", "copy", F.col("first.doc_id").alias("first_id"), F.col("first.copy").alias("first_copy"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == F.col("first_copy"))
-    rows = settle(rows.select(F.col("doc_id").alias("_row_id"), F.col("copy").alias("_row_copy"), is_first.alias("_first")), "copies")
-    keyed = docs.withColumn("_text_copy", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_row_id")) & (F.col("_text_copy") == F.col("_row_copy"))
-    later = rows.filter(~F.col("_first")).select("_row_id", "_row_copy").distinct()
-    kept = keyed.join(later, same, "left_anti")
-    again = settle(rows.filter("_first").groupBy("_row_id", "_row_copy").count().filter("count > 1"), "again")
+    own = settle(fingerprints(docs, words, id_col=id_col, text_col=text_col), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")
+    reps = settle(own.groupBy("fp").agg(F.min(key).alias("first"), F.min("n").alias("n")), "distinct")
+    roots = components(links(reps.select(F.col("fp").alias("node"), "n", "fp"), ["fp"], searched=distance, distance=distance))
+    merged = reps.select("fp", "first").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = merged.groupBy("root").agg(F.min("first").alias("first"))
+    named = settle(merged.drop("first").join(least, "root").select("fp", "first"), "firsts")
+    row_id, row_copy, text_copy = unused(docs.columns, "row_id", "row_copy", "text_copy")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
+    rows = settle(own.join(named, "fp").select(
+        F.col("doc_id").alias(row_id), F.col("copy").alias(row_copy), is_first.alias("is_first")), "copies")
+    keyed = docs.withColumn(text_copy, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(row_id)) & (F.col(text_copy) == F.col(row_copy))
+    kept = keyed.join(rows.filter(~F.col("is_first")).select(row_id, row_copy).distinct(), same, "left_anti")
+    again = rows.filter("is_first").groupBy(row_id, row_copy).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = settle(again, "again")
     if not again.isEmpty():  # rows equal in id and text, of which one stays
         whole = settle(kept.join(again, same, "left_semi"), "repeated")
-        kept = kept.join(again, same, "left_anti").unionByName(whole.dropDuplicates([id_col, "_text_copy"]))
+        kept = kept.join(again, same, "left_anti").unionByName(whole.dropDuplicates([id_col, text_copy]))
     return kept.select(*docs.columns)

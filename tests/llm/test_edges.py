@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from brute import fingerprint, least_reached
 
 from seepage.llm import (
     decontaminate, embeddings, language, line_dedup, packing, sharding, simhash, token_counts, token_files, toxicity,
@@ -10,12 +11,12 @@ from seepage.llm import (
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SPACED, PLAIN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 CLASH = ("doc, copy, pos, line, node, fp, n, component_id, bucket, shard, size, ids, sig, part, value, lo, hi, own, gone, "
-         "held_out, score, words, runs, at, edits, tokens, chars, root, later_id, bad_id, dirty_id").split(", ")
+         "held_out, score, words, runs, at, edits, tokens, chars, root, later_id, bad_id, dirty_id, dirty_copy, row_id, _row_id, row_copy, "
+         "text_copy, _text_copy, line_id, line_copy, line_gone, _line_copy, _line_id, _dirty_id, _dirty_copy").split(", ")
 
 OPERATORS = {
     "packing": lambda d, i, l: packing.pack(d, SPACED),
     "simhash": lambda d, i, l: simhash.near_duplicates(d),
-    "similar": lambda d, i, l: simhash.similar_texts(d),
     "counts": lambda d, i, l: token_counts.counts(token_counts.apply_edits(
         token_counts.trees(d.drop("edits").withColumn("edits", token_counts.derived_edits()), SPACED, keep=("edits",)), SPACED)),
     "lines": lambda d, i, l: line_dedup.digest(line_dedup.without_repeats(d)),
@@ -89,6 +90,27 @@ def test_stages_keep_columns(spark, tables, tmp_path):
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def near_copy(text):
+    """The text with one word changed, at the first place where its fingerprint stays within three bits."""
+    own = text.split()
+    for k in range(len(own)):
+        other = " ".join(["changed" if i == k else w for i, w in enumerate(own)])
+        if bin(fingerprint(text) ^ fingerprint(other)).count("1") <= 3:
+            return other
+    raise AssertionError("no such place")
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    """The stage's decisions against fingerprints of a plain version, compared pair by pair."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(rows)
+    prints = [fingerprint(rows[i]) for i in ids]
+    want = least_reached(ids, lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, first in zip(ids, want) if i == first}
+
+
 def test_pipeline_decisions(spark, tmp_path):
     """Exact and near copies, a shared passage, a benchmark passage and texts without letters, and nothing else."""
     import random
@@ -99,7 +121,7 @@ def test_pipeline_decisions(spark, tmp_path):
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     passage, bench = text(70), text(12)
     rows = [(i, text(300)) for i in range(40)]
-    rows += [(100, rows[0][1]), (101, " ".join(w if k != 150 else "changed" for k, w in enumerate(rows[1][1].split()))),
+    rows += [(100, rows[0][1]), (101, near_copy(rows[1][1])),
              (102, text(100) + "\n" + passage + "\n" + text(20)), (103, text(100) + "\n" + passage + "\n" + text(20)),
              (104, text(80) + " " + bench + " " + text(80)), (105, "12 34"), (106, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],

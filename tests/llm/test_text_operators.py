@@ -103,8 +103,10 @@ def test_packing_asks_for_all_terms():
     seed = np.arange(200)
     docs = [seed, *[np.r_[np.arange(8 * k, 8 * k + 8), 1000 + k] for k in range(20)], np.r_[180:200, 2000:2010]]
     docs += [np.r_[180:200, 3000 + 10 * k: 3010 + 10 * k] for k in range(8)] + [np.arange(5000 + 20 * k, 5020 + 20 * k) for k in range(60)]
-    scores = packing.Index([d.astype("<u2") for d in docs]).scores(0)
-    assert (scores[:30] > 0).all() and (scores[30:] == 0).all()
+    index = packing.Index([d.astype("<u2") for d in docs])
+    index.used[0] = True
+    found = index.neighbours(0)
+    assert sorted(next(found) for _ in range(29)) == list(range(1, 30))
 
 
 def test_simhash(docs, rows):
@@ -133,54 +135,6 @@ def test_simhash_in_blocks(spark, monkeypatch):
         assert {f: roots.get(f, f) for f in fps} == want
 
 
-def test_similar_texts(spark):
-    rng = random.Random(3)
-    base = [f"v{i}" for i in range(400)]
-    rows = [(0, " ".join(base))]
-    rows += [(i, " ".join("z" if k in (50 * i, 50 * i + 7) else w for k, w in enumerate(base))) for i in range(1, 5)]
-    rows += [(i, " ".join(rng.choice(base) for _ in range(400))) for i in range(10, 60)] + [(90, None), (91, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.first_copies(df).collect()}
-    assert kept == {0, *range(10, 60), 90}
-
-
-def shared_beginning(tag, shingles, common):
-    """Two texts of that many shingles of five words, of which they share ``common``."""
-    begin = [f"{tag}w{i}" for i in range(common + 4)]
-    return [" ".join(begin + [f"{tag}{side}{i}" for i in range(shingles - common)]) for side in "xy"]
-
-
-def test_similar_texts_at_the_limit(spark):
-    """Pairs of Jaccard similarity 0.75, 0.80 and 0.85: only the first are kept whole."""
-    rows, kinds = [], [(175, 150), (180, 160), (185, 170)]
-    for i in range(40):
-        for k, (n, common) in enumerate(kinds):
-            a, b = shared_beginning(f"p{k}q{i}", n, common)
-            rows += [(1000 * k + 2 * i, a), (1000 * k + 2 * i + 1, b)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.first_copies(df).select("doc_id").collect()}
-    assert kept == {*range(80), *range(1000, 1080, 2), *range(2000, 2080, 2)}
-
-
-def test_similar_texts_count_a_shingle_once(spark):
-    """Texts that repeat one word more than all else: different ones stay, near copies with fewer repeats go."""
-    rows = [(i, "for " * 400 + " ".join(f"t{i}w{k}" for k in range(120))) for i in range(6)]
-    rows += [(10 + i, "for " * 8 + " ".join(f"t{i}w{k}" for k in range(118))) for i in range(3)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()}
-    assert found == {**{i: i for i in range(6)}, 10: 0, 11: 1, 12: 2}
-
-
-def test_linked_sets():
-    rng = np.random.default_rng(5)
-    base = [rng.choice(1000, 60, replace=False) for _ in range(4)]
-    sets = [np.unique(np.r_[rng.choice(base[i % 4], 55, replace=False), rng.choice(1000, i % 7)]).astype(np.uint64) for i in range(80)]
-    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
-    pairs = simhash.linked_sets(sets, 0.8)
-    assert all(alike(i, j) for i, j in pairs)
-    assert least_reached(range(80), lambda i, j: (i, j) in pairs or (j, i) in pairs) == least_reached(range(80), alike)
-
-
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 16))
