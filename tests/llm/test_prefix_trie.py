@@ -73,14 +73,10 @@ def test_a_conversation_across_many_tasks(spark):
     rows = [(c, i, "u", f"t{i % 5}") for c in (41, 43) for i in range(400 + 30 * (c == 43))]
     rows += [(60, 0, "u", "same")] * 500 + [(61, 0, "u", "same")] * 500 + [(62, 0, "v", "w " * 5000)]
     got = found(spark, rows)
-    want = sorted(plain_long(rows), key=lambda r: (r[0], r[1]))
+    want = sorted(plain(rows), key=lambda r: (r[0], r[1]))
     assert got == want
 
 
-def plain_long(rows):
-    return plain(rows)
-
-
 def test_running_sums_do_not_depend_on_tasks(spark):
     lanes = P.Lanes()
     rows = [(7, i, "u", str(i)) for i in range(300)] + [(c, 0, "u", "x") for c in range(50, 80)]
