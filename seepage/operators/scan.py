@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seepage import rules as R
 from seepage.functions import text as X
+from seepage.operators.matching import lookup_join, pattern_hits
+from seepage.session import fits, settle
 
 MAX_USER_RULES = 500
 
@@ -91,3 +93,38 @@ def rules_from(rows: DataFrame, builtin=()) -> tuple:
         except (SparkRuntimeException, IllegalArgumentException, Py4JJavaError, AnalysisException) as e:
             raise ValueError(f"rule {r.kind!r}: {str(e).splitlines()[0]}") from e
     return tuple(builtin) + tuple(R.Rule(r.kind, r.pattern) for r in sorted(got))
+
+
+def scan_rule_table(df: DataFrame, keys, text: str, rules: DataFrame) -> DataFrame:
+    """One row per (keys, kind, pattern) with the match count and masked samples, for a rule table of any number of rows.
+
+    ``rules`` has kind, pattern and hint: a string that every text the pattern
+    matches contains, whatever its case, or null. Rules with a hint meet the
+    texts that hold it through the n-gram index of ``pattern_hits``, so a text
+    is searched for those rules only; nothing is collected. Rules without one
+    must be tried on every text; they are one value that tasks receive, and are
+    refused beyond the broadcast bounds. An equal rule counts once. Every pattern
+    is tried by the engine that will run it before the job starts. A null text
+    has no matches; a row that occurs twice has its matches twice.
+    """
+    hint = F.nullif(F.lower(F.col("hint")), F.lit(""))
+    rules = settle(rules.select("kind", "pattern", hint.alias("hint")).distinct().where("kind IS NOT NULL AND pattern IS NOT NULL"), "rules")
+    try:
+        rules.agg(F.sum(F.regexp_count(F.substring("kind", 1, 0), F.col("pattern")))).collect()
+    except (SparkRuntimeException, IllegalArgumentException, Py4JJavaError) as e:
+        raise ValueError(f"a rule's pattern: {str(e).splitlines()[0]}") from e
+    names = [f"_own{i}" for i in range(len(keys))]
+    texts = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("_text"))
+    hinted = rules.where("hint IS NOT NULL")
+    met = pattern_hits(texts, [*names, "_text"], "_text", hinted, "hint")
+    tried = [lookup_join(met, hinted, "hint").select(*names, "_text", "kind", "pattern")]
+    bare = rules.where("hint IS NULL").select("kind", "pattern")
+    if not fits(bare):
+        raise ValueError("more rules without a hint than a broadcast may hold")
+    listed = bare.agg(F.sort_array(F.collect_list(F.struct("kind", "pattern"))))
+    tried.append(texts.withColumn("_r", F.explode(listed.scalar())).select(*names, "_text", "_r.kind", "_r.pattern"))
+    hits = F.regexp_extract_all("_text", F.col("pattern"), F.lit(0))
+    found = tried[0].unionByName(tried[1]).select(*names, "kind", "pattern", hits.alias("_hits")).where(F.size("_hits") > 0)
+    return found.select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)], "kind", "pattern", F.size("_hits").alias("match_count"),
+        X.shown_samples(F.col("_hits"), "masked").alias("sample_matches"))

@@ -8,6 +8,7 @@ from seepage import rules as R
 from seepage.operators import certs as K
 from seepage.operators import dumps as L
 from seepage.operators import flat
+from seepage.operators.order import placed
 from seepage.operators import roster as M
 from seepage.plans import duck as D
 from seepage.plans.registry import query
@@ -132,6 +133,17 @@ def ct_dedupe(t):
     return unique_certs(t).select("id", "logged_at", "serial_number", "issuer", "expired")
 
 
+@query(
+    "certs_in_order",
+    f"SELECT id, logged_at, issuer, row_number() OVER (ORDER BY logged_at DESC NULLS LAST, id) AS place FROM {UNIQUE}",
+    ("ct_entries",),
+)
+def certs_in_order(t):
+    """Certificates with their places, newest log time first."""
+    certs = unique_certs(t).select("id", "logged_at", "issuer")
+    return placed(certs, F.desc_nulls_last("logged_at"), "id")
+
+
 @query(
     "ct_stats",
     f"""SELECT count(*) AS total_certificates, count(DISTINCT issuer) AS unique_issuers,

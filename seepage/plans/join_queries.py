@@ -15,6 +15,7 @@ from seepage.operators import pages as G
 from seepage.operators import roster as M
 from seepage.operators import scan as S
 from seepage.operators import score as C
+from seepage.operators.order import placed
 from seepage.plans import duck as D
 from seepage.plans.registry import query
 from seepage.sources.sinks import stamped
@@ -239,6 +240,33 @@ def union_distinct_sources(t):
     return U.union_distinct([harvested, observed, roles]).orderBy("email")
 
 
+@query(
+    "sources_in_order",
+    f"SELECT email, row_number() OVER (ORDER BY email) AS place FROM (SELECT DISTINCT email FROM"
+    f" (SELECT unnest({D.emails('text')}) AS email FROM documents UNION ALL SELECT lower(address) FROM observed"
+    " UNION ALL SELECT 'admin@' || domain FROM corp_domains))",
+    ("observed", "corp_domains"),
+)
+def sources_in_order(t):
+    """Addresses of all sources with their places in the sorted list."""
+    harvested = t.documents.select(F.explode(X.emails("text")).alias("email"))
+    observed = t.observed.select(X.normalise_email("address").alias("email"))
+    roles = M.role_mailboxes(t.corp_domains, ("admin@{domain}",)).select("email")
+    return placed(U.union_distinct([harvested, observed, roles]), "email")
+
+
+@query(
+    "hosts_in_order",
+    f"SELECT host, pos, row_number() OVER (ORDER BY pos, host) AS place FROM (SELECT host, min(pos) AS pos FROM"
+    f" (SELECT {D.clean_domain('url')} AS host, l_orderkey * 10 + l_linenumber AS pos FROM urls) GROUP BY 1)",
+    ("urls",),
+)
+def hosts_in_order(t):
+    """Hosts by first position, with their places."""
+    hosts = t.urls.select(H.clean_domain("url").alias("host"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos"))
+    return placed(hosts.groupBy("host").agg(F.min("pos").alias("pos")), "pos", "host")
+
+
 @query(
     "union_tagged",
     "SELECT engine AS found_by, l_partkey % 7 AS bucket, count(*) AS n FROM hits GROUP BY 1, 2",

@@ -84,10 +84,10 @@ def write_files(rows, folder: str) -> None:
 PER_FILE = 10
 
 
-def _grouped(t):
-    """(g, docs): the texts of ten neighbouring ids, in order."""
+def _grouped(t, per: int = PER_FILE):
+    """(g, docs): the texts of ``per`` neighbouring ids, in order."""
     one = F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return t.documents.groupBy(F.floor(F.col("doc_id") / PER_FILE).cast("bigint").alias("g")).agg(
+    return t.documents.groupBy(F.floor(F.col("doc_id") / per).cast("bigint").alias("g")).agg(
         F.array_sort(F.collect_list(one)).alias("docs"))
 
 
@@ -148,6 +148,24 @@ def scan_zip_dump(t):
     return lines.select(F.regexp_extract("source_file", r"(\d+\.zip/in/.*)$", 1).alias("source_file"), "line")
 
 
+PER_ARCHIVE = 50
+
+
+@query(
+    "scan_zip_members",
+    f"SELECT source_file, line FROM (SELECT doc_id // {PER_ARCHIVE} || '.zip/in/' || doc_id || '.txt' AS source_file,"
+    f" {D.strip('l')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE line <> ''",
+)
+def scan_zip_members(t):
+    """Archives of many members, each member read by a task of its own choice."""
+    base = scratch(t.spark, "zips")
+    content = _file_of(lambda g, docs: _zip_bytes([(f"in/{i}.txt", text) for i, text in docs]))
+    archives = _grouped(t, PER_ARCHIVE).select(F.concat("g", F.lit(".zip")).alias("name"), content("g", "docs").alias("content"))
+    write_files(archives, base)
+    lines = files.scan_dump(t.spark, base, (".zip",), by_member=True)
+    return lines.select(F.regexp_extract("source_file", r"(\d+\.zip/in/.*)$", 1).alias("source_file"), "line")
+
+
 SKIPPED_NAME = "g || CASE g % 5 WHEN 0 THEN '.zip' WHEN 1 THEN '.GZ' WHEN 2 THEN '.gz' WHEN 3 THEN '.ZIP' ELSE '.csv' END"
 TEXT_CAP = 20_000
 

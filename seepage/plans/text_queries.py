@@ -115,6 +115,19 @@ def custom_rules(t):
     return shown(S.scan_kinds(t.documents, ["doc_id"], "text", rules), "doc_id")
 
 
+@query(
+    "rule_table_hits",
+    f"SELECT doc_id, kind, pattern, CAST(len(m) AS INTEGER) AS match_count, {D.samples('m', 'masked')} AS samples"
+    " FROM (SELECT doc_id, kind, pattern, regexp_extract_all(text, pattern) AS m FROM documents JOIN rule_table"
+    " ON hint IS NULL OR contains(lower(text), hint)) WHERE len(m) > 0",
+    ("rule_table",),
+)
+def rule_table_hits(t):
+    """A rule of every document's word against all texts, and rules without a hint."""
+    found = S.scan_rule_table(t.documents, ["doc_id"], "text", t.rule_table)
+    return shown(found, "doc_id", "pattern")
+
+
 @query("secrets_masked", D.secrets("planted", "doc_id", "text", R.CODE_RULES + R.CHAT_RULES, SALT), ("planted",))
 def secrets_masked(t):
     return S.scan_secrets(t.planted, ["doc_id"], "text", R.CODE_RULES + R.CHAT_RULES, SALT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from seepage import rules as R
 from seepage.functions.text import strip
+from seepage.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -22,6 +24,8 @@ CT_ENTRY = (
     " issuer_name string, serial_number string, name_value string"
 )
 _LINE_BATCH = 10_000
+#: Packed bytes of archive members that one task unpacks.
+MEMBER_TASK_BYTES = 64 << 20
 
 
 def _any_case(extension: str) -> str:
@@ -147,6 +151,91 @@ def zip_lines(archives: DataFrame, max_member_bytes: int | None = None, on_error
     return _unpacked(archives, members, on_error)
 
 
+def _opened(path: str):
+    """A seekable file of a path as Spark names it, on a mounted file system or one that Arrow knows."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+
+    scheme = urlparse(path).scheme
+    if scheme in ("", "file"):
+        return open(unquote(urlparse(path).path) if scheme else path, "rb")
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def zip_entries(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, entry, member, packed, size, problem) of every member of the zip archives below a directory, from their central directories.
+
+    No archive is read beyond its directory of members. ``entry`` is a member's
+    place there; an archive that has none gives one row with a ``problem``.
+    """
+    def listed(batches):
+        import zipfile
+
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    with _opened(path) as file, zipfile.ZipFile(file) as archive:
+                        rows += [(path, i, m.filename, m.compress_size, m.file_size, None)
+                                 for i, m in enumerate(archive.infolist()) if not m.is_dir()]
+                except zipfile.BadZipFile:
+                    rows.append((path, None, None, 0, 0, "unreadable"))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    schema = pa.schema([("path", pa.string()), ("entry", pa.int64()), ("member", pa.string()), ("packed", pa.int64()),
+                        ("size", pa.int64()), ("problem", pa.string())])
+    archives = binary_files(spark, path, ".zip", max_bytes).select("path")
+    return archives.mapInArrow(listed, "path string, entry long, member string, packed long, size long, problem string")
+
+
+def zip_member_lines(spark: SparkSession, path: str, max_bytes: int | None = None, max_member_bytes: int | None = None,
+                     on_error: str = "skip", tasks: int | None = None) -> DataFrame:
+    """Lines of the members of all zip archives below a directory, as ``zip_lines`` gives them, each member by a task of its own choice.
+
+    The members of the archives' central directories are dealt out to tasks,
+    which seek to each member and unpack it as a stream, so an archive of many
+    members is read by many tasks and never held. There are ``tasks`` of them, or
+    one for each 64 MB of packed members and one a slot at least. The archives lie on a mounted file
+    system or one that Arrow knows; ``zip_lines`` reads those that only Spark does.
+    """
+    entries = settle(zip_entries(spark, path, max_bytes), "members")
+    if on_error == "raise" and (bad := entries.where("problem IS NOT NULL").first()):
+        raise ValueError(f"{bad.path}: {bad.problem}")
+    chosen = entries.where("problem IS NULL")
+    if max_member_bytes is not None:
+        over = F.col("size") > max_member_bytes
+        if on_error == "raise" and (bad := chosen.where(over).first()):
+            raise ValueError(f"{bad.path}/{bad.member}: oversize")
+        chosen = chosen.where(~over)
+    if tasks is None:
+        packed = chosen.agg(F.sum("packed")).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, -(-packed // MEMBER_TASK_BYTES))
+
+    def lines(batches):
+        import zipfile
+        import zlib
+
+        def of(path, entries):
+            with _opened(path) as file, zipfile.ZipFile(file) as archive:
+                members = archive.infolist()
+                for entry in entries:
+                    name = f"{path}/{members[entry].filename}"
+                    try:
+                        with archive.open(members[entry]) as member:
+                            for raw in member:
+                                yield name, raw.decode("utf-8", errors="ignore")
+                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, EOFError, zlib.error):
+                        if on_error == "raise":
+                            raise ValueError(f"{name}: unreadable") from None
+
+        for batch in batches:  # a task's members are in the order of their archives, so each is opened once a batch
+            for path, rows in groupby(zip(batch.column("path").to_pylist(), batch.column("entry").to_pylist()), lambda r: r[0]):
+                yield from _line_batches(of(path, [entry for _, entry in rows]))
+    dealt = chosen.select("path", "entry").repartition(tasks).sortWithinPartitions("path", "entry")
+    return _clean_lines(dealt.mapInArrow(lines, LINES))
+
+
 def skipped_files(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS, max_bytes: int | None = None,
                   max_member_bytes: int | None = None) -> DataFrame:
     """(path, length, reason) of every file and archive member below a directory that ``scan_dump`` gives no lines of.
@@ -185,17 +274,19 @@ def skipped_files(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS,
 
 
 def scan_dump(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS, max_bytes: int | None = None,
-              spread: int | None = None, max_member_bytes: int | None = None) -> DataFrame:
+              spread: int | None = None, max_member_bytes: int | None = None, by_member: bool = False) -> DataFrame:
     """Lines of all dump files below a directory: text, gzip and zip, by the listed extensions in any case.
 
     Without caps every file is read; what is skipped is in ``skipped_files``. A
     gzip or zip file is read by one task; ``spread`` deals its lines out to
-    that many tasks before they are searched.
+    that many tasks before they are searched. With ``by_member`` zip archives
+    are read by ``zip_member_lines``, each by as many tasks as its members take.
     """
     plain = tuple(e for e in extensions if e.lower() != ".zip")
     frames = [scan_text_dump(spark, path, plain, max_bytes)] if plain else []
     if len(plain) < len(extensions):
-        frames.append(zip_lines(binary_files(spark, path, ".zip", max_bytes), max_member_bytes))
+        frames.append(zip_member_lines(spark, path, max_bytes, max_member_bytes) if by_member
+                      else zip_lines(binary_files(spark, path, ".zip", max_bytes), max_member_bytes))
     lines = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     return lines.repartition(spread) if spread else lines
 
