@@ -103,7 +103,7 @@ def scan_rule_table(df: DataFrame, keys, text: str, rules: DataFrame) -> DataFra
     texts that hold it through the n-gram index of ``pattern_hits``, so a text
     is searched for those rules only; nothing is collected. Rules without one
     must be tried on every text; they are one value that tasks receive, and are
-    refused beyond the broadcast bounds. An equal rule counts once. Every pattern
+    refused beyond the broadcast bounds. An equal rule counts once, and one without a kind or pattern is none. Every pattern
     is tried by the engine that will run it before the job starts. A null text
     has no matches; a row that occurs twice has its matches twice.
     """
