@@ -243,13 +243,6 @@ FROM (SELECT doc_id, """ + _SITE + """ AS site,
         " ELSE concat('[Ss]ecret = \"[^\"]', chr(123), '10,', chr(125), '\"') END AS pattern FROM {region}",
         ("region",),
     ),
-    # A rule for a word of every document, with the word as hint, and the user rules without one.
-    "rule_table": (
-        "SELECT DISTINCT concat('word', CAST(doc_id AS STRING)) AS kind, concat(w, '[a-z]*[.,]') AS pattern, w AS hint"
-        " FROM (SELECT doc_id, lower(regexp_extract(text, '([A-Za-z]+[a-z][a-z][a-z][a-z][a-z]) ', 1)) AS w FROM {documents}) WHERE w <> ''"
-        " UNION ALL SELECT kind, pattern, CAST(NULL AS STRING) AS hint FROM {rule_rows}",
-        ("documents", "rule_rows"),
-    ),
     # Templates that a user brings, one a region; angle brackets stand for braces, which Spark's SQL strings would fill.
     "mail_templates": (
         "SELECT translate(concat(CASE r_regionkey % 5 WHEN 0 THEN '<first>-<last>' WHEN 1 THEN '<l>.<first>' WHEN 2 THEN 'x<f><l>'"

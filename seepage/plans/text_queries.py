@@ -115,17 +115,25 @@ def custom_rules(t):
     return shown(S.scan_kinds(t.documents, ["doc_id"], "text", rules), "doc_id")
 
 
+LONG_WORD = "[A-Za-z][a-z][a-z][a-z][a-z][a-z]+"
+
+
 @query(
     "rule_table_hits",
-    f"SELECT doc_id, kind, pattern, CAST(len(m) AS INTEGER) AS match_count, {D.samples('m', 'masked')} AS samples"
-    " FROM (SELECT doc_id, kind, pattern, regexp_extract_all(text, pattern) AS m FROM documents JOIN rule_table"
+    "SELECT doc_id, kind, pattern, CAST(len(m) AS INTEGER) AS match_count, " + D.samples("m", "masked") + " AS samples"
+    " FROM (SELECT doc_id, kind, pattern, regexp_extract_all(text, pattern) AS m FROM documents JOIN"
+    " (SELECT DISTINCT 'word' AS kind, w || '[a-z]*[.,]' AS pattern, w AS hint"
+    f" FROM (SELECT lower(unnest(regexp_extract_all(text, '{LONG_WORD}'))) AS w FROM benchmark)"
+    " UNION ALL SELECT kind, pattern, NULL FROM rule_rows)"
     " ON hint IS NULL OR contains(lower(text), hint)) WHERE len(m) > 0",
-    ("rule_table",),
+    ("rule_rows",),
 )
 def rule_table_hits(t):
-    """A rule of every document's word against all texts, and rules without a hint."""
-    found = S.scan_rule_table(t.documents, ["doc_id"], "text", t.rule_table)
-    return shown(found, "doc_id", "pattern")
+    """A rule for every long word of the benchmark against all texts, and rules without a hint."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0))).alias("w")).select(F.lower("w").alias("w"))
+    rules = words.distinct().select(F.lit("word").alias("kind"), F.concat("w", F.lit("[a-z]*[.,]")).alias("pattern"), F.col("w").alias("hint"))
+    rules = rules.unionByName(t.rule_rows.select("kind", "pattern", F.lit(None).cast("string").alias("hint")))
+    return shown(S.scan_rule_table(t.documents, ["doc_id"], "text", rules), "doc_id", "pattern")
 
 
 @query("secrets_masked", D.secrets("planted", "doc_id", "text", R.CODE_RULES + R.CHAT_RULES, SALT), ("planted",))
