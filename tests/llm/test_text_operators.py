@@ -181,6 +181,29 @@ def test_embedding_cells_lose_no_link():
         assert min(homes[i], homes[j]) in cells[i] & cells[j]
 
 
+def test_embedding_vectors_are_not_copied_for_their_pairs(spark, monkeypatch):
+    """Only places of blocks are dealt out, whatever the number of cells; many blocks and cells give the plain links."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(240, 12))
+    x[120:200] = x[:80] + 0.02 * rng.normal(size=(80, 12))
+    x[200:] = x[7]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    settle, plans, cells = embeddings.settle, {}, []
+    monkeypatch.setattr(embeddings, "PER_CELL", 10)
+    fit = embeddings.fit_centres
+    monkeypatch.setattr(embeddings, "fit_centres", lambda *a, **b: cells.append(len(out := fit(*a, **b))) or out)
+    monkeypatch.setattr(embeddings, "settle", lambda d, name: plans.setdefault(
+        name, d._jdf.queryExecution().optimizedPlan().toString()) and settle(d, name))
+    found = {r.vec_id: r for r in embeddings.near_vectors(df, block=16).collect()}
+    assert cells[0] > 5 and "vector" not in plans["cosines"].replace("/vectors-", "")
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (np.arange(240)[:, None] % 2 == np.arange(240) % 2) & ~np.eye(240, dtype=bool)
+    want = least_reached(range(240), lambda i, j: near[i, j])
+    assert [(found[i].n_links, found[i].component_id) for i in range(240)] == [(near[i].sum(), want[i]) for i in range(240)]
+
+
 def test_segment_trees(rows):
     rng, ids = random.Random(6), exact(SPACED)
     count = token_counts._count(SPACED, True)
