@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from seepage import rules as R
 from seepage.functions import hosts as H
 from seepage.functions import text as X
+from seepage.functions.pieces import pieces
 from seepage.operators.dedupe import keep_first
 from seepage.session import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, fits, settle
 
@@ -145,7 +147,7 @@ def _byte_grams(gram: int, sizes: tuple[int, ...] | None, marks=None):
     With ``sizes`` runs of these sizes that ``marks`` (a broadcast) lets
     through; without, of ``gram`` bytes or of the whole of a shorter text.
     """
-    def found(texts: pa.Array) -> pa.Array:
+    def of_piece(texts):
         held = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
         ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset: held.offset + len(held) + 1]
         data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[ends[0]: ends[-1]].astype(np.uint64)
@@ -177,6 +179,11 @@ def _byte_grams(gram: int, sizes: tuple[int, ...] | None, marks=None):
         counts = np.bincount(rows[new], minlength=len(room))
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values[new].astype(np.int64)))
 
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts, in pieces([batch]):  # some ninety bytes are held for each byte of a piece
+                yield of_piece(texts)
+
     return F.arrow_udf(found, T.ArrayType(T.LongType()))
 
 
@@ -192,7 +199,7 @@ def pattern_hits(corpus: DataFrame, keys, text: str, patterns: DataFrame, patter
     of phrases are broadcast within the measured bounds of ``lookup_join``, so
     that those of texts need no shuffle; beyond them grams and then the texts they point
     to are joined by key, where Spark splits hot ones. Phrases are never
-    collected. A text's grams are held at once, as the text is. A null text
+    collected. The grams of a piece of a batch, or of one long text, are held at once. A null text
     holds nothing; the empty phrase is none. A row of keys that occurs twice
     has its hits twice.
     """
