@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from seepage.session import fits, settle
 
 
+#: A key of this many rows is hot. There are at most MOST_HOT of them: with more rows in all, more make a key hot.
+HOT_ROWS = 1_000
+MOST_HOT = 100_000
 #: Bits of the types that a packed rank may hold.
 _BITS = {"boolean": 1, "tinyint": 8, "smallint": 16, "int": 32, "bigint": 64, "date": 32, "timestamp": 64}
 
@@ -46,7 +49,10 @@ def keep_first(df: DataFrame, keys, order, unique: bool = False, where: Column |
     columns are also of fixed width, nothing is sorted and no row moves: a hash
     aggregate of keys and ranks finds the keys that repeat and their least
     rank, with a map-side part, and the rows are filtered by that table, which
-    is broadcast if it is small (measured) and joined by key otherwise.
+    is broadcast if it is small (measured) and joined by key otherwise. Before
+    a join by key, rows of hot keys are filtered by those keys, which are
+    broadcast, so one row of each is left, and rows for which ``where`` does not
+    hold are dealt out by their ranks: no task gets the rows of one key.
     Otherwise the rows go through a sorted aggregate; the remaining columns
     do not break ties. Rows for which ``where`` does not hold are all kept.
     """
@@ -60,14 +66,24 @@ def keep_first(df: DataFrame, keys, order, unique: bool = False, where: Column |
         return first if where is None else first.unionByName(df.where(~F.coalesce(where, F.lit(False))))
     names = [f"_key{i}" for i in range(len(keys))]
     narrow = (df if where is None else df.where(where)).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], rank.alias("_rank"))
-    repeated = narrow.groupBy(*names).agg(F.min("_rank").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    repeated = settle(repeated, "repeated")
+    repeated = narrow.groupBy(*names).agg(F.min("_rank").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = settle(repeated.withColumn("_deal", F.lit(0).cast("long")), "repeated")  # a written column stays a join key
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
-    joined = df.withColumn("_rank", rank).join(F.broadcast(repeated) if fits(repeated) else repeated, same, "left")
     kept = F.col("_least").isNull() | (F.col("_rank") == F.col("_least"))
     if where is not None:
         kept = kept | ~F.coalesce(where, F.lit(False))
-    return joined.where(kept).select(*df.columns)
+    ranked, least = df.withColumn("_rank", rank), [*names, "_least"]
+    if fits(repeated.select(*least)):
+        return ranked.join(F.broadcast(repeated.select(*least)), same, "left").where(kept).select(*df.columns)
+    hot = F.col("_n") >= max(HOT_ROWS, (repeated.agg(F.sum("_n")).first()[0] or 0) // MOST_HOT)
+    few = repeated.where(hot).select(*least)
+    if fits(few):
+        ranked = ranked.join(F.broadcast(few), same, "left").where(kept).select(*df.columns, "_rank")
+        repeated = repeated.where(~hot)
+    if where is not None:
+        ranked = ranked.withColumn("_own", F.when(where, F.lit(0)).otherwise(F.xxhash64("_rank")))
+        same = same & (F.col("_own") == F.col("_deal"))
+    return ranked.join(repeated.select(*least, "_deal"), same, "left").where(kept).select(*df.columns)
 
 
 def keep_first_or_empty(df: DataFrame, key: str, order, unique: bool = False) -> DataFrame:
