@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seepage import rules as R
+from seepage.functions.pieces import PIECE, pieces
 from seepage.functions.text import strip
 from seepage.session import settle
 
@@ -72,13 +74,14 @@ def binary_files(spark: SparkSession, path: str, extension: str, max_bytes: int
 
 
 def _line_batches(source_lines):
-    names, lines = [], []
+    names, lines, size = [], [], 0
     for name, line in source_lines:
         names.append(name)
         lines.append(line)
-        if len(lines) >= _LINE_BATCH:
+        size += len(name) + len(line)
+        if len(lines) >= _LINE_BATCH or size >= PIECE:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines)], names=["source_file", "line"])
-            names, lines = [], []
+            names, lines, size = [], [], 0
     if lines:
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines)], names=["source_file", "line"])
 
@@ -254,8 +257,8 @@ def skipped_files(spark: SparkSession, path: str, extensions=R.DUMP_EXTENSIONS,
         def run(batches):
             for batch in batches:
                 found = []
-                for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                    own = []
+                for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    own, content = [], content.as_py()  # one file at a time
                     for _ in members(file, content, lambda name, why: own.append((name, why))):  # noqa: B023
                         pass
                     found += [(name, len(content), why) for name, why in own]
@@ -396,10 +399,12 @@ _OFFICE = T.ArrayType(
 
 
 @F.arrow_udf(_OFFICE)
-def _office(content: pa.Array, kind: pa.Array) -> pa.Array:
-    rows = (_read_office(c.as_py(), k.as_py()) for c, k in zip(content, kind))
+def _office(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     item = pa.struct([("text", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))])
-    return pa.array([[] if r is None else [r] for r in rows], pa.list_(item))
+    for batch in batches:
+        for content, kind in pieces(batch):
+            rows = (_read_office(c.as_py(), k.as_py()) for c, k in zip(content, kind))
+            yield pa.array([[] if r is None else [r] for r in rows], pa.list_(item))
 
 
 def office_scan(files: DataFrame, keys=("path",), kind: str | None = None) -> DataFrame:
