@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import sys
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from seepage import rules as R
 from seepage.functions import text as X
+from seepage.functions.pieces import pieces
 from seepage.operators import scan as S
 from seepage.operators import score as C
 from seepage.plans import duck as D
@@ -52,11 +54,16 @@ def ct_load(t):
     return files.load_certificate_log(t.spark, path, multi_line=False)
 
 
+#: Entries of a file that holds a JSON array, in the mean: an array is built and read as one row.
+PER_ARRAY = 7_500
+
+
 @query("ct_load_arrays", "SELECT * FROM ct_entries", ("ct_entries",))
 def ct_load_arrays(t):
-    """Files that hold one JSON array each."""
+    """Files that hold one JSON array each, of some thousand entries at any number of them."""
+    n_files = max(20, -(-t.ct_entries.count() // PER_ARRAY))
     row = F.to_json(F.struct(*t.ct_entries.columns), {"ignoreNullFields": "false"})
-    grouped = t.ct_entries.select((F.crc32(F.col("id").cast("string").cast("binary")) % 20).alias("g"), row.alias("j"))
+    grouped = t.ct_entries.select((F.crc32(F.col("id").cast("string").cast("binary")) % n_files).alias("g"), row.alias("j"))
     arrays = grouped.groupBy("g").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("a"))
     base = scratch(t.spark, "ct")
     write_files(arrays.select(F.concat("g", F.lit(".json")).alias("name"), F.col("a").cast("binary").alias("content")), base)
@@ -74,9 +81,9 @@ def write_files(rows, folder: str) -> None:
         fs, root = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
         fs.create_dir(root, recursive=True)
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
                 with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
-                    out.write(content)
+                    out.write(content.as_buffer())  # not copied
             yield batch.select(["name"])
     rows.select("name", "content").mapInArrow(write, "name string").count()
 
@@ -94,9 +101,11 @@ def _grouped(t, per: int = PER_FILE):
 def _file_of(build):
     """Arrow column function: content of a file from its group, by ``build(number, [(id, text), ...])``."""
     @F.arrow_udf(T.BinaryType())
-    def content(g: pa.Array, docs: pa.Array) -> pa.Array:
-        return pa.array([build(n, [(d["doc_id"], d["text"]) for d in own])
-                         for n, own in zip(g.to_pylist(), docs.to_pylist())], pa.binary())
+    def content(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for g, docs in pieces(batch):
+                yield pa.array([build(n, [(d["doc_id"], d["text"]) for d in own])
+                                for n, own in zip(g.to_pylist(), docs.to_pylist())], pa.binary())
     return content
 
 
@@ -214,19 +223,21 @@ _CORE = (
 
 
 @F.arrow_udf(T.BinaryType())
-def _office_of(text: pa.Array, source: pa.Array, kind: pa.Array) -> pa.Array:
+def _office_of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     from xml.sax.saxutils import escape
 
-    out = []
-    for s, author, k in zip(text.to_pylist(), source.to_pylist(), kind.to_pylist()):
-        head, left, right, tail = _DOCX if k == "docx" else _XLSX
-        body = head + "".join(left + escape(p) + right for p in s.split("\n")) + tail
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("word/document.xml" if k == "docx" else "xl/worksheets/sheet1.xml", body)
-            z.writestr("docProps/core.xml", _CORE.format(escape(author)))
-        out.append(buffer.getvalue())
-    return pa.array(out, pa.binary())
+    for batch in batches:
+        for text, source, kind in pieces(batch):
+            out = []
+            for s, author, k in zip(text.to_pylist(), source.to_pylist(), kind.to_pylist()):
+                head, left, right, tail = _DOCX if k == "docx" else _XLSX
+                body = head + "".join(left + escape(p) + right for p in s.split("\n")) + tail
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("word/document.xml" if k == "docx" else "xl/worksheets/sheet1.xml", body)
+                    z.writestr("docProps/core.xml", _CORE.format(escape(author)))
+                out.append(buffer.getvalue())
+            yield pa.array(out, pa.binary())
 
 
 KIND = "CASE doc_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' ELSE 'pptx' END"
