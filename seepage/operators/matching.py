@@ -236,25 +236,32 @@ def reachable(links: DataFrame, starts: DataFrame, stored: DataFrame | None = No
     One join per level until a level is empty; every level is written to the
     shared folder, so it is computed once, the plan stays short and a lost
     executor does not restart the walk. ``stored`` (url) limits the walk to
-    pages at hand: links to others are dropped once, before the walk. With
-    ``max_pages`` the walk ends after the level that reaches the limit and the
-    nearest pages (then by URL) are kept.
+    pages at hand: links to others are dropped once, before the walk, and so
+    are links back to the start pages, which reach nothing new and are often
+    the most frequent. A repeated link does no harm, so links are not compared
+    with each other. With ``max_pages`` the walk ends after the level that
+    reaches the limit and the nearest pages (then by URL) are kept.
     """
-    size = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0)).alias("size")]
-    links = links.select("src", "dst").distinct()
+    def by(column, urls, n=MAX_BROADCAST_ROWS + 1, size=0):  # Spark guesses from compressed files, which URLs make too small
+        small = n <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
+        return urls.select(F.col("url").alias(column)).hint("broadcast" if small else "merge")
+
+    def measure(urls):
+        return urls.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("url")), F.lit(0))).first()
+
+    visited = frontier = settle(starts.select("url").distinct().withColumn("depth", F.lit(0)), "level")
+    n, size = reached, held = measure(frontier)
+    links = links.select("src", "dst").join(by("dst", frontier, n, size), "dst", "left_anti")
     if stored is not None:
-        links = links.join(stored.select(F.col("url").alias("dst")).distinct(), "dst", "left_semi")
-    links = settle(links.select("src", "dst"), "links")
-    frontier = settle(starts.select("url").distinct().withColumn("depth", F.lit(0)), "level")
-    visited, measured, reached, level = frontier, frontier.agg(*size).first(), 0, 0
-    while measured.n and (max_pages is None or reached + measured.n < max_pages):
-        reached, level = reached + measured.n, level + 1
-        small = measured.n <= MAX_BROADCAST_ROWS and measured.size <= MAX_BROADCAST_BYTES
-        found = lookup_join(links, frontier.select(F.col("url").alias("src")), "src", "left_semi", small=small)
-        new = found.select(F.col("dst").alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
+        links = links.join(by("dst", stored), "dst", "left_semi")
+    links, level = settle(links.select("src", "dst"), "links"), 0
+    while n and (max_pages is None or reached < max_pages):
+        level += 1
+        found = links.join(by("src", frontier, n, size), "src", "left_semi")
+        new = found.select(F.col("dst").alias("url")).distinct().join(by("url", visited, reached, held), "url", "left_anti")
         frontier = settle(new.withColumn("depth", F.lit(level)), "level")
-        measured = frontier.agg(*size).first()
-        visited = visited.unionByName(frontier)
+        n, size = measure(frontier)
+        visited, reached, held = visited.unionByName(frontier), reached + n, held + size
         if level % 20 == 0:
             visited = settle(visited, "visited")
     return visited if max_pages is None else visited.orderBy("depth", "url").limit(max_pages)

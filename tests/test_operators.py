@@ -151,6 +151,25 @@ def test_reachable(spark):
     assert J.reachable(long, spark.createDataFrame([("000",)], "url string")).agg(F.max("depth")).first()[0] == 25
 
 
+def test_reachable_moves_each_link_once(spark, monkeypatch):
+    edges = [("a", "b"), ("a", "b"), ("b", "a"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "z")]
+    df, start = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a",)], "url string")
+    at_hand = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "url string")
+    kept, settle = [], J.settle
+
+    def listed(made, name):
+        if name == "links":
+            kept.append(made)
+        return settle(made, name)
+
+    monkeypatch.setattr(J, "settle", listed)
+    assert rows(J.reachable(df, start, at_hand)) == [("a", 0), ("b", 1), ("c", 2)]
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan  # links are not compared with each other
+    assert plan.count("BroadcastExchange") == 1  # the start pages, which were measured; stored pages are not
+    assert rows(kept[0]) == [("a", "b"), ("a", "b"), ("b", "c"), ("c", "b")]
+
+
 def test_dump_emails_word_boundary(spark):
     lines = spark.createDataFrame(
         [("f", "Bob@Corp.com:x"), ("f", "al@corp.com.au|y"), ("f", "cy@corp.com-x"), ("f", "di@corp.comx"), ("f", "ed@corp.com_x"),

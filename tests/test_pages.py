@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seepage import rules as R
 from seepage.functions import html as P
+from seepage.functions import text as X
 from seepage.functions import hosts as H
 from seepage.operators import pages as G
 
@@ -91,6 +92,26 @@ def test_plain_urls_agree_with_the_general_join(spark):
             assert ready is None or ready == urljoin(row.base, link), (row.base, link)
 
 
+def test_links_are_tested_alike_on_any_base(spark):
+    hrefs = ["/x", "/", "/a b", "x y", "?q=1", "#f", "/a/../b", "//h.org/x", "http://h.org", "http://h.org/x&#10;", "http://h.org/x&#133;",
+             "/é", "http://h.org:8/", "http://u@h.org/ x", "ftp://h.org/x", "HTTP://h.org/y", "http://h.org.evil.net/", "http://["]
+    page = "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    bases = ["http://h.org/d/0", "http://u@h.org:8/", "http://-bad-.org/", "http://h.org", "http://h.org\n", "h.org/x", "", None, "http://u x@h.org/"]
+    parsed = G.with_nodes(spark.createDataFrame([(i, b, page) for i, b in enumerate(bases)], "id int, url string, html string"))
+    want = G.anchors(parsed, ["id"]).where(X.valid_url("link")).select("id", "link").distinct()
+    links = G.page_links(parsed, ["id"])
+    assert sorted(links.collect()) == sorted(want.collect()) and links.count() > 40
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "_sound" in plan  # a page's own host is tested once, not with every link
+
+
+def test_join_urls_keeps_nulls_and_places(spark):
+    rows = [(0, "http://h.org/d/", ["x", None, "http://["]), (1, None, ["y"]), (2, "http://h.org", None), (3, "b", []), (4, "c", [None, None])]
+    df = spark.createDataFrame(rows, "id int, base string, links array<string>").repartition(1)
+    got = {r.id: r.j for r in df.select("id", H.join_urls("base", "links").alias("j")).collect()}
+    assert got == {0: ["http://h.org/d/x", None, None], 1: ["y"], 2: None, 3: [], 4: [None, None]}
+
+
 def test_link_split_keeps_user_and_port(spark):
     df = spark.createDataFrame([("https://u@a.org:8/x",), ("https://org/x",), ("https://b.net/",)], "link string")
     got = {r.link: r.is_internal for r in G.split_links(df, F.lit("a.org")).collect()}
