@@ -37,6 +37,8 @@ WINDOW = 1024
 SHARD_TOKENS = 4_000_000
 #: Documents of a shard, for short ones: their numbers take 16 bits.
 SHARD_DOCS = 1 << 16
+#: Weights of a shard's most frequent terms that are held for every document.
+TABLE = 8_000_000
 #: Best candidates that are put in order first.
 FIRST = 32
 K1, B = 1.2, 0.75
@@ -100,8 +102,17 @@ class Index:
         self.starts = np.searchsorted(doc, np.arange(n + 1))  # by document, for queries
         self.terms = term
         order = np.argsort(term, kind="stable")
-        self.posting_docs, self.posting_weights = doc[order].astype(np.intp), weight[order]  # as bincount takes them
-        self.term_starts = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
+        doc, weight = doc[order].astype(np.intp), weight[order]  # as bincount takes them
+        ends = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
+        # The longest postings become rows of a weight for every document, which are summed faster than they are counted.
+        often = np.argsort(-df * telling, kind="stable")[: max(1, TABLE // max(n, 1))]
+        often = np.sort(often[(telling & (df > n // 16))[often]])
+        self.row = np.full(1 << 16, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.table = np.zeros((len(often), n), np.float32)
+        for row, (i, j) in zip(self.table, zip(ends[often].tolist(), ends[often + 1].tolist())):
+            row[doc[i:j]] = weight[i:j]
+        self.posting_docs, self.posting_weights, self.term_starts = doc, weight, ends
         self.used = np.zeros(n, bool)
         self.next = 0
 
@@ -115,9 +126,13 @@ class Index:
         """Documents that are unused when they are asked for, by falling BM25 score for all terms of the seed, then the others in order."""
         terms = self.terms[self.starts[seed]: self.starts[seed + 1]]
         if len(terms):
+            rows = self.row[terms]
+            terms = terms[rows < 0]
+            scores = self.table.take(rows[rows >= 0], axis=0).sum(axis=0).astype(np.float64)
             spans = [slice(a, b) for a, b in zip(self.term_starts[terms].tolist(), self.term_starts[terms + 1].tolist())]
-            scores = np.bincount(np.concatenate([self.posting_docs[s] for s in spans]),
-                                 np.concatenate([self.posting_weights[s] for s in spans]), self.n)
+            if spans:
+                scores += np.bincount(np.concatenate([self.posting_docs[s] for s in spans]),
+                                      np.concatenate([self.posting_weights[s] for s in spans]), self.n)
             scores[self.used] = 0
             first = np.argpartition(scores, -FIRST)[-FIRST:] if self.n > FIRST else np.arange(self.n)
             ordered = lambda docs: docs[np.lexsort((docs, -scores[docs]))].tolist()

@@ -17,7 +17,7 @@ import os
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,39 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+class _Pieces(dict):
+    """A number for every piece that is asked for, and the pieces' ids end to end in the order of their numbers."""
+
+    def __init__(self, dtype: np.dtype):
+        self.new: list[str] = []  # those that have no ids yet
+        self.ids, self.ends = np.empty(0, dtype), np.zeros(1, np.int32)
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+    def add(self, found: list[list[int]]) -> None:
+        """The ids of the new pieces, in their order."""
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int32)]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), self.ids.dtype, int(sizes.sum()))]
+        self.new = []
+
+    def own(self, piece: str) -> list[int]:
+        number = self[piece]
+        return self.ids[self.ends[number]: self.ends[number + 1]].tolist()
+
+    def of_texts(self, texts: list[np.ndarray]) -> list[bytes]:
+        """The ids of texts given as their pieces' numbers."""
+        numbers = np.concatenate(texts)
+        starts, ends = self.ends[numbers], self.ends[numbers + 1]
+        done = np.cumsum(ends - starts, dtype=np.int32)
+        ids = self.ids[np.repeat(ends - done, ends - starts) + np.arange(done[-1], dtype=np.int32)]
+        cuts = [0, *done[np.cumsum([len(t) for t in texts]) - 1].tolist()]
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned integers of ``dtype``.
 
@@ -58,58 +91,55 @@ class Encoder:
         if size > np.iinfo(self.dtype).max:
             raise ValueError(f"{path}: ids do not fit in {dtype}")
         self.held = 0
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.known, self.before = _Pieces(self.dtype), _Pieces(self.dtype)
+        self.marks: dict[str, list[int]] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
-                for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(ids, self.dtype).tobytes() for ids in self._whole(texts)]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], out: dict[str, bytes]) -> None:
-        """Put the ids of words of letters, each as after a blank, into ``out``.
+    def _learn(self) -> None:
+        """Find the ids of the pieces that are new in ``known``.
 
         Nothing cuts a word of letters, so its bytes, in the letters that the
-        vocabulary writes bytes with, go to the merges at once.
+        vocabulary writes bytes with, go to the merges at once. Such a word is
+        surely cut before the marks that end its piece.
         """
-        tokenize, blank, size = self.model.model.tokenize, "\u0120" if self.spaced else "", self.dtype.itemsize
-        found = [[t.id for t in tokenize(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)))]
-                 for w in words]
-        data = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()
-        ends = [0, *accumulate([size * len(ids) for ids in found])]
-        out.update(zip(words, [data[a:b] for a, b in zip(ends, ends[1:])]))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the pieces' ids into ``known``.
-
-        A word of letters is surely cut before the marks that end its piece,
-        and words of letters are encoded many at once.
-        """
-        known, before, marks = self.known, self.before, self.marks
+        pieces, before, marks, spaced = self.known.new, self.before, self.marks, self.spaced
         self.held += _OBJECTS * len(pieces) + 2 * sum(map(len, pieces))
-        if before:
-            kept = [p for p in pieces if p in before]
-            known.update(zip(kept, map(before.__getitem__, kept)))
-            pieces = pieces.difference(kept)
-        fine = (lambda w: True) if self.spaced else (lambda w: w.isascii() or unicodedata.is_normalized("NFC", w))
-        words = [p for p in pieces if p.isalpha() and fine(p)]
-        self._words(words, known)
-        made, others = [], []
-        for piece in pieces.difference(words):
-            found = None if piece.isalpha() else _WORD_AND_MARKS.fullmatch(piece)
-            word, mark = found.groups() if found else ("", "")
-            if found and (word.isascii() or (word.isalpha() and fine(word))):
-                made.append((piece, word, mark))
-            else:
-                others.append(piece)
+        tokenize, blank = self.model.model.tokenize, "\u0120" if spaced else ""
         if len(marks) > 10_000:
             marks.clear()
-        new = list({mark for _, _, mark in made}.difference(marks))
-        marks.update(zip(new, self.whole(new)))
-        stems = {word: known.get(word) for _, word, _ in made}
-        self._words([w for w, ids in stems.items() if ids is None], stems)
-        known.update([(piece, stems[word] + marks[mark]) for piece, word, mark in made])
-        known.update(zip(others, self.whole([self._source(p) for p in others])))
+        found, others = [], []
+        for piece in pieces:
+            word, mark = piece, ""
+            if piece in before:
+                found.append(before.own(piece))
+                continue
+            if not piece.isalpha():
+                parts = _WORD_AND_MARKS.fullmatch(piece)
+                word, mark = parts.groups() if parts else ("", "")
+            if word.isascii():
+                letters = word
+            elif word.isalpha() and (spaced or unicodedata.is_normalized("NFC", word)):
+                letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            else:
+                letters = ""
+            if not letters:
+                others.append(len(found))
+                found.append([])
+                continue
+            ids = [t.id for t in tokenize(blank + letters)]
+            if mark:
+                if mark not in marks:
+                    marks[mark] = self._whole([mark])[0]
+                ids += marks[mark]
+            found.append(ids)
+        for i, ids in zip(others, self._whole([self._source(pieces[i]) for i in others])):
+            found[i] = ids
+        self.known.add(found)
 
     def pieces(self, text: str) -> list[str] | None:
         """The text's pieces, or None if it has to be encoded whole.
@@ -142,26 +172,25 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none of a null text."""
+        if self.known.new:  # left by a call that failed
+            self.known, self.held = _Pieces(self.dtype), 0
         if 2 * self.held > self.kept:  # the younger half of the pieces stays
-            self.before, self.known, self.held = self.known, {}, 0
-        get, out, waiting, odd, new = self.known.get, [b""] * len(texts), [], [], set()
+            self.before, self.known, self.held = self.known, _Pieces(self.dtype), 0
+        number, out, cut, at, odd = self.known.__getitem__, [b""] * len(texts), [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             found = self.pieces(text)
             if found is None:
                 odd.append(i)
-                continue
-            ids = list(map(get, found))
-            if None in ids:
-                new.update(p for p, x in zip(found, ids) if x is None)
-                waiting.append((i, found))
-            else:
-                out[i] = b"".join(ids)
-        if new:
-            self._learn(new)
-            for i, found in waiting:
-                out[i] = b"".join(map(self.known.__getitem__, found))
+            elif found:
+                at.append(i)
+                cut.append(np.fromiter(map(number, found), np.int32, len(found)))
+        if self.known.new:
+            self._learn()
+        if cut:
+            for i, ids in zip(at, self.known.of_texts(cut)):
+                out[i] = ids
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
         return out

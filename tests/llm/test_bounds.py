@@ -50,6 +50,21 @@ def test_neighbours_are_those_of_brute_force():
         assert rest == sorted(rest)
 
 
+@pytest.mark.parametrize("room", [0, 600, 8_000_000])
+def test_neighbours_do_not_depend_on_the_table(monkeypatch, room):
+    """Frequent terms are summed as rows of a table, the others as postings, in any share."""
+    rng = np.random.default_rng(4)
+    docs = [np.minimum(rng.zipf(1.3, int(rng.integers(1, 80))), 400).astype("<u2") for _ in range(200)]
+    monkeypatch.setattr(packing, "TABLE", room)
+    index = packing.Index(docs)
+    assert index.table.size <= max(room, index.n) and (len(index.table) > 1) == (room > 200)
+    for seed in (0, 5, 100):
+        scores = bm25(docs, seed)
+        found, want = index.neighbours(seed), sum(x > 0 for x in scores)
+        got = [scores[next(found)] for _ in range(want)]
+        assert min(got) > 0 and np.allclose(got, sorted(scores, reverse=True)[:want], rtol=1e-5)
+
+
 def test_very_many_short_documents():
     """Time follows the number of documents where each has no neighbour or the same few terms."""
     def seconds(n):
@@ -73,6 +88,18 @@ def test_a_small_cache_gives_the_same_ids(spaced, name):
     assert small.before and tokens._OBJECTS * len(small.known) < 400_000
 
 
+def test_pieces_are_numbered_once_and_a_failed_call_leaves_none():
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True, "<u2")
+    texts = ["one two, two\nthree", "two é日 one.", None, "", "a  b"]
+    want, whole = enc.whole([t or "" for t in texts]), enc._whole
+    enc._whole = lambda texts: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        enc.encode(texts)
+    enc._whole = whole
+    assert enc.encode(texts) == enc.encode(texts) == want
+    assert sorted(enc.known.values()) == list(range(len(enc.known))) and len(enc.known.ends) == len(enc.known) + 1
+
+
 @pytest.mark.parametrize("rows", [
     "SELECT id % 3 = 0 AS hot, id, repeat(char(CAST(97 + id % 26 AS INT)), 100) AS text FROM range(6000)",  # one id holds a third
     "SELECT true AS hot, id, 'the same text in every row, which no hash of id and text can part' AS text FROM range(10000)",
