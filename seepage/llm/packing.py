@@ -45,17 +45,25 @@ K1, B = 1.2, 0.75
 DTYPE = "<u2"
 
 
-def signature(ids: np.ndarray) -> int:
-    """Least hash of the token triples; of fewer tokens, of what there is."""
-    x = ids.astype(np.uint64)
-    if len(x) < 3:
-        x = np.pad(x, (0, 3 - len(x)))
-    with np.errstate(over="ignore"):
-        h = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return int(h.min() >> np.uint64(1))
+def signatures(docs: list[bytes], most: int = 1 << 15) -> list[int]:
+    """Of each document's ids the least hash of the token triples; of fewer tokens, of what there is. ``most``: tokens hashed at once."""
+    out, some, held = [], [], 0
+    for k, data in enumerate(docs, 1):
+        some.append(data.ljust(6, b"\0"))
+        held += len(data) // 2
+        if held < most and k < len(docs):
+            continue
+        x = np.frombuffer(b"".join(some), DTYPE).astype(np.uint64)
+        ends = np.cumsum([len(d) // 2 for d in some])
+        with np.errstate(over="ignore"):
+            h = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        spans = np.column_stack([np.r_[0, ends[:-1]], ends - 2]).ravel()[:-1]  # no triple spans two documents
+        out += (np.minimum.reduceat(h, spans)[::2] >> np.uint64(1)).tolist()
+        some, held = [], 0
+    return out
 
 
 def encoded(docs: DataFrame, tokenizer: str, *, spaced: bool = True, end_id: int = 0, id_col: str = "doc_id",
@@ -72,13 +80,22 @@ def encoded(docs: DataFrame, tokenizer: str, *, spaced: bool = True, end_id: int
                 ids = [x + end for x in enc.encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a),
-                     pa.array([signature(np.frombuffer(x, DTYPE)) for x in ids], pa.int64()),
+                     pa.array(signatures(ids), pa.int64()),
                      pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "sig", "n", "ids"])
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, sig long, n long, ids binary")
 
 
+def best(scores: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` largest positive scores, or of as many as there are; of equal ones the first."""
+    least = np.partition(scores, -n)[-n] if len(scores) > n else 0
+    if least <= 0:
+        return np.flatnonzero(scores > 0)
+    above = np.flatnonzero(scores > least)
+    return np.r_[above, np.flatnonzero(scores == least)[: n - len(above)]]
+
+
 class Index:
     """Inverted index of a shard's documents with BM25 weights, and which of them are used."""
 
@@ -113,9 +130,21 @@ class Index:
         for row, (i, j) in zip(self.table, zip(ends[often].tolist(), ends[often + 1].tolist())):
             row[doc[i:j]] = weight[i:j]
         self.posting_docs, self.posting_weights, self.term_starts = doc, weight, ends
+        self.docs = np.arange(n)  # whose columns the table and the postings have
         self.used = np.zeros(n, bool)
         self.next = 0
 
+    def drop_used(self) -> None:
+        """Take the used documents out of table and postings once they are a quarter of them."""
+        left = ~self.used[self.docs]
+        n = int(np.count_nonzero(left))
+        if 4 * n > 3 * len(left):
+            return
+        self.docs, self.table = self.docs[left], np.compress(left, self.table, axis=1)
+        own, place = left[self.posting_docs], np.cumsum(left) - 1
+        self.term_starts = np.r_[0, np.cumsum(own)][self.term_starts]
+        self.posting_docs, self.posting_weights = place[self.posting_docs[own]], self.posting_weights[own]
+
     def in_order(self) -> int | None:
         """The first unused document."""
         while self.next < self.n and self.used[self.next]:
@@ -126,21 +155,25 @@ class Index:
         """Documents that are unused when they are asked for, by falling BM25 score for all terms of the seed, then the others in order."""
         terms = self.terms[self.starts[seed]: self.starts[seed + 1]]
         if len(terms):
-            rows = self.row[terms]
+            self.drop_used()
+            docs, rows = self.docs, self.row[terms]
             terms = terms[rows < 0]
-            scores = self.table.take(rows[rows >= 0], axis=0).sum(axis=0).astype(np.float64)
+            sums = np.zeros(len(docs), np.float32)
+            for row in rows[rows >= 0].tolist():
+                sums += self.table[row]
+            scores = sums.astype(np.float64)
             spans = [slice(a, b) for a, b in zip(self.term_starts[terms].tolist(), self.term_starts[terms + 1].tolist())]
             if spans:
                 scores += np.bincount(np.concatenate([self.posting_docs[s] for s in spans]),
-                                      np.concatenate([self.posting_weights[s] for s in spans]), self.n)
-            scores[self.used] = 0
-            first = np.argpartition(scores, -FIRST)[-FIRST:] if self.n > FIRST else np.arange(self.n)
-            ordered = lambda docs: docs[np.lexsort((docs, -scores[docs]))].tolist()
-            for doc in ordered(first):
-                if scores[doc] > 0 and not self.used[doc]:
+                                      np.concatenate([self.posting_weights[s] for s in spans]), len(docs))
+            scores[self.used[docs]] = 0
+            first = best(scores, FIRST)
+            ordered = lambda at: at[np.lexsort((at, -scores[at]))]
+            for doc in docs[ordered(first)].tolist():
+                if not self.used[doc]:
                     yield doc
             scores[first] = 0  # the others, which few windows come to
-            for doc in ordered(np.flatnonzero(scores)):
+            for doc in docs[ordered(np.flatnonzero(scores))].tolist():
                 if not self.used[doc]:
                     yield doc
         while (doc := self.in_order()) is not None:
