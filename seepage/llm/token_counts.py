@@ -10,7 +10,8 @@ context), encodes that region alone and updates the sums above it.
 A null text is an empty one; its tree has one empty leaf. An edit beyond the
 end is moved to the end, a negative place to the start, a null place or number
 is 0 and a null insertion inserts nothing. Edits of a document apply in the
-order of ``seq``, those of one ``seq`` in the order of their other columns.
+order of ``seq``, those of one ``seq`` in the order of their other columns;
+the first edits of many documents are counted together, then the second ones.
 Edits of unknown documents are ignored, documents without edits keep their
 counts. Rows of one id share its edits. An empty table gives no rows.
 """
@@ -18,6 +19,7 @@ counts. Rows of one id share its edits. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from itertools import count as count_up
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from seepage.llm.tokens import batches_of_texts, encoder
 
 SEGMENT = 192
-#: Pieces of text kept by a worker; building and editing run side by side, each in workers of its own.
-KEPT = 150_000
+#: Bytes of text pieces kept by a worker; building and editing run side by side, each in workers of its own.
+KEPT = 24 << 20
 EDITS = "array<struct<seq: int, at: long, remove: long, insert: string>>"
 _CUT = re.compile(r"(?<=\S)[ \n]")
 
@@ -95,13 +97,13 @@ class Tree:
         return Tree([c for c, _ in own], [t for _, t in own])
 
 
-def edited(text: str, tree: Tree, at: int, remove: int, insert: str, count) -> tuple[str, Tree, int]:
-    """Text and tree after one edit, and how many characters were encoded for it. ``count``: tokens of each of some texts."""
+def region_of(text: str, tree: Tree, at: int, remove: int, insert: str) -> tuple[int, int, int, int, str] | None:
+    """What an edit makes of the segments it touches: the first and last of them, their place in the text, their new text."""
     n = len(text)
     at = min(max(at, 0), n)
     remove = min(max(remove, 0), n - at)
     if not remove and not insert:
-        return text, tree, 0
+        return None
     i, start = tree.leaf(min(at, n - 1)) if n else (0, 0)
     j, end = tree.leaf(min(at + max(remove, 1) - 1, n - 1)) if n else (0, 0)
     end += tree.chars[tree.size + j]
@@ -116,14 +118,31 @@ def edited(text: str, tree: Tree, at: int, remove: int, insert: str, count) -> t
             region, end = region + text[end:after], after
         else:
             break
-    parts = segments(region)
-    tree = tree.replaced(i, j, list(zip(map(len, parts), count(parts))))
-    return text[:start] + region + text[end:], tree, len(region)
+    return i, j, start, end, region
+
+
+def edited(text: str, tree: Tree, at: int, remove: int, insert: str, count) -> tuple[str, Tree, int]:
+    """Text and tree after one edit, and how many characters were encoded for it. ``count``: tokens of each of some texts."""
+    return edited_together([(text, tree)], [(at, remove, insert)], count)[0]
+
+
+def edited_together(docs: list[tuple[str, Tree]], edits: list[tuple[int, int, str]], count) -> list[tuple[str, Tree, int]]:
+    """``edited`` for one edit each of several documents, whose tokens are counted together."""
+    regions = [region_of(*doc, *edit) for doc, edit in zip(docs, edits)]
+    parts = [segments(r[4]) if r else [] for r in regions]
+    counts, out = iter(count([p for own in parts for p in own])), []
+    for (text, tree), found, own in zip(docs, regions, parts):
+        if not found:
+            out.append((text, tree, 0))
+            continue
+        i, j, start, end, region = found
+        tree = tree.replaced(i, j, [(len(p), next(counts)) for p in own])
+        out.append((text[:start] + region + text[end:], tree, len(region)))
+    return out
 
 
 def _count(path: str, spaced: bool):
-    enc = encoder(path, spaced, "<u4", KEPT)
-    return lambda texts: [len(x) // 4 for x in enc.encode(texts)]
+    return encoder(path, spaced, "<u4", KEPT).counts
 
 
 def trees(docs: DataFrame, tokenizer: str, *, spaced: bool = True, id_col: str = "doc_id", text_col: str = "text",
@@ -169,24 +188,28 @@ def apply_edits(rows: DataFrame, tokenizer: str, *, spaced: bool = True) -> Data
     def run(batches):
         count = _count(tokenizer, spaced)
         for batch in batches:
-            texts, all_chars, all_tokens, before, encoded, number = [], [], [], [], [], []
-            for text, chars, tokens, edits in zip(
-                    *(batch.column(c).to_pylist() for c in ("text", "chars", "tokens", "edits"))):
-                tree, seen = Tree.stored(chars, tokens), 0
-                before.append(tree.tokens[1])
-                for e in edits or ():
-                    text, tree, some = edited(text, tree, e["at"] or 0, e["remove"] or 0, e["insert"] or "", count)
-                    seen += some
-                texts.append(text)
-                all_chars.append(tree.chars)
-                all_tokens.append(tree.tokens)
-                encoded.append(seen)
-                number.append(len(edits or ()))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(all_chars, kind), pa.array(all_tokens, kind),
-                 pa.array(number, pa.int32()), pa.array(before, pa.int64()), pa.array(encoded, pa.int64())],
-                ["doc_id", "text", "chars", "tokens", "n_edits", "before", "encoded"])
+            for a, b in batches_of_texts(batch.column("text").to_pylist()):
+                part = batch.slice(a, b - a)
+                texts, chars, tokens, edits = (part.column(c).to_pylist() for c in ("text", "chars", "tokens", "edits"))
+                docs = [(text, Tree.stored(c, t)) for text, c, t in zip(texts, chars, tokens)]
+                before, encoded = [tree.tokens[1] for _, tree in docs], [0] * len(docs)
+                own = [i for i, e in enumerate(edits) if e]
+                for k in count_up():  # the k-th edit of every document that has one
+                    own = [i for i in own if len(edits[i]) > k]
+                    if not own:
+                        break
+                    done = edited_together([docs[i] for i in own], [
+                        (e["at"] or 0, e["remove"] or 0, e["insert"] or "") for e in (edits[i][k] for i in own)], count)
+                    for i, (text, tree, some) in zip(own, done):
+                        docs[i] = text, tree
+                        encoded[i] += some
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([text for text, _ in docs], pa.string()),
+                     pa.array([tree.chars for _, tree in docs], kind), pa.array([tree.tokens for _, tree in docs], kind),
+                     pa.array([len(e or ()) for e in edits], pa.int32()), pa.array(before, pa.int64()),
+                     pa.array(encoded, pa.int64())],
+                    ["doc_id", "text", "chars", "tokens", "n_edits", "before", "encoded"])
     rows = rows.select("doc_id", "text", "chars", "tokens", F.col("edits").cast(EDITS).alias("edits"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, text string, chars array<int>, tokens array<int>, n_edits int, "

@@ -1,5 +1,6 @@
 """The encoder's batches of words, and the index of a shard while its documents are used."""
 
+import copy
 import json
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from test_bounds import bm25
 
-from seepage.llm import packing, tokens
+from seepage.llm import packing, token_counts, tokens
 
 SPACED = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,3 +76,40 @@ def test_signatures_are_those_of_single_documents():
     docs = [rng.integers(0, 50_000, n).astype("<u2").tobytes() for n in [1, 2, 3, 4, 700, 0, 5, 90]]
     assert packing.signatures(docs) == packing.signatures(docs, most=100) == [packing.signatures([d])[0] for d in docs]
     assert packing.signatures([]) == []
+
+
+def test_edits_of_many_documents_are_counted_together(spark):
+    """Three edits of 60 documents take a call each for all of them, and pieces are kept from one to the next."""
+    rng, calls = random.Random(8), []
+    texts = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.choice([0, 3, 400]))) for _ in range(60)]
+    count = token_counts._count(SPACED, True)
+    assert token_counts.KEPT > 50_000 * 2 * (tokens._OBJECTS + 10)
+
+    def counted(some):
+        calls.append(len(some))
+        return count(some)
+
+    cut = [token_counts.segments(t) for t in texts]
+    docs = alone = [(t, token_counts.Tree([len(p) for p in own], count(own))) for t, own in zip(texts, cut)]
+    alone = [(t, copy.deepcopy(tree)) for t, tree in alone]
+    for _ in range(3):
+        edits = [(rng.randint(-2, 900), rng.choice([0, 0, 30]), rng.choice(["", "x y", " new words"])) for _ in docs]
+        docs = token_counts.edited_together(docs, edits, counted)
+        alone = [token_counts.edited(*doc, *edit, count) for doc, edit in zip(alone, edits)]
+        assert [(t, tree.chars, tree.tokens, n) for t, tree, n in docs] == [(t, tree.chars, tree.tokens, n) for t, tree, n in alone]
+        docs, alone = [d[:2] for d in docs], [d[:2] for d in alone]
+    assert len(calls) == 3 and [tree.tokens[1] for _, tree in docs] == count([t for t, _ in docs])
+
+
+def test_documents_with_different_numbers_of_edits(spark):
+    rows = [(i, "one two three four " * 40, [(k, 5 * k, 3, f" z{k}") for k in range(i % 5)] if i % 7 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}").coalesce(1)
+    made = token_counts.trees(docs, SPACED, keep=("edits",))
+    found = {r.doc_id: r for r in token_counts.apply_edits(made, SPACED).collect()}
+    whole = tokens.Encoder(SPACED, True, "<u4")
+    for i, text, edits in rows:
+        for _, at, remove, insert in edits or ():
+            text = text[:at] + insert + text[at + remove:]
+        r = found[i]
+        assert (r.text, r.n_edits, r.tokens[1]) == (text, len(edits or ()), len(whole.whole([text])[0]) // 4)
+        assert (r.encoded > 0) == bool(edits)
