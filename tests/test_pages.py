@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+from checking import compare
 from pyspark.sql import functions as F
 
 from seepage import rules as R
@@ -9,6 +11,7 @@ from seepage.functions import html as P
 from seepage.functions import text as X
 from seepage.functions import hosts as H
 from seepage.operators import pages as G
+from seepage.plans import ORACLES, QUERIES
 
 
 FRAGMENTS = (
@@ -169,3 +172,26 @@ def test_names(spark):
     page = '<div class="channel-list"># a b</div><span class="room">***</span><div class="member">Jo Doe</div><li class="user">x</li>'
     got = {(r.kind, r.name) for r in G.class_names(parse(spark, page), ["id"]).collect()}
     assert got == {("channel", "ab"), ("member", "Jo Doe")}
+
+
+def test_contact_info_query_has_every_kind(spark, tmp_path):
+    pages = [
+        (1, '<p>me@a.org or 555-010-1234</p><a href="https://www.twitter.com/bob">t</a><a href="https://twitter.com/Login">l</a>'),
+        (2, "<p>github.com/a-b, linkedin.com/in/c </p><!-- github.com/z --><p>facebook.com/d<b>e</b></p>"),
+        (3, "<p>12 Main Street, Springfield</p>"), (4, ""),
+    ]
+    spark.createDataFrame(pages, "page_id bigint, html string").withColumn("url", F.lit("https://x.org/")).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = {r.page_id: r for r in QUERIES["contact_info"](spark, str(tmp_path)).collect()}
+    assert {k: r.social_media for k, r in got.items()} == {
+        1: "twitter=bob", 2: "facebook=d,de;github=a-b,z;linkedin=c", 3: "", 4: "",
+    }
+    assert (got[1].emails, got[1].phones, got[3].addresses) == ("me@a.org", "(555) 010-1234", "12 Main Street, Springfield")
+    assert compare(spark, con, str(tmp_path), QUERIES["contact_info"], ORACLES["contact_info"]) is None
+
+
+def test_handles_in_attributes_written_with_entities(spark):
+    pages = parse(spark, '<a href="https:&#x2F;&#x2F;github.com&#x2F;carol" title="twitter.com&#47;eve">x</a><br>', '<a href="//facebook.com/d?x=1&amp;y">x</a>', "&", None)
+    got = {r.id: r.social_media for r in G.contact_info(pages, ["id"]).collect()}
+    assert got == {0: {"github": ["carol"], "twitter": ["eve"]}, 1: {"facebook": ["d"]}, 2: {}, 3: {}}

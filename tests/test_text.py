@@ -1,5 +1,8 @@
 """Edge rules of the text and host expressions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,18 @@ def test_social_handles_stop_list(spark):
     assert got == [{"twitter": ["bob"], "facebook": ["a.b"], "github": ["x-y"]}]
 
 
+def test_social_handles_are_those_of_the_rules(spark):
+    parts = ["https://", "HTTP://", "www.", "Twitter.com/", "github.com/", "facebook.com/", "linkedin.com/in/", "linkedin.com/company/", "a", "B_c", "d-e", "f.g",
+             "/", " ", "\n", "é", "login", "https:/", "ww.", "twitter.com"]
+    random.seed(5)
+    texts = ["".join(random.choices(parts, k=random.randint(1, 12))) for _ in range(3_000)]
+    want = []
+    for t in texts:
+        found = {name: {h for h in re.findall(p, t) if h.lower() not in R.HANDLE_STOP_LIST} for name, p in R.SOCIAL_RULES}
+        want.append({name: sorted(hs) for name, hs in found.items() if hs})
+    assert values(spark, lambda c: X.social_handles(c, c), texts) == want and sum(map(len, want)) > 1_000
+
+
 @pytest.mark.parametrize(
     "value, kind",
     [("", "plaintext"), (None, "plaintext"), ("a" * 32, "md5"), ("A" * 40, "sha1"), ("0" * 64, "sha256"),
